@@ -99,7 +99,7 @@ def _carry_table(
         if following:
             edges.append(F.min(edge).alias(f"first_{i}"))
     before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = (
         chunked.groupBy(CHUNK).agg(*edges)
         .withColumn(OFFSET, F.coalesce(F.sum("rows").over(before), F.lit(0)))
@@ -129,7 +129,9 @@ def _with_neighbours(
     carried: bool = False,
 ) -> DataFrame:
     up_to_here = base.orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
-    from_here = base.orderBy(POSITION).rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is looking back in descending order: a frame that ends unbounded would rescan the rest
+    # of the group for every row.
+    from_here = base.orderBy(F.desc(POSITION)).rowsBetween(Window.unboundedPreceding, 0)
 
     def with_carry(local: Column, carry: str) -> Column:
         if not carried:
@@ -143,5 +145,5 @@ def _with_neighbours(
         if previous:
             added.append(with_carry(F.last(anchor, True).over(up_to_here), f"__carry_prev_{i}").alias(f"__prev_{i}"))
         if following:
-            added.append(with_carry(F.first(anchor, True).over(from_here), f"__carry_next_{i}").alias(f"__next_{i}"))
+            added.append(with_carry(F.last(anchor, True).over(from_here), f"__carry_next_{i}").alias(f"__next_{i}"))
     return df.select("*", *added)

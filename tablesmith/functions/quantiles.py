@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .names import col
 from .ordered import CHUNK, POSITION, order_in_chunks
+from .report import count_where
 from .text import strict_double
 
 # Rows of one column (or group) that one aggregation buffer may hold.
@@ -52,32 +53,40 @@ def _between(value: Column, low: float, high: float) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], buffer_rows: int = ROWS_IN_ONE_BUFFER
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    buffer_rows: int = ROWS_IN_ONE_BUFFER,
+    sizes: Sequence[int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns over the whole table, all columns per pass."""
+    """Exact quantiles of several columns over the whole table, all columns per pass.
+
+    ``sizes``, the numbers of values per column, saves a counting pass where they are known already.
+    """
     values = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    if sizes is None:
+        sizes = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
 
-    small = [i for i in range(len(columns)) if 0 < sizes[f"n{i}"] <= buffer_rows]
+    small = [i for i in range(len(columns)) if 0 < sizes[i] <= buffer_rows]
     if small:
         points = F.array(*[F.lit(float(p)) for p in probabilities])
         row = values.agg(*[F.percentile(f"v{i}", points).alias(f"q{i}") for i in small]).first()
         for i in small:
             result[columns[i]] = list(row[f"q{i}"])
 
-    large = [i for i in range(len(columns)) if sizes[f"n{i}"] > buffer_rows]
+    large = [i for i in range(len(columns)) if sizes[i] > buffer_rows]
     if large:
         wanted = {}
         for i in large:
             for p in probabilities:
-                place = (sizes[f"n{i}"] - 1) * p
+                place = (sizes[i] - 1) * p
                 for rank in (math.floor(place), math.ceil(place)):
-                    wanted[i, rank] = _Rank(i, rank, 0, sizes[f"n{i}"], -math.inf, math.inf)
+                    wanted[i, rank] = _Rank(i, rank, 0, sizes[i], -math.inf, math.inf)
         _select_ranks(values, list(wanted.values()), buffer_rows)
         for i in large:
             for k, p in enumerate(probabilities):
-                place = (sizes[f"n{i}"] - 1) * p
+                place = (sizes[i] - 1) * p
                 left, right = wanted[i, math.floor(place)].value, wanted[i, math.ceil(place)].value
                 share = place - math.floor(place)
                 result[columns[i]][k] = left if left == right else left + (right - left) * share
@@ -116,8 +125,8 @@ def _select_ranks(values: DataFrame, ranks: list[_Rank], buffer_rows: int) -> No
             counts = []
             for j, (r, low, high) in enumerate(pending):
                 v = F.col(f"v{r.index}")
-                counts.append(F.count_if(v < F.lit(low)).alias(f"b{j}"))
-                counts.append(F.count_if(_between(v, low, high)).alias(f"i{j}"))
+                counts.append(count_where(v < F.lit(low)).alias(f"b{j}"))
+                counts.append(count_where(_between(v, low, high)).alias(f"i{j}"))
             row = values.agg(*counts).first()
             for j, (r, low, high) in enumerate(pending):
                 below, inside = row[f"b{j}"], row[f"i{j}"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .lexicon import CLEAN_FALSE, CLEAN_TRUE, CURRENCY_MARKS
 
-_NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity)$"
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 # A leading minus at most, one point at most and a digit somewhere, between any other characters.
 _AMOUNT = r"^(?=[^0-9]*[0-9])[^0-9.\-]*-?[^.\-]*(?:\.[^.\-]*)?$"
 _NOT_NUMBER_CHARS = r"[^0-9.\-]+"
@@ -33,6 +33,11 @@ def to_bool(c: Column) -> Column:
     return F.when(word.isin(CLEAN_TRUE), F.lit(True)).when(word.isin(CLEAN_FALSE), F.lit(False))
 
 
+def has_digit(c: Column) -> Column:
+    """True where the text holds a digit; without one it is neither number, amount nor date."""
+    return F.coalesce(c.rlike("[0-9]"), F.lit(False))
+
+
 def has_currency(c: Column) -> Column:
     return F.coalesce(c.rlike(CURRENCY_PATTERN), F.lit(False))
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.dates import date_text, parse_timestamp
 from ..functions.lexicon import KEEP_TIME_COLUMNS
 from ..functions.names import col, resolve, snake, unique_names
-from ..functions.text import currency_code, has_currency, is_amount, is_number, to_amount, to_bool, to_number, trim_spaces
+from ..functions.report import count_where
+from ..functions.text import currency_code, has_currency, has_digit, is_amount, is_number, to_amount, to_bool, to_number, trim_spaces
 
 
 @dataclass
@@ -79,15 +80,15 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
-def text_counters(value: Column, date_fmt: str | None) -> dict[str, Column]:
-    """Counting conditions for text values."""
+def text_counters(value: Column, digits: Column, date_fmt: str | None) -> dict[str, Column]:
+    """Counting conditions for text values; ``digits`` tells cheaply where the costly ones can hold."""
     return {
         "nonnull": value.isNotNull(),
         "bool": to_bool(value).isNotNull(),
         "marked": has_currency(value),
-        "amount": is_amount(value),
-        "number": is_number(value),
-        "date": parse_timestamp(value, date_fmt).isNotNull(),
+        "amount": digits & is_amount(value),
+        "number": digits & is_number(value),
+        "date": digits & parse_timestamp(value, date_fmt).isNotNull(),
     }
 
 
@@ -109,7 +110,7 @@ def decide(counts: dict, rows: int) -> str:
 def count_per_column(
     df: DataFrame,
     values: Mapping[str, Column],
-    tests: Callable[[Column], Mapping[str, Column]],
+    tests: Callable[[Column, Column], Mapping[str, Column]],
     prepare: Callable[[Column], Column] = lambda value: value,
 ) -> dict[str, dict]:
     """Rows for which each test holds, per column, from one scan.
@@ -125,10 +126,11 @@ def count_per_column(
         df.select(*[v.alias(p) for v, p in zip(values.values(), places)])
         .unpivot([], places, "place", "value")
         .select("place", prepare(F.col("value")).alias("value"))
+        .withColumn("digits", has_digit(F.col("value")))
     )
-    conditions = tests(F.col("value"))
+    conditions = tests(F.col("value"), F.col("digits"))
     counted = stacked.groupBy("place").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(test).alias(key) for key, test in conditions.items()]
+        F.count(F.lit(1)).alias("rows"), *[count_where(test).alias(key) for key, test in conditions.items()]
     )
     found = {row["place"]: {key: row[key] for key in ("rows", *conditions)} for row in counted.collect()}
     empty = dict.fromkeys(["rows", *conditions], 0)
@@ -139,7 +141,7 @@ def _measure(df: DataFrame, trim: bool, date_fmt: str | None) -> dict[str, dict]
     # A column of another type only needs its non-null count; a blank stands for any value.
     values = {n: col(n) if _is_text(df, n) else F.when(present(df, n), F.lit("")) for n in df.columns}
     return count_per_column(
-        df, values, lambda value: text_counters(value, date_fmt), trim_spaces if trim else lambda value: value
+        df, values, lambda value, digits: text_counters(value, digits, date_fmt), trim_spaces if trim else lambda value: value
     )
 
 
@@ -235,7 +237,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 def drop_empty(df: DataFrame) -> DataFrame:
     """Drop rows without any value, then columns without any value (one counting job)."""
-    row = df.agg(*[F.count_if(present(df, n)).alias(f"c{i}") for i, n in enumerate(df.columns)]).first()
+    row = df.agg(*[count_where(present(df, n)).alias(f"c{i}") for i, n in enumerate(df.columns)]).first()
     kept = [n for i, n in enumerate(df.columns) if row[f"c{i}"] > 0]
     return drop_empty_rows(df).select(*[col(n) for n in kept])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.names import col, resolve, resolve_one
 from ..functions.ordered import neighbours
 from ..functions.quantiles import as_double, exact_quantiles
-from ..functions.report import rows_from_aggregates
+from ..functions.report import count_where, rows_from_aggregates
 from .clean import present
 
 # Accepted spellings of each strategy.
@@ -148,7 +148,7 @@ def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Row count and missing values per column, one job."""
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(~present(df, n)).alias(f"c{i}") for i, n in enumerate(df.columns)],
+        *[count_where(~present(df, n)).alias(f"c{i}") for i, n in enumerate(df.columns)],
     ).first()
     return row["rows"], {n: row[f"c{i}"] for i, n in enumerate(df.columns)}
 
@@ -262,7 +262,7 @@ def missing_patterns(df: DataFrame) -> DataFrame:
         "rows": F.count(F.lit(1)),
         "cells": F.coalesce(F.sum(in_row), F.lit(0)),
         "worst": F.max(in_row),
-        **{f"c{i}": F.count_if(~present(df, n)) for i, n in enumerate(df.columns)},
+        **{f"c{i}": count_where(~present(df, n)) for i, n in enumerate(df.columns)},
     }
     gaps = sum((F.when(F.col(f"c{i}") > 0, F.lit(1)).otherwise(F.lit(0)) for i in range(len(df.columns))), F.lit(0))
     rows = [
@@ -286,7 +286,7 @@ def suggest_strategies(df: DataFrame) -> DataFrame:
     """Suggested strategy per column with missing values."""
     aggregates = {
         "rows": F.count(F.lit(1)),
-        **{f"c{i}": F.count_if(~present(df, n)) for i, n in enumerate(df.columns)},
+        **{f"c{i}": count_where(~present(df, n)) for i, n in enumerate(df.columns)},
     }
     rows = []
     for i, n in enumerate(df.columns):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import col, resolve, resolve_one
 from ..functions.quantiles import as_double, exact_quantiles
+from ..functions.report import count_where
 
 # Accepted spellings of the two methods.
 METHODS = {"iqr": "iqr_clip", "iqr_clip": "iqr_clip", "z": "zscore_clip", "zscore": "zscore_clip", "zscore_clip": "zscore_clip"}
@@ -137,7 +138,7 @@ def zscore_clip(df: DataFrame, columns: str | Sequence[str], z: float = 3.0) ->
 
 def _changed(df: DataFrame, bounds: Sequence[Bounds]) -> list[int]:
     row = df.agg(*[
-        F.count_if(_clipped(df, b) != as_double(df, b.column)).alias(f"n{i}") for i, b in enumerate(bounds)
+        count_where(_clipped(df, b) != as_double(df, b.column)).alias(f"n{i}") for i, b in enumerate(bounds)
     ]).first()
     return [row[f"n{i}"] for i in range(len(bounds))]
 

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.lexicon import MONTH_SOURCES, PROFILE_BOOL, PROFILE_CURRENCY, PROFILE_DATE_HINT, PROFILE_NUMERIC
 from ..functions.names import col, snake
 from ..functions.quantiles import exact_quantiles
-from ..functions.report import rows_from_aggregates
+from ..functions.report import count_where, rows_from_aggregates
 from ..functions.text import to_number
 from .clean import present
 
+STATISTICS = "count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
 # Columns whose distinct values one job counts: each distinct count adds a copy of the row to the shuffle.
 DISTINCTS_PER_JOB = 16
 
@@ -61,23 +62,20 @@ def profile_types(df: DataFrame, compat: bool = False) -> DataFrame:
 
     ``string`` leads when nothing else reaches one half; ``compat`` leaves that entry out.
     """
-    aggregates = {"rows": F.count(F.lit(1))}
-    rows = []
-    texts = df.select(*[as_text(df, n).alias(f"t{i}") for i, n in enumerate(df.columns)])
-    for i, n in enumerate(df.columns):
-        share = {}
-        for key, test in _candidate_tests(F.col(f"t{i}")).items():
-            aggregates[f"{key}{i}"] = F.count_if(test)
-            share[key] = F.coalesce(F.try_divide(F.col(f"{key}{i}"), F.col("rows")), F.lit(0.0))
-        rows.append({
-            "column": F.lit(n),
-            "datetime_ratio": share["hint"],
-            "boolean_ratio": share["boolean"],
-            "currency_ratio": share["currency"],
-            "numeric_ratio": share["numeric"],
-            "type_candidates": _ranked(share, compat),
-        })
-    return rows_from_aggregates(texts, aggregates, rows)
+    places = [f"t{i}" for i in range(len(df.columns))]
+    stacked = df.select(*[as_text(df, n).alias(p) for n, p in zip(df.columns, places)]).unpivot([], places, "place", "value")
+    tests = _candidate_tests(F.col("value"))
+    counted = stacked.groupBy("place").agg(
+        F.count(F.lit(1)).alias("rows"), *[count_where(test).alias(key) for key, test in tests.items()]
+    )
+    share = {key: F.col(key) / F.col("rows") for key in tests}
+    names = F.create_map(*[F.lit(x) for pair in zip(places, df.columns) for x in pair])
+    return counted.select(
+        F.element_at(names, F.col("place")).alias("column"),
+        share["hint"].alias("datetime_ratio"),
+        *[share[key].alias(f"{key}_ratio") for key in ("boolean", "currency", "numeric")],
+        _ranked(share, compat).alias("type_candidates"),
+    )
 
 
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
@@ -107,30 +105,12 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
         .alias(n)
         for n in names
     ])
-    quartiles = exact_quantiles(numbers, names, [0.25, 0.5, 0.75])
-    aggregates, rows = {}, []
-    for i, n in enumerate(names):
-        value = col(n)
-        aggregates |= {
-            f"count{i}": F.count(value),
-            f"mean{i}": F.avg(value),
-            f"std{i}": F.stddev_samp(value),
-            f"min{i}": F.min(value),
-            f"max{i}": F.max(value),
-        }
-        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles[n])
-        rows.append({
-            "column": F.lit(n),
-            "count": F.col(f"count{i}"),
-            "mean": F.col(f"mean{i}"),
-            "std": F.col(f"std{i}"),
-            "min": F.col(f"min{i}"),
-            "p25": q25,
-            "p50": q50,
-            "p75": q75,
-            "max": F.col(f"max{i}"),
-        })
-    return rows_from_aggregates(numbers, aggregates, rows)
+    moments = numbers.agg(*[
+        F.struct(F.count(col(n)), F.avg(col(n)), F.stddev_samp(col(n)), F.min(col(n)), F.max(col(n))) for n in names
+    ]).first()
+    quartiles = exact_quantiles(numbers, names, [0.25, 0.5, 0.75], sizes=[m[0] for m in moments])
+    rows = [(n, *m[:4], *quartiles[n], m[4]) for n, m in zip(names, moments)]
+    return df.sparkSession.createDataFrame(rows, f"column string, {STATISTICS}")
 
 
 def profile(
@@ -146,27 +126,28 @@ def profile(
         if total > sample_rows:
             source = df.sample(fraction=sample_rows / total, seed=42)
     parts = [df.columns[i:i + DISTINCTS_PER_JOB] for i in range(0, len(df.columns), DISTINCTS_PER_JOB)]
-    counted, typed = [], []
+    counted = []
     for part in parts:
         narrow = source.select(*[col(n) for n in part])
         counted += profile_columns(narrow, approx_distinct).collect()
-        typed += profile_types(narrow, compat).collect()
-    numeric = [t["column"] for t in typed if any(c["type"] == "numeric" and c["confidence"] > 0.5 for c in t["type_candidates"])]
+    typed = {r["column"]: r for r in profile_types(source, compat).collect()}
+    numeric = [c for c, t in typed.items() if any(c["type"] == "numeric" and c["confidence"] > 0.5 for c in t["type_candidates"])]
     stats = {r["column"]: r for r in profile_numeric(source, numeric).collect()} if numeric else {}
     head = source.select(*[as_text(df, n).alias(f"t{i}") for i, n in enumerate(df.columns)]).limit(5).collect()
 
     out = []
-    for i, (c, t) in enumerate(zip(counted, typed)):
+    for i, c in enumerate(counted):
+        candidates = typed[c["column"]]["type_candidates"] if c["column"] in typed else []
         s = stats.get(c["column"])
         out.append((
             c["column"], total if total is not None else c["n_rows"], c["nonnull"], c["nulls"], c["nunique"],
-            [r[f"t{i}"] for r in head], [(x["type"], x["confidence"]) for x in t["type_candidates"]],
+            [r[f"t{i}"] for r in head], [(x["type"], x["confidence"]) for x in candidates],
             tuple(s)[1:] if s is not None and s["count"] else None,
         ))
     schema = (
         "column string, n_rows long, nonnull long, nulls long, nunique long, sample_values array<string>, "
         "type_candidates array<struct<type:string,confidence:double>>, "
-        "stats struct<count:long,mean:double,std:double,min:double,p25:double,p50:double,p75:double,max:double>"
+        f"stats struct<{STATISTICS}>"
     )
     return df.sparkSession.createDataFrame(out, schema)
 

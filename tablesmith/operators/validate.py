@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import col, resolve_one
 from ..functions.quantiles import as_double
-from ..functions.report import rows_from_aggregates
+from ..functions.report import count_where, rows_from_aggregates
 from .clean import present
 
 
@@ -55,14 +55,14 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
                 rows.append(_entry("unique", wanted, F.lit(False)))
                 continue
             distinct = measured(F.count_distinct(F.when(present(df, name), col(name))))
-            missing = measured(F.count_if(~present(df, name)))
+            missing = measured(count_where(~present(df, name)))
             rows.append(_entry("unique", wanted, (distinct + missing == F.col("rows")) & (missing <= 1)))
         for wanted in _as_list(check.get("required", [])):
             name = resolve_one(df.columns, wanted)
             if name is None:
                 rows.append(_entry("required", wanted, F.lit(False)))
                 continue
-            missing = measured(F.count_if(~present(df, name)))
+            missing = measured(count_where(~present(df, name)))
             rows.append(_entry("required", wanted, missing == 0, missing=missing))
         if "regex" in check:
             wanted, pattern = check["regex"]["column"], check["regex"]["pattern"]
@@ -71,7 +71,7 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
                 rows.append(_entry("regex", wanted, F.lit(False), error="col_not_found"))
             else:
                 text = F.coalesce(col(name).cast("string"), F.lit(""))
-                fails = measured(F.count_if(~text.rlike(rf"\A(?:{pattern})")))
+                fails = measured(count_where(~text.rlike(rf"\A(?:{pattern})")))
                 rows.append(_entry("regex", wanted, fails == 0, fails=fails))
         if "range" in check:
             wanted, low, high = check["range"]["column"], check["range"].get("min"), check["range"].get("max")
@@ -84,7 +84,7 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
                     bad = bad | (value < F.lit(float(low)))
                 if high is not None:
                     bad = bad | (value > F.lit(float(high)))
-                fails = measured(F.count_if(bad))
+                fails = measured(count_where(bad))
                 rows.append(_entry("range", wanted, fails == 0, fails=fails, min=low, max=high))
     if not rows:
         schema = "check string, col string, ok boolean, missing long, fails long, min double, max double, error string"
@@ -96,7 +96,7 @@ def summarize(report: DataFrame) -> DataFrame:
     """One row: number of checks, passed checks, overall verdict and pass ratio (0 without checks)."""
     return report.agg(
         F.count(F.lit(1)).alias("checks"),
-        F.count_if("ok").alias("passed"),
+        count_where(F.col("ok")).alias("passed"),
         F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"),
     ).withColumn("pass_ratio", F.coalesce(F.try_divide(F.col("passed"), F.col("checks")), F.lit(0.0)))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,20 +16,28 @@ from ..operators.profile import profile
 DEFAULT_PIVOT = PivotSpec(rows=("월", "카테고리"), values=(("금액", "sum"),))
 
 
+PARTS = ("kpi", "sample", "profile", "pivot")
+
+
 def build_report(
     df: DataFrame,
     spec: PivotSpec = DEFAULT_PIVOT,
     sample_rows: int = 50,
     profile_sample: int | None = None,
     clean_seconds: float | None = None,
+    parts: Sequence[str] = PARTS,
 ) -> dict[str, DataFrame]:
-    """Key figures, first rows, column profile and pivot of a table."""
-    return {
-        "kpi": report_kpi(df, clean_seconds),
-        "sample": df.limit(sample_rows),
-        "profile": profile(df, profile_sample),
-        "pivot": pivot_long(df, spec),
+    """Key figures, first rows, column profile and pivot of a table, or those of them named in ``parts``.
+
+    Each part reads the table anew, so hand in a stored table rather than a long chain of steps.
+    """
+    builders = {
+        "kpi": lambda: report_kpi(df, clean_seconds),
+        "sample": lambda: df.limit(sample_rows),
+        "profile": lambda: profile(df, profile_sample),
+        "pivot": lambda: pivot_long(df, spec),
     }
+    return {name: builders[name]() for name in parts}
 
 
 def write_report(tables: Mapping[str, DataFrame], path: str) -> dict[str, str]:

@@ -45,11 +45,11 @@ def read_csv_table(
     return infer_types(raw) if typed else raw
 
 
-def _type_tests(c: Column) -> dict[str, Column]:
+def _type_tests(c: Column, digits: Column) -> dict[str, Column]:
     return {
         "nonnull": c.isNotNull(),
-        "long": c.rlike(_INTEGER) & c.try_cast("long").isNotNull(),
-        "double": strict_double(F.trim(c)).isNotNull(),
+        "long": digits & c.rlike(_INTEGER) & c.try_cast("long").isNotNull(),
+        "double": digits & strict_double(F.trim(c)).isNotNull(),
         "boolean": F.upper(c).isin("TRUE", "FALSE"),
     }
 
