@@ -17,7 +17,7 @@ from ..operators.impute import handle_missing_values
 from ..operators.outlier import outlier
 from ..sources.csv import read_csv_table, write_table
 
-_META = {"action", "type", "params", "timestamp", "operation"}
+_META = {"type", "params", "timestamp", "operation"}
 
 
 @dataclass
@@ -29,8 +29,8 @@ class Recipe:
     target: dict[str, Any] = field(default_factory=dict)
     metadata: dict[str, Any] = field(default_factory=dict)
 
-    def add_step(self, action: str, **params: Any) -> Recipe:
-        self.steps.append({"action": action, "params": params})
+    def add_step(self, kind: str, /, **params: Any) -> Recipe:
+        self.steps.append({"type": kind, "params": params})
         return self
 
     @classmethod
@@ -47,12 +47,12 @@ class Recipe:
 
 
 def step_parts(step: Mapping[str, Any]) -> tuple[str, dict[str, Any]]:
-    """Action name and settings of a step in either layout."""
-    action = step.get("action") or step.get("type")
-    if not action:
+    """Kind and settings of a step in either layout. Next to ``type``, ``action`` is an ordinary setting."""
+    naming = "type" if step.get("type") else "action"
+    if not step.get(naming):
         raise ValueError(f"recipe step without action or type: {dict(step)}")
-    inline = {k: v for k, v in step.items() if k not in _META}
-    return action, {**inline, **(step.get("params") or {})}
+    inline = {k: v for k, v in step.items() if k not in _META and k != naming}
+    return step[naming], {**inline, **(step.get("params") or {})}
 
 
 def _clean(df: DataFrame, params: dict[str, Any]) -> DataFrame:
@@ -92,10 +92,10 @@ STEPS: dict[str, Callable[[DataFrame, dict[str, Any]], DataFrame]] = {
 
 def run_steps(df: DataFrame, steps: Sequence[Mapping[str, Any]]) -> DataFrame:
     for step in steps:
-        action, params = step_parts(step)
-        if action not in STEPS:
-            raise ValueError(f"unknown recipe step {action!r}; known: {sorted(STEPS)}")
-        df = df.transform(STEPS[action], params)
+        kind, params = step_parts(step)
+        if kind not in STEPS:
+            raise ValueError(f"unknown recipe step {kind!r}; known: {sorted(STEPS)}")
+        df = df.transform(STEPS[kind], params)
     return df
 
 
