@@ -27,7 +27,7 @@ _NAMED_LAYOUTS = [
     (rf"(?i)^{_MONTH} (\d{{1,2}}),? (\d{{4}})$", "$2 $1 $3"),
     (rf"(?i)^(\d{{1,2}}) {_MONTH} (\d{{4}})$", "$1 $2 $3"),
 ]
-_NAMED = rf"(?i)^(?:{_MONTH} \d{{1,2}},?|\d{{1,2}} {_MONTH}) \d{{4}}$"
+_NAMED = r"^(?:\d{1,2} )?[A-Za-z]{3,9} (?:\d{1,2},? )?\d{4}$"
 _DIGIT_START = r"^(?:\d{4}[-/.년]|\d{8}(?:$|[ T])|\d{1,2}[-/]\d)"
 _COVERED_HINTS = {"YYYY-MM-DD", "YYYY/MM/DD", "YYYY.MM.DD", "YYYYMMDD"}
 

@@ -49,7 +49,9 @@ def tag_keywords(
     labels that name one of them, ignoring case.
     """
     keyword_map = keyword_map or load_keyword_map()
-    lowered = F.lower(F.trim(F.coalesce(col(text), F.lit(""))))
+    # Lowered once in a projection of its own, then searched for every keyword.
+    df = df.withColumn("__lowered", F.lower(F.trim(F.coalesce(col(text), F.lit("")))))
+    lowered = F.col("__lowered")
     allowed = None if columns is None else {c.lower() for c in columns}
 
     def usable(label: str) -> bool:
@@ -67,4 +69,4 @@ def tag_keywords(
     added = {"rows": _tags(lowered, rows), "values": _tags(lowered, values), "chart": chart}
     for name, levels in keyword_map.get("filters", {}).items():
         added[f"filter_{name}"] = _tags(lowered, levels)
-    return df.withColumns(added)
+    return df.withColumns(added).drop("__lowered")

@@ -19,7 +19,7 @@ from .report import count_where
 from .text import strict_double
 
 # Rows of one column (or group) that one aggregation buffer may hold.
-ROWS_IN_ONE_BUFFER = 1_000_000
+ROWS_IN_ONE_BUFFER = 100_000
 _SKETCH_ACCURACY = 10_000
 
 
@@ -94,54 +94,64 @@ def exact_quantiles(
 
 
 def _select_ranks(values: DataFrame, ranks: list[_Rank], buffer_rows: int) -> None:
+    """Narrow the interval of every rank until its value is found: a sketch pass proposes a narrower interval,
+    a counting pass proves where the rank lies. Ranks that share an interval share one sketch."""
     open_ranks = ranks
     while open_ranks:
-        # Sketch the values around each rank inside its interval; at the end read the exact value.
+        intervals: dict[tuple, list[_Rank]] = {}
+        for r in open_ranks:
+            intervals.setdefault((r.index, r.low, r.high), []).append(r)
         aggregates = []
-        for j, r in enumerate(open_ranks):
-            v = F.col(f"v{r.index}")
-            inside = F.when(_between(v, r.low, r.high), v)
-            offset = r.rank - r.below
-            if r.inside <= buffer_rows:
+        for (index, low, high), group in intervals.items():
+            value = F.col(f"v{index}")
+            inside = F.when(_between(value, low, high), value)
+            if group[0].inside <= buffer_rows:
                 # Bounded: the interval is known to hold at most buffer_rows values.
                 kept = F.sort_array(F.collect_list(inside))
-                aggregates.append(F.slice(kept, offset + 1, 1).alias(f"s{j}"))
+                aggregates.append(F.array(*[F.element_at(kept, r.rank - r.below + 1) for r in group]))
             else:
-                slack = 2.0 / _SKETCH_ACCURACY
-                place = offset / (r.inside - 1)
-                points = [max(place - slack, 0.0), min(place + slack, 1.0)]
-                aggregates.append(F.percentile_approx(inside, points, F.lit(_SKETCH_ACCURACY)).alias(f"s{j}"))
-        sketch = values.agg(*aggregates).first()
-
-        pending = []
-        for j, r in enumerate(open_ranks):
-            found = sketch[f"s{j}"]
-            if len(found) == 1:
-                r.value = found[0]
-            else:
-                pending.append((r, found[0], found[1]))
-
-        if pending:
-            counts = []
-            for j, (r, low, high) in enumerate(pending):
-                v = F.col(f"v{r.index}")
-                counts.append(count_where(v < F.lit(low)).alias(f"b{j}"))
-                counts.append(count_where(_between(v, low, high)).alias(f"i{j}"))
-            row = values.agg(*counts).first()
-            for j, (r, low, high) in enumerate(pending):
-                below, inside = row[f"b{j}"], row[f"i{j}"]
-                if r.rank < below:
-                    r.high, r.inside = math.nextafter(low, -math.inf), below - r.below
-                elif r.rank >= below + inside:
-                    r.inside = r.below + r.inside - below - inside
-                    r.below, r.low = below + inside, math.nextafter(high, math.inf)
+                points = [p for r in group for p in _bracket(r)]
+                aggregates.append(F.percentile_approx(inside, points, F.lit(_SKETCH_ACCURACY)))
+        found = values.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggregates)]).first()
+
+        proposed: list[tuple[_Rank, float, float]] = []
+        for i, group in enumerate(intervals.values()):
+            for j, r in enumerate(group):
+                if r.inside <= buffer_rows:
+                    r.value = found[i][j]
                 else:
-                    r.low, r.high, r.below, r.inside = low, high, below, inside
-                    if low == high:
-                        r.value = low
+                    proposed.append((r, found[i][2 * j], found[i][2 * j + 1]))
+        _verify(values, proposed)
         open_ranks = [r for r in open_ranks if r.value is None]
 
 
+def _bracket(r: _Rank) -> list[float]:
+    place, slack = (r.rank - r.below) / (r.inside - 1), 2.0 / _SKETCH_ACCURACY
+    return [max(place - slack, 0.0), min(place + slack, 1.0)]
+
+
+def _verify(values: DataFrame, proposed: list[tuple[_Rank, float, float]]) -> None:
+    if not proposed:
+        return
+    distinct = list(dict.fromkeys((r.index, low, high) for r, low, high in proposed))
+    row = values.agg(*[
+        F.struct(count_where(F.col(f"v{i}") < F.lit(low)), count_where(_between(F.col(f"v{i}"), low, high)))
+        for i, low, high in distinct
+    ]).first()
+    counts = dict(zip(distinct, row))
+    for r, low, high in proposed:
+        below, inside = counts[r.index, low, high]
+        if r.rank < below:
+            r.high, r.inside = math.nextafter(low, -math.inf), below - r.below
+        elif r.rank >= below + inside:
+            r.inside = r.below + r.inside - below - inside
+            r.below, r.low = below + inside, math.nextafter(high, math.inf)
+        else:
+            r.low, r.high, r.below, r.inside = low, high, below, inside
+            if low == high:
+                r.value = low
+
+
 def grouped_quantiles(
     df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float], name: str = "quantiles"
 ) -> DataFrame:

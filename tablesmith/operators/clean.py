@@ -137,9 +137,9 @@ def count_per_column(
     return {name: found.get(place, empty) for name, place in zip(names, places)}
 
 
-def _measure(df: DataFrame, trim: bool, date_fmt: str | None) -> dict[str, dict]:
-    # A column of another type only needs its non-null count; a blank stands for any value.
-    values = {n: col(n) if _is_text(df, n) else F.when(present(df, n), F.lit("")) for n in df.columns}
+def _measure(df: DataFrame, undecided: set[str], trim: bool, date_fmt: str | None) -> dict[str, dict]:
+    # A column that is not up for decision only needs its non-null count; a blank stands for any value.
+    values = {n: col(n) if n in undecided else F.when(present(df, n), F.lit("")) for n in df.columns}
     return count_per_column(
         df, values, lambda value, digits: text_counters(value, digits, date_fmt), trim_spaces if trim else lambda value: value
     )
@@ -162,10 +162,11 @@ def infer_clean(
     ``protect`` keeps columns text (a text column with many ``원`` would otherwise become money);
     ``date_cols`` forces the date reader, e.g. for all-digit ``YYYYMMDD`` columns that read as numbers.
     """
-    counts = _measure(df, trim, date_fmt)
-    rows = max((c["rows"] for c in counts.values()), default=0)
     protected = set(resolve(df.columns, protect, mode="ignore"))
     forced_dates = set(resolve(df.columns, date_cols, mode="ignore"))
+    undecided = {n for n in df.columns if _is_text(df, n) and n not in protected}
+    counts = _measure(df, undecided, trim, date_fmt)
+    rows = max((c["rows"] for c in counts.values()), default=0)
     keep_time = {snake(n) for n in (KEEP_TIME_COLUMNS if preserve_time_cols is None else preserve_time_cols)}
 
     columns = []

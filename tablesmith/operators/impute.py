@@ -49,8 +49,11 @@ def mode_value(df: DataFrame, name: str) -> Any:
     return None if top is None else top["v"]
 
 
-def _statistics(df: DataFrame, wanted: dict[str, str]) -> dict[str, Any]:
-    """Fill value per column for mean, median and mode; means share one job and medians another."""
+def _statistics(df: DataFrame, wanted: dict[str, str], sizes: Mapping[str, int] | None = None) -> dict[str, Any]:
+    """Fill value per column for mean, median and mode; means share one job and medians another.
+
+    ``sizes`` holds the numbers of values per column where they are known.
+    """
     values: dict[str, Any] = {}
     means = [c for c, s in wanted.items() if s == "mean"]
     if means:
@@ -58,7 +61,8 @@ def _statistics(df: DataFrame, wanted: dict[str, str]) -> dict[str, Any]:
         values.update({c: row[f"m{i}"] for i, c in enumerate(means)})
     medians = [c for c, s in wanted.items() if s == "median"]
     if medians:
-        values.update({c: q[0] for c, q in exact_quantiles(df, medians, [0.5]).items()})
+        known = [sizes[c] for c in medians] if sizes is not None and all(c in sizes for c in medians) else None
+        values.update({c: q[0] for c, q in exact_quantiles(df, medians, [0.5], sizes=known).items()})
     values.update({c: mode_value(df, c) for c, s in wanted.items() if s == "mode"})
     return values
 
@@ -171,15 +175,20 @@ def handle_missing_values(
     Columns not in the table are skipped. Mean, median and mode of neighbouring entries are measured
     together; a ``drop`` entry changes the rows that later entries see, so it ends such a batch.
     """
-    df = drop_sparse_columns(df, drop_threshold)
+    rows, missing = missing_counts(df)
+    df = df.select(*[col(n) for n in df.columns if rows == 0 or missing[n] / rows <= drop_threshold])
+    sizes: dict[str, int] | None = {n: rows - missing[n] for n in df.columns}
     batch: dict[str, str] = {}
 
     def flush(current: DataFrame) -> DataFrame:
         for group in (("mean", "median"), ("mode",)):
             part = {c: s for c, s in batch.items() if s in group}
             if part:
-                values = {c: v for c, v in _statistics(current, part).items() if v is not None}
+                values = {c: v for c, v in _statistics(current, part, sizes).items() if v is not None}
                 current = _fill_values(current, values, widen=group[0] == "mean")
+        for c in batch:
+            if sizes is not None:
+                sizes.pop(c, None)
         batch.clear()
         return current
 
@@ -197,6 +206,10 @@ def handle_missing_values(
         if kind in ("drop", *_ORDERED) or name in batch:
             df = flush(df)
         df = fill(df, strategy, name, config.get("fill_value"), order_by, partition_by)
+        if kind == "drop":
+            sizes = None
+        elif sizes is not None:
+            sizes.pop(name, None)
     return flush(df)
 
 

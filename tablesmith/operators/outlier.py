@@ -143,9 +143,13 @@ def _changed(df: DataFrame, bounds: Sequence[Bounds]) -> list[int]:
     return [row[f"n{i}"] for i in range(len(bounds))]
 
 
-def outlier(df: DataFrame, rules: Iterable[Mapping[str, Any]], action: str = "clip") -> tuple[DataFrame, DataFrame]:
+def outlier(
+    df: DataFrame, rules: Iterable[Mapping[str, Any]], action: str = "clip", count_changes: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Apply rules in order; return the table and a report with one row per rule.
 
+    Counting the changed values costs a pass over the table; without ``count_changes`` they stay null.
+
     Rules on different columns cannot influence each other when clipping, so they are measured together;
     a second rule on a column, or any rule after a removal, starts a new round.
     """
@@ -157,7 +161,8 @@ def outlier(df: DataFrame, rules: Iterable[Mapping[str, Any]], action: str = "cl
         if not batch:
             return current
         bounds = measure(current, [(c, m, p) for _, c, m, p in batch])
-        for (order, *_), b, changed in zip(batch, bounds, _changed(current, bounds)):
+        counts = _changed(current, bounds) if count_changes else [None] * len(bounds)
+        for (order, *_), b, changed in zip(batch, bounds, counts):
             report.append((order, b.column, b.method, changed, b.q1, b.q3, b.mean, b.std, b.lo, b.hi, b.parameter, "ok"))
         batch.clear()
         return apply_bounds(current, bounds, action)
@@ -185,4 +190,4 @@ def detect_outliers(df: DataFrame, columns: Sequence[str], method: str = "iqr",
 def handle_outliers(df: DataFrame, info: Mapping[str, Mapping[str, Any]], action: str = "clip") -> DataFrame:
     """Apply ``{column: {method, …}}`` with the chosen action."""
     rules = [{"col": c, **settings} for c, settings in info.items() if "method" in settings]
-    return outlier(df, rules, action)[0] if rules else df
+    return outlier(df, rules, action, count_changes=False)[0] if rules else df

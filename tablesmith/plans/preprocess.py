@@ -13,6 +13,7 @@ from ..operators.impute import handle_missing_values, parse_impute_rules
 from ..operators.kpi import kpi_metrics
 from ..operators.outlier import outlier, parse_outlier_rules
 from ..operators.validate import gated_write
+from ..session import materialize
 from ..sources.csv import read_csv_table, write_table
 
 
@@ -30,16 +31,21 @@ def preprocess(
 
     ``impute`` and ``outliers`` take the short text form (``median:amount;zero:quantity`` and
     ``iqr_clip:amount@multiplier=1.5``) or the structured form. Column names follow cleaning.
+
+    Filling and clipping measure the table several times, so the cleaned table is written once to the
+    shared folder first and those passes read only the columns they measure.
     """
     out = level1_clean(df, **clean_options)
     if keys:
         out = dedupe(out, keys, keep, order_by)
+    if impute or outliers:
+        out = materialize(out, "cleaned")
     if impute:
         rules = parse_impute_rules(impute) if isinstance(impute, str) else impute
         out = handle_missing_values(out, rules, drop_threshold, order_by)
     if outliers:
         rules = parse_outlier_rules(outliers) if isinstance(outliers, str) else outliers
-        out, _ = outlier(out, rules)
+        out, _ = outlier(out, rules, count_changes=False)
     return out
 
 

@@ -15,6 +15,7 @@ from ..operators.clean import level1_clean
 from ..operators.dedupe import dedupe
 from ..operators.impute import handle_missing_values
 from ..operators.outlier import outlier
+from ..session import materialize
 from ..sources.csv import read_csv_table, write_table
 
 _META = {"type", "params", "timestamp", "operation"}
@@ -79,7 +80,7 @@ def _outlier(df: DataFrame, params: dict[str, Any]) -> DataFrame:
     if rules is None:
         settings = {k: v for k, v in params.items() if k not in ("columns", "action", "rules")}
         rules = [{"col": c, **settings} for c in params.get("columns") or []]
-    return outlier(df, rules, params.get("action", "clip"))[0]
+    return outlier(df, rules, params.get("action", "clip"), count_changes=False)[0]
 
 
 STEPS: dict[str, Callable[[DataFrame, dict[str, Any]], DataFrame]] = {
@@ -91,11 +92,20 @@ STEPS: dict[str, Callable[[DataFrame, dict[str, Any]], DataFrame]] = {
 
 
 def run_steps(df: DataFrame, steps: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Apply steps in order.
+
+    Imputation and outlier steps measure the table several times, so what comes before them is written
+    once to the shared folder and read back column by column.
+    """
+    stored = True
     for step in steps:
         kind, params = step_parts(step)
         if kind not in STEPS:
             raise ValueError(f"unknown recipe step {kind!r}; known: {sorted(STEPS)}")
+        if kind in ("impute", "outlier") and not stored:
+            df, stored = materialize(df, "recipe"), True
         df = df.transform(STEPS[kind], params)
+        stored = stored and kind in ("impute", "outlier")
     return df
 
 

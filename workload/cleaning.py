@@ -5,7 +5,7 @@ from __future__ import annotations
 import tablesmith as ts
 from pyspark.sql import functions as F
 
-from .tables import GAPPY_EVENTS_SQL, MESSY_ORDERS_CLEAN_SQL, amount_text, date_text, gappy_events, messy_orders, table
+from .tables import GAPPY_EVENTS_SQL, MESSY_ORDERS_CLEAN_SQL, amount_text, date_text, gappy_events, messy_orders, parsed, table
 
 
 def snake_columns(spark, sf):
@@ -34,14 +34,14 @@ def infer_types(spark, sf):
 
 
 def clean_trim(spark, sf):
-    padded = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))
+    padded = parsed(spark, sf, "documents").select("doc_id", F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))
     return ts.level1_clean(padded, protect=["text"])
 
 
 def clean_bool(spark, sf):
     flag = F.expr("""case event_id % 6 when 0 then '예' when 1 then 'Y' when 2 then 'true'
                      when 3 then '아니오' when 4 then 'N' else 'False' end""")
-    return ts.level1_clean(table(spark, sf, "events").select("event_id", flag.alias("flag")))
+    return ts.level1_clean(parsed(spark, sf, "events").select("event_id", flag.alias("flag")))
 
 
 def clean_currency(spark, sf):
@@ -55,7 +55,7 @@ def clean_currency(spark, sf):
 
 
 def clean_number(spark, sf):
-    dirty = table(spark, sf, "lineitem").select(
+    dirty = parsed(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.format_number("l_extendedprice", 2).alias("price")
     )
     return ts.level1_clean(dirty)
@@ -64,7 +64,7 @@ def clean_number(spark, sf):
 def clean_date(spark, sf):
     layouts = ["yyyy-MM-dd", "yyyy/M/d", "yyyy.MM.dd", "yyyyMMdd", "MM/dd/yyyy", "MMMM d, yyyy", "d MMM yyyy",
                "yyyy-MM-dd HH:mm:ss", "yyyy년 M월 dd일"]
-    return ts.level1_clean(table(spark, sf, "orders").select("o_orderkey", date_text(layouts).alias("order_date")))
+    return ts.level1_clean(parsed(spark, sf, "orders").select("o_orderkey", date_text(layouts).alias("order_date")))
 
 
 def clean_decisions(spark, sf):
