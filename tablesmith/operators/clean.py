@@ -17,12 +17,13 @@ from ..functions.dates import date_text, parse_timestamp
 from ..functions.lexicon import KEEP_TIME_COLUMNS
 from ..functions.names import col, resolve, snake, unique_names
 from ..functions.report import count_where
-from ..functions.text import currency_code, has_currency, has_digit, is_amount, is_number, to_amount, to_bool, to_number, trim_spaces
+from ..functions.text import currency_code, has_currency, has_digit, is_amount, is_number, strict_double, to_amount, to_bool, to_number, trim_spaces
 
 
 @dataclass
 class ColumnPlan:
-    """Decision for one column: ``kind`` is keep, text, bool, number, currency or date."""
+    """Decision for one column: ``kind`` is keep, text, bool, number, currency or date, or the type
+    (long, double, boolean) of a column read as text whose every value has that type."""
 
     source: str
     name: str
@@ -92,10 +93,27 @@ def text_counters(value: Column, digits: Column, date_fmt: str | None) -> dict[s
     }
 
 
+def type_counters(value: Column, digits: Column) -> dict[str, Column]:
+    """Counting conditions for the types a reader would give a text column."""
+    return {
+        "as_long": digits & value.rlike("^[+-]?[0-9]+$") & value.try_cast("long").isNotNull(),
+        "as_double": digits & strict_double(value).isNotNull(),
+        "as_boolean": F.upper(value).isin("TRUE", "FALSE"),
+    }
+
+
+def whole_type(counts: dict) -> str | None:
+    """Type that every value of a column has, if there is one."""
+    values = counts["nonnull"]
+    return next((t for t in ("long", "double", "boolean") if values and counts[f"as_{t}"] == values), None)
+
+
 def decide(counts: dict, rows: int) -> str:
     """Kind of a text column from its counters; the order of the tests is the order of the stages."""
     if rows == 0:
         return "text"
+    if "as_long" in counts and whole_type(counts):
+        return whole_type(counts)
     share = {k: v / rows for k, v in counts.items()}
     if share["bool"] > 0.9:
         return "bool"
@@ -137,12 +155,15 @@ def count_per_column(
     return {name: found.get(place, empty) for name, place in zip(names, places)}
 
 
-def _measure(df: DataFrame, undecided: set[str], trim: bool, date_fmt: str | None) -> dict[str, dict]:
+def _measure(df: DataFrame, undecided: set[str], trim: bool, date_fmt: str | None, untyped: bool) -> dict[str, dict]:
     # A column that is not up for decision only needs its non-null count; a blank stands for any value.
     values = {n: col(n) if n in undecided else F.when(present(df, n), F.lit("")) for n in df.columns}
-    return count_per_column(
-        df, values, lambda value, digits: text_counters(value, digits, date_fmt), trim_spaces if trim else lambda value: value
-    )
+
+    def tests(value: Column, digits: Column) -> dict[str, Column]:
+        types = type_counters(F.trim(value), digits) if untyped else {}
+        return text_counters(value, digits, date_fmt) | types
+
+    return count_per_column(df, values, tests, trim_spaces if trim else lambda value: value)
 
 
 def infer_clean(
@@ -156,16 +177,20 @@ def infer_clean(
     protect: Iterable[str] = (),
     date_cols: Iterable[str] = (),
     date_type: str = "string",
+    untyped: bool = False,
 ) -> CleanPlan:
     """Measure ``df`` in one aggregate and decide per column what it holds.
 
+    ``untyped`` is for a file read as plain text: the types a reader would give its columns are decided in
+    the same pass, and columns that get one are left alone otherwise.
+
     ``protect`` keeps columns text (a text column with many ``원`` would otherwise become money);
     ``date_cols`` forces the date reader, e.g. for all-digit ``YYYYMMDD`` columns that read as numbers.
     """
     protected = set(resolve(df.columns, protect, mode="ignore"))
     forced_dates = set(resolve(df.columns, date_cols, mode="ignore"))
     undecided = {n for n in df.columns if _is_text(df, n) and n not in protected}
-    counts = _measure(df, undecided, trim, date_fmt)
+    counts = _measure(df, undecided, trim, date_fmt, untyped)
     rows = max((c["rows"] for c in counts.values()), default=0)
     keep_time = {snake(n) for n in (KEEP_TIME_COLUMNS if preserve_time_cols is None else preserve_time_cols)}
 
@@ -195,6 +220,8 @@ def infer_clean(
 
 
 def _convert(plan: CleanPlan, c: ColumnPlan, value: Column) -> Column:
+    if c.kind in ("long", "double", "boolean"):
+        return F.trim(value).try_cast(c.kind)
     if c.kind == "bool":
         return to_bool(value)
     if c.kind == "currency":

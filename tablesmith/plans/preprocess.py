@@ -59,7 +59,8 @@ def preprocess_file(
     **options: Any,
 ) -> DataFrame:
     """Read a CSV, prepare it and write it to ``target`` unless ``spec`` fails; returns the table either way."""
-    out = preprocess(read_csv_table(spark, source, encoding), **options)
+    raw = read_csv_table(spark, source, encoding, typed=False)
+    out = preprocess(raw, untyped=True, **options)
     if target:
         if spec:
             gated_write(out, spec, lambda table: write_table(table, target), threshold)
@@ -91,8 +92,8 @@ def run_folder(spark: SparkSession, path: str, target: str, **options: Any) -> D
     """
     reports = []
     for number, files in enumerate(files_by_header(spark, path)):
-        raw = read_csv_table(spark, files, typed=True)
-        out = preprocess(raw.withColumn("source_file", F.col("_metadata.file_path")), protect=["source_file"], **options)
+        raw = read_csv_table(spark, files, typed=False).withColumn("source_file", F.col("_metadata.file_path"))
+        out = preprocess(raw, untyped=True, protect=["source_file"], **options)
         group_target = f"{target}/group={number}"
         write_table(out, group_target, format="parquet")
         stored = spark.read.parquet(group_target)

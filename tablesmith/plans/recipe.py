@@ -60,7 +60,7 @@ def _clean(df: DataFrame, params: dict[str, Any]) -> DataFrame:
     options = {**params, **params.get("normalize", {})}
     if "drop_empty_rows" in options:
         options.setdefault("drop_empty", options["drop_empty_rows"])
-    accepted = ("trim", "date_fmt", "currency_split", "drop_empty", "preserve_time_cols", "currency_mode", "protect", "date_cols", "date_type")
+    accepted = ("trim", "date_fmt", "currency_split", "drop_empty", "preserve_time_cols", "currency_mode", "protect", "date_cols", "date_type", "untyped")
     return level1_clean(df, **{k: options[k] for k in accepted if k in options})
 
 

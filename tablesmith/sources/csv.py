@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.lexicon import NULL_TOKENS
 from ..functions.names import col, unique_names
-from ..functions.text import strict_double
-from ..operators.clean import count_per_column
+from ..operators.clean import count_per_column, type_counters, whole_type
 
 # Charset names Spark's CSV reader knows, and those that need the Java charset table.
 _JAVA_CHARSETS = {"cp949": "MS949", "ms949": "MS949", "euc-kr": "EUC-KR", "euckr": "EUC-KR"}
 _SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf8": "UTF-8", "ascii": "US-ASCII"}
-_INTEGER = r"^[+-]?[0-9]+$"
 
 
 def read_null_tokens(df: DataFrame) -> DataFrame:
@@ -45,22 +43,16 @@ def read_csv_table(
     return infer_types(raw) if typed else raw
 
 
-def _type_tests(c: Column, digits: Column) -> dict[str, Column]:
-    return {
-        "nonnull": c.isNotNull(),
-        "long": digits & c.rlike(_INTEGER) & c.try_cast("long").isNotNull(),
-        "double": digits & strict_double(F.trim(c)).isNotNull(),
-        "boolean": F.upper(c).isin("TRUE", "FALSE"),
-    }
-
-
 def column_types(df: DataFrame) -> dict[str, str]:
     """Type per text column: ``long``, ``double`` or ``boolean`` if every value parses, else ``string``."""
     texts = {f.name: col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     types = {}
-    for name, counts in count_per_column(df, texts, _type_tests).items():
-        fits = [kind for kind in ("long", "double", "boolean") if counts["nonnull"] and counts[kind] == counts["nonnull"]]
-        types[name] = fits[0] if fits else "string"
+
+    def tests(value: Column, digits: Column) -> dict[str, Column]:
+        return {"nonnull": value.isNotNull(), **type_counters(value, digits)}
+
+    for name, counts in count_per_column(df, texts, tests, F.trim).items():
+        types[name] = whole_type(counts) or "string"
     return types
 
 
@@ -72,16 +64,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     ])
 
 
-def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
+def detect_encodings(spark: SparkSession, path: str, marks: bool = True) -> DataFrame:
     """Encoding per file below ``path``: ``utf-8-sig``, ``utf-8`` or ``cp949``.
 
     Whole files are checked, line by line and in parallel: a file with a line that is not valid UTF-8 is
-    cp949. The byte-order mark is looked up in files a single cell can hold; Spark skips it on reading anyway.
+    cp949. ``marks`` also looks for a byte-order mark, in files a single cell can hold; this reads them once
+    more and only refines the name, since Spark skips the mark on reading.
     """
     # The text source hands over raw bytes, so is_valid_utf8 sees what the file holds.
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid"))
     valid = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"))
-    marks = (
+    if not marks:
+        return valid.select("path", F.when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("cp949")).alias("encoding"))
+    marked = (
         spark.read.format("binaryFile").load(path)
         .where(F.col("length") <= 1 << 30)
         .select(F.col("_metadata.file_path").alias("path"), (F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("mark"))
@@ -91,7 +86,7 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
         .when(F.coalesce("valid", F.lit(True)), F.lit("utf-8"))
         .otherwise(F.lit("cp949"))
     )
-    return valid.join(marks, "path", "full").select("path", encoding.alias("encoding"))
+    return valid.join(marked, "path", "full").select("path", encoding.alias("encoding"))
 
 
 def output_path(source: str, suffix: str = "_clean") -> str:

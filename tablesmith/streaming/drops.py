@@ -46,10 +46,13 @@ def report_drops(
     A restarted batch overwrites its own folders, so a file has one report even after a failure.
     """
     def report_batch(batch: DataFrame, _batch_id: int) -> None:
+        # Every part of a report reads the batch; keep it instead of parsing the files again.
+        batch.persist()
         for row in batch.select("source_file").distinct().collect():
             part = batch.where(F.col("source_file") == row["source_file"]).drop("source_file")
             name = os.path.splitext(os.path.basename(row["source_file"]))[0]
             write_report(build_report(apply_clean(part, plan) if plan else part, spec), f"{target}/{name}")
+        batch.unpersist()
 
     return _start(stream, report_batch, checkpoint, trigger)
 
@@ -65,9 +68,11 @@ def gated_stream(
 ) -> StreamingQuery:
     """Check every micro-batch; write it below ``accepted`` or, when the gate stays shut, below ``quarantine``."""
     def check_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         allowed = gate(batch, spec, threshold).first()["allowed"]
         # One folder per batch, overwritten on a retry, makes the write idempotent.
         batch.write.mode("overwrite").parquet(f"{accepted if allowed else quarantine}/batch={batch_id}")
+        batch.unpersist()
 
     return _start(stream, check_batch, checkpoint, trigger)
 

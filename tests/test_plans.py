@@ -214,3 +214,11 @@ def test_entry_and_queries(spark):
     for name in ("level1_clean", "impute_interpolate_global", "pivot_long_null_level"):
         df = entry.queries()[name](spark, "/root/testdata/sf0.001")
         assert df.count() == len(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_types_and_cleaning_from_one_pass(spark, transactions):
+    text = ts.read_csv_table(spark, transactions, typed=False).withColumn("n", F.lit("7")).withColumn("t", F.lit("TRUE"))
+    once = ts.level1_clean(text, untyped=True)
+    twice = ts.level1_clean(ts.infer_types(text))
+    assert once.schema.simpleString() == twice.schema.simpleString() and dict(once.dtypes)["n"] == "bigint"
+    assert rows(once, "업데이트일", "주문일") == rows(twice, "업데이트일", "주문일")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tablesmith as ts
 from pyspark.sql import functions as F
+from tablesmith.functions.text import currency_code
 
 from .tables import GAPPY_EVENTS_SQL, MESSY_ORDERS_CLEAN_SQL, amount_text, date_text, gappy_events, messy_orders, parsed, table
 
@@ -46,12 +47,8 @@ def clean_bool(spark, sf):
 
 def clean_currency(spark, sf):
     dirty = amount_text(spark, sf)
-    compat = dirty.select("*", F.col("amount").alias("won"))
-    plan = ts.infer_clean(compat)
-    detected = ts.apply_clean(compat, plan, measured=True)
-    plan.currency_mode = "compat"
-    same = ts.apply_clean(compat, plan, measured=True).select("o_orderkey", F.col("won__currency").alias("compat_currency"))
-    return detected.select("o_orderkey", "amount", "amount__currency").join(same, "o_orderkey")
+    compat = dirty.withColumn("compat_currency", currency_code(F.col("amount"), "compat"))
+    return ts.level1_clean(compat, protect=["compat_currency"])
 
 
 def clean_number(spark, sf):

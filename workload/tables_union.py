@@ -71,7 +71,12 @@ def profile_numeric(spark, sf):
 
 
 def profile_full(spark, sf):
-    return ts.profile(table(spark, sf, "orders"))
+    found = ts.profile(table(spark, sf, "orders"))
+    return found.select(
+        "column", "n_rows", "nonnull", "nulls", "nunique", F.size("sample_values").cast("long").alias("samples"),
+        F.col("type_candidates")[0]["type"].alias("best_type"), F.col("stats.count").alias("numbers"),
+        F.round("stats.mean", 2).alias("mean"), F.round("stats.p50", 2).alias("p50"),
+    )
 
 
 def validate_unique(spark, sf):
@@ -195,7 +200,12 @@ QUERIES = {
         union all select 'Active?', 0.0, 1.0, 0.0, 0.0, 'boolean', 1.0 from s
         union all select 'Memo', 0.0, 0.0, 0.0, 0.0, 'string', 1.0 from s"""),
     "profile_numeric": (profile_numeric, " union all ".join(_numeric_sql(c) for c in ("l_quantity", "l_extendedprice", "l_discount"))),
-    "profile_full": (profile_full, None),
+    "profile_full": (profile_full, " union all ".join(
+        [f"select '{c}' as \"column\", count(*) as n_rows, count({c}) as nonnull, 0::bigint as nulls, count(distinct {c}) as nunique, 5::bigint as samples, "
+         f"'currency' as best_type, count({c}) as numbers, round(avg({c}), 2) as mean, round(median({c}), 2)::double as p50 from orders"
+         for c in ("o_orderkey", "o_custkey", "o_totalprice")]
+        + [f"select '{c}', count(*), count({c}), 0, count(distinct {c}), 5, '{kind}', null, null, null from orders"
+           for c, kind in (("o_orderstatus", "string"), ("o_orderpriority", "string"), ("o_orderdate", "datetime"))])),
     "validate_unique": (validate_unique, """
         select 'unique' as "check", 'o_orderkey' as col, count(*) = count(distinct o_orderkey) as ok from orders
         union all select 'unique', 'o_custkey', count(*) = count(distinct o_custkey) from orders
