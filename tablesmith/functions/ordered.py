@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..session import materialize
 from .names import col
@@ -71,9 +71,9 @@ def neighbours(
     """Add ``__prev_<i>`` / ``__next_<i>``: struct(pos, v) of the nearest non-null value of ``columns[i]``
     at or before / at or after each row within its group, and ``__pos``, a row number without gaps."""
     if partition_by and largest_group(df, partition_by) <= group_limit:
-        base = Window.partitionBy(*[col(c) for c in partition_by])
-        ordered = df.withColumn(POSITION, F.row_number().over(base.orderBy(*[col(c) for c in order_by])))
-        return _with_neighbours(ordered, columns, base, [], previous, following)
+        base, order = Window.partitionBy(*[col(c) for c in partition_by]), [col(c) for c in order_by]
+        ordered = df.withColumn(POSITION, F.row_number().over(base.orderBy(*order)))
+        return _with_neighbours(ordered, columns, base, order, [], previous, following)
 
     chunked = order_in_chunks(df, partition_by, order_by, "ordered")
     carries = _carry_table(chunked, columns, partition_by, previous, following)
@@ -82,7 +82,8 @@ def neighbours(
     joined = chunked.join(F.broadcast(carries), CHUNK, "left").withColumn(
         POSITION, _local(F.col(POSITION)) + F.col(OFFSET)
     )
-    return _with_neighbours(joined, columns, base, partition_by, previous, following, carried=True).drop(
+    order = [F.col(POSITION)]
+    return _with_neighbours(joined, columns, base, order, partition_by, previous, following, carried=True).drop(
         CHUNK, *[c for c in carries.columns if c != CHUNK]
     )
 
@@ -122,16 +123,17 @@ def _carry_table(
 def _with_neighbours(
     df: DataFrame,
     columns: Sequence[str],
-    base: Window,
+    base: WindowSpec,
+    order: Sequence[Column],
     partition_by: Sequence[str],
     previous: bool,
     following: bool,
     carried: bool = False,
 ) -> DataFrame:
-    up_to_here = base.orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+    up_to_here = base.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # Looking ahead is looking back in descending order: a frame that ends unbounded would rescan the rest
     # of the group for every row.
-    from_here = base.orderBy(F.desc(POSITION)).rowsBetween(Window.unboundedPreceding, 0)
+    from_here = base.orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
 
     def with_carry(local: Column, carry: str) -> Column:
         if not carried:
