@@ -12,21 +12,22 @@ from ..functions.text import to_number
 from .clean import present
 
 STATISTICS = "count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
-# Columns whose distinct values one job counts: each distinct count adds a copy of the row to the shuffle.
-DISTINCTS_PER_JOB = 16
 
 
 def as_text(df: DataFrame, name: str) -> Column:
     """Value written the way a person would: plain decimals instead of exponents."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        plain = col(name).try_cast("decimal(38,10)").cast("string")
-        return F.when(present(df, name), F.coalesce(plain, col(name).cast("string")))
+        return F.when(present(df, name), _plain_number(col(name)))
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(col(name))
     return col(name).cast("string")
 
 
+def _plain_number(number: Column) -> Column:
+    return F.coalesce(number.try_cast("decimal(38,10)").cast("string"), number.cast("string"))
+
+
 def _candidate_tests(text: Column) -> dict[str, Column]:
     return {
         "hint": text.rlike(PROFILE_DATE_HINT),
@@ -69,15 +70,48 @@ def profile_types(df: DataFrame, compat: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), *[count_where(test).alias(key) for key, test in tests.items()]
     )
     share = {key: F.col(key) / F.col("rows") for key in tests}
-    names = F.create_map(*[F.lit(x) for pair in zip(places, df.columns) for x in pair])
     return counted.select(
-        F.element_at(names, F.col("place")).alias("column"),
+        _column_of(places, df.columns),
         share["hint"].alias("datetime_ratio"),
         *[share[key].alias(f"{key}_ratio") for key in ("boolean", "currency", "numeric")],
         _ranked(share, compat).alias("type_candidates"),
     )
 
 
+def _column_of(places: list[str], names: list[str]) -> Column:
+    lookup = F.create_map(*[F.lit(x) for pair in zip(places, names) for x in pair])
+    return F.element_at(lookup, F.col("place")).alias("column")
+
+
+def _count_values(df: DataFrame, compat: bool) -> DataFrame:
+    """Counts, distinct counts and type candidates of all columns from one scan and one shuffle.
+
+    Equal values are counted before the shuffle, and the type tests run once per distinct value.
+    """
+    places = [f"c{i}" for i in range(len(df.columns))]
+    floats = [n for n in df.columns if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))]
+    # Floats keep their shortest exact text here, which tells all values apart; adding zero turns -0.0 into 0.0.
+    texts = [
+        F.when(present(df, n), (col(n) + F.lit(0.0)).cast("string")) if n in floats else as_text(df, n) for n in df.columns
+    ]
+    stacked = df.select(*[t.alias(p) for t, p in zip(texts, places)]).unpivot([], places, "place", "value")
+    per_value = stacked.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+    number = F.col("place").isin([p for p, n in zip(places, df.columns) if n in floats])
+    text = F.when(number, _plain_number(F.col("value").try_cast("double"))).otherwise(F.col("value"))
+    tests = _candidate_tests(F.col("text"))
+    counted = per_value.withColumn("text", text).groupBy("place").agg(
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("nonnull"),
+        F.count("value").alias("nunique"),
+        *[F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(key) for key, test in tests.items()],
+    )
+    share = {key: F.col(key) / F.col("rows") for key in tests}
+    return counted.select(
+        _column_of(places, df.columns), F.col("rows").alias("n_rows"), "nonnull", (F.col("rows") - F.col("nonnull")).alias("nulls"),
+        "nunique", _ranked(share, compat).alias("type_candidates"),
+    )
+
+
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Rows, non-null, null and distinct counts per column in a single job."""
     distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
@@ -125,23 +159,24 @@ def profile(
         total = df.count()
         if total > sample_rows:
             source = df.sample(fraction=sample_rows / total, seed=42)
-    parts = [df.columns[i:i + DISTINCTS_PER_JOB] for i in range(0, len(df.columns), DISTINCTS_PER_JOB)]
-    counted = []
-    for part in parts:
-        narrow = source.select(*[col(n) for n in part])
-        counted += profile_columns(narrow, approx_distinct).collect()
-    typed = {r["column"]: r for r in profile_types(source, compat).collect()}
-    numeric = [c for c, t in typed.items() if any(c["type"] == "numeric" and c["confidence"] > 0.5 for c in t["type_candidates"])]
+    if approx_distinct:
+        counts = profile_columns(source, approx_distinct=True).join(profile_types(source, compat), "column")
+    else:
+        counts = _count_values(source, compat)
+    found = {r["column"]: r for r in counts.collect()}
+    numeric = [
+        n for n in df.columns
+        if n in found and any(c["type"] == "numeric" and c["confidence"] > 0.5 for c in found[n]["type_candidates"])
+    ]
     stats = {r["column"]: r for r in profile_numeric(source, numeric).collect()} if numeric else {}
     head = source.select(*[as_text(df, n).alias(f"t{i}") for i, n in enumerate(df.columns)]).limit(5).collect()
 
     out = []
-    for i, c in enumerate(counted):
-        candidates = typed[c["column"]]["type_candidates"] if c["column"] in typed else []
-        s = stats.get(c["column"])
+    for i, n in enumerate(df.columns):
+        c, s = found.get(n), stats.get(n)
         out.append((
-            c["column"], total if total is not None else c["n_rows"], c["nonnull"], c["nulls"], c["nunique"],
-            [r[f"t{i}"] for r in head], [(x["type"], x["confidence"]) for x in candidates],
+            n, total if total is not None else (c["n_rows"] if c else 0), *((c["nonnull"], c["nulls"], c["nunique"]) if c else (0, 0, 0)),
+            [r[f"t{i}"] for r in head], [(x["type"], x["confidence"]) for x in c["type_candidates"]] if c else [],
             tuple(s)[1:] if s is not None and s["count"] else None,
         ))
     schema = (

@@ -172,3 +172,15 @@ def test_kpis(spark, mixed):
     doubled = mixed.unionAll(mixed)
     assert rows(ts.diff_metrics(doubled, mixed)) == [("before", 8, 4), ("after", 4, 0)]
     assert dict(rows(ts.report_kpi(mixed, 1.23456)))["clean_seconds"] == 1.235
+
+
+def test_profile_counts_floats_and_approximates(spark):
+    df = spark.createDataFrame([(0.0, "x"), (-0.0, "x"), (1e-12, None), (2e-12, "y"), (float("nan"), "y"), (None, "z"), (1e7, "z")], "v double, s string")
+    found = {r["column"]: r for r in ts.profile(df).collect()}
+    assert (found["v"]["nonnull"], found["v"]["nulls"], found["v"]["nunique"]) == (5, 2, 4)
+    exact = {r["column"]: r["nunique"] for r in ts.profile_columns(df).collect()}
+    assert exact == {"v": 4, "s": 3} and found["s"]["nunique"] == 3
+    assert found["v"]["type_candidates"][0]["type"] == "currency"
+    rough = {r["column"]: r for r in ts.profile(df, approx_distinct=True).collect()}
+    assert rough["s"]["nunique"] == 3 and rough["v"]["type_candidates"] == found["v"]["type_candidates"]
+    assert ts.profile(df.limit(0)).count() == 2
