@@ -27,10 +27,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry._ALL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry._ALL))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     plan = plan_of(df)
