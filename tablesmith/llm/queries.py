@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import chat, ngram_join, packing, pii, secrets
 
-QUERIES = {**ngram_join.QUERIES}
+QUERIES = {**secrets.QUERIES, **pii.QUERIES, **chat.QUERIES, **packing.QUERIES, **ngram_join.QUERIES}
