@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import chat, ngram_join, packing, pii, secrets
+from . import chat, ngram_join, packing, pii, quality_rules, secrets, warc
 
-QUERIES = {**secrets.QUERIES, **pii.QUERIES, **chat.QUERIES, **packing.QUERIES, **ngram_join.QUERIES}
+QUERIES = {**quality_rules.QUERIES, **warc.QUERIES, **secrets.QUERIES, **pii.QUERIES, **chat.QUERIES, **packing.QUERIES, **ngram_join.QUERIES}
