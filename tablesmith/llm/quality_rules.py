@@ -24,6 +24,7 @@ STOP_WORDS = "the of and to in that is was for it with as be on at by this are o
 RULES = [
     ("length", "n_words >= 30", "n_words < 10"),
     ("symbols", "n_symbols <= 0.02 * n_words", "n_symbols > 0.1 * n_words"),
+    ("plain lines", "n_symbol_lines <= 0.1 * n_lines and n_lines > 0", "n_symbol_lines > 0.4 * n_lines"),
     ("repeated lines", "n_dup_lines = 0 and n_lines > 1", "n_dup_lines > 0.4 * n_lines"),
     ("repeated words", "n_repeat_words <= 0.1 * n_words", "n_repeat_words > 0.4 * n_words"),
     ("word length", "word_chars between 3.8 * n_words and 7 * n_words", "word_chars < 3 * n_words or word_chars > 10 * n_words"),
@@ -40,7 +41,7 @@ _BLANKS = "' \\t\\n\\u000B\\u000C\\r'"
 def features(docs: DataFrame) -> DataFrame:
     """``docs`` with counts over each whole text; a null text has none of anything.
 
-    Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_distinct, n_stop_words and
+    Adds n_words, word_chars, n_symbols, n_lines, n_symbol_lines, n_dup_lines, n_repeat_words, n_capitals, n_distinct, n_stop_words and
     n_ended_lines; the text must be in column ``text``.
     """
     names = docs.columns
@@ -63,6 +64,7 @@ def features(docs: DataFrame) -> DataFrame:
         "word_chars": f"length(translate(text, {_BLANKS}, ''))",
         "n_symbols": f"length(text) - length(translate(text, '{SYMBOLS}', ''))",
         "n_lines": "size(lines)",
+        "n_symbol_lines": f"size(filter(lines, l -> length(l) - length(translate(l, '{SYMBOLS}', '')) > 1))",
         "n_dup_lines": "size(lines) - size(array_distinct(lines))",
         "n_repeat_words": f"case when size(array_distinct(windows)) = size(windows) then 0 else {covered} end",
         "n_capitals": "length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))",
@@ -85,7 +87,10 @@ def votes() -> Column:
 
 @dataclass
 class LabelModel:
-    """Share of good documents, and how often each vote is cast over bad and over good documents."""
+    """Share of good documents, and how often each rule that votes says what over bad and over good documents.
+
+    That a rule does not vote says nothing: it counts 1 under both.
+    """
 
     good: float
     over_bad: list[float]
@@ -113,8 +118,11 @@ def fit(counted: DataFrame, rounds: int = 50, tolerance: float = 1e-6) -> LabelM
         cast = {r["vote"]: (r["n"] - r["g"], r["g"]) for r in weighed.groupBy("vote").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()}
         if not cast:
             return model
-        bad, good = (sum(cast.get(v, (0.0, 0.0))[c] for v in range(3)) for c in (0, 1))
-        over_bad, over_good = ([(cast.get(v, (0.0, 0.0))[c] + 1) / (size + 3) for v in range(3 * len(RULES))] for c, size in ((0, bad), (1, good)))
+        seen = lambda v, c: cast.get(v, (0.0, 0.0))[c]
+        bad, good = (sum(seen(v, c) for v in range(3)) for c in (0, 1))
+        over_bad, over_good = (
+            [1.0 if v % 3 == 1 else (seen(v, c) + 1) / (seen(v - v % 3, c) + seen(v - v % 3 + 2, c) + 2) for v in range(3 * len(RULES))] for c in (0, 1)
+        )
         change = max(abs(x - y) for x, y in zip(model.over_bad + model.over_good, over_bad + over_good))
         model = LabelModel((good + 1) / (good + bad + 2), over_bad, over_good)
         posterior = model.posterior()
