@@ -67,9 +67,10 @@ class WordHasher:
     def shingles(self, column: pa.Array, k: int) -> list[np.ndarray]:
         """For each text the sorted distinct hashes of its ``k``-word shingles; a shorter text is one shingle."""
         words, bounds = self.words(column)
-        rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
+        count = max(0, len(words) - k + 1)
+        rolled = np.zeros(count, np.uint64)
         for j in range(k):
-            rolled = rolled * np.uint64(_BASE) + words[j : len(words) - k + 1 + j]
+            rolled = rolled * np.uint64(_BASE) + words[j : j + count]
         rolled = mix(rolled)
         sets = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
