@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesmith.session import materialize
@@ -30,7 +31,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text; a longer text is a run of its own."""
     offset, size = 0, 0
-    lengths = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    lengths = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
     for row, length in enumerate(lengths):
         if size and size + length > limit:
             yield batch.slice(offset, row - offset)
