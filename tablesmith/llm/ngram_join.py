@@ -8,8 +8,9 @@ Method: set-relation skipping.
   index. A passage that thousands of otherwise different documents share fills no part by itself, so it makes no
   list long; a plain word or shingle index would compare all of them.
 * **Block skipping.** Members of the lists live in blocks of bounded size. A list is kept as one header for each of
-  its blocks, with the smallest and largest set size there; two blocks meet only if some list holds both and their
-  sizes allow a link. What meets is shipped once, however many lists name it.
+  its blocks, with the smallest and largest set size there; two blocks meet only if ``SHARED_KEYS`` lists hold both
+  and their sizes allow a link. What meets is shipped once, however many lists name it. Sets with lists in common
+  gather in the same block, so most blocks meet only themselves.
 * **Answers from answers.** Inside a pair of blocks one set's overlaps with all others are counted through an
   inverted index. The overlaps of a similar set follow from them by adding the lists of the shingles it has more
   and subtracting those it has less (:func:`links_within`).
@@ -32,6 +33,8 @@ from .wordhash import WordHasher, mix
 
 #: Shingles that one block of the index holds; the memory of a task follows from it.
 BLOCK_SHINGLES = 400_000
+#: Keys that linking sets share at least; by the choice of the number of parts it could be more, never less.
+SHARED_KEYS = 3
 #: Nodes a task remembers, so that it sends the parts of equal sets only once.
 REMEMBERED_NODES = 200_000
 #: Bits of the map that keeps most documents without candidates out of a shuffle.
@@ -65,9 +68,9 @@ def part_keys(shingles: np.ndarray, bounds: np.ndarray, num: int, den: int) -> t
         starts = np.flatnonzero(np.r_[True, position[1:] != position[:-1]])
         content = np.add.reduceat(mix(shingles), starts)
         position = position[starts]
-        # At least parts - differ parts are equal in both sets. Only a set with as many empty parts may
-        # agree with another in empty parts alone, so only such a set has its empty parts in the index.
-        if parts - len(starts) >= parts - differ:
+        # At least parts - differ parts are equal in both sets. Only a set with nearly as many empty parts may
+        # agree with another in fewer than SHARED_KEYS others, so only such a set has its empty parts in the index.
+        if parts - len(starts) > parts - differ - SHARED_KEYS:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), position)
             position, content = np.r_[position, empty], np.r_[content, np.zeros(len(empty), np.uint64)]
         keys.append(mix(content + mix(position + np.uint64(c << 40))))
@@ -277,15 +280,19 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     postings = docs.mapInArrow(_postings(k, num, den), "key long, role int, node long, n int")
     shared = stored(postings.repartition("key").sortWithinPartitions("key", "role", "node").mapInArrow(_shared, "key long, node long, n int"), "lists")
 
-    home = shared.groupBy("node").agg(F.min("key").alias("home"), F.first("n").alias("n"))
+    near = shared.groupBy("node").agg(F.min("key").alias("home"), F.count("*").alias("keys")).filter(F.col("keys") >= SHARED_KEYS)
+    listed = shared.join(near.select("node", "home"), "node")
+    smallest = listed.groupBy("key").agg(F.min("home").alias("moved"))
+    home = stored(listed.join(smallest, "key").groupBy("node").agg(F.min("moved").alias("home"), F.first("n").alias("n")), "homes")
     crowd = home.groupBy("home").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}) as long)").alias("salts"))
     blocks = stored(home.join(crowd, "home").selectExpr("node", "n", "xxhash64(home, pmod(xxhash64(node), salts)) as block"), "blocks")
 
     headers = shared.join(blocks.select("node", "block"), "node").groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
     left, right = headers.alias("l"), headers.alias("r")
-    meet = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block"))).filter(
+    common = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block"))).filter(
         f"(l.block < r.block or l.members > 1) and {den}L * l.high >= {num}L * r.low and {den}L * r.high >= {num}L * l.low"
-    ).selectExpr("l.block as a", "r.block as b").distinct()
+    )
+    meet = common.groupBy(F.col("l.block").alias("a"), F.col("r.block").alias("b")).agg(F.count("*").alias("keys")).filter(F.col("keys") >= SHARED_KEYS)
     meet = meet.selectExpr("xxhash64(a, b) as pair", "explode(if(a = b, array(named_struct('block', a, 'side', 0)), array(named_struct('block', a, 'side', 0), named_struct('block', b, 'side', 1)))) as x").selectExpr("pair", "x.block", "x.side")
 
     sets = docs.mapInArrow(_shingle_bytes(k, _bitmap(blocks)), "node long, shingles binary")
