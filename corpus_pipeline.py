@@ -1,27 +1,67 @@
-"""Corpus preparation: quality rules, near duplicates, benchmark decontamination, secrets, packing."""
+"""Corpus preparation in five stages, each over what the one before it kept.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesmith.llm import ngram_join
+from tablesmith.llm import decontamination, ngram_join, packing, quality_rules, secrets
 from tablesmith.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the quality rules' label model takes for good; rejected ones go."""
+    return quality_rules.kept_documents(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of documents whose five-word shingles link at 0.8."""
+    """Of each group of documents linked by five-word shingles at 0.8 keep the smallest doc_id.
+
+    Rows without a doc_id can't be named and stay; of rows that repeat the kept doc_id all stay.
+    """
     groups = ngram_join.similar_groups(docs, k=5, num=80, den=100)
-    keep = groups.filter("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+    return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"), "copies")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, also with other numbers, names or units."""
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("doc_id"), "contaminated")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by its kind; the documents stay."""
+    return secrets.redact_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the tokens of all documents that are left into sequences of 1024."""
+    return packing.pack(docs, packing.default_vocabulary())
+
+
+def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
+    """``docs`` but for the named rows. The names are stored first, so their true size decides how to join."""
+    gone = stored(dropped.distinct(), label).select(F.col("doc_id").alias("dropped_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("dropped_id"), "left_anti")
 
 
-STAGES = [("near duplicates", near_duplicates)]
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secrets", without_secrets),
+    ("packing", pack),
+]
 
+#: Estimation, tokenisation and packing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's rows stored before the next one reads them."""
+    """All stages over ``documents``; each stage's rows are stored before the next one reads them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
