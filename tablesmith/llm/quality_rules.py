@@ -160,7 +160,9 @@ def kept_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     inner = docs.select(F.struct(*names).alias("row"), F.col("text"))
     measured = features(inner)
     model = fit(counted_votes(measured))
-    return judged(measured, model, keep_at).filter("kept").select("row.*")
+    # Numbered rows keep the filter above the counts; below them it would repeat each count for every use of it.
+    numbered = measured.withColumn("row_number", F.monotonically_increasing_id())
+    return judged(numbered, model, keep_at).filter("kept and row_number >= 0").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
