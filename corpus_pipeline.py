@@ -6,7 +6,7 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tablesmith.llm import decontamination, ngram_join, packing, quality_rules, secrets
 from tablesmith.llm.common import stored, table
@@ -44,8 +44,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
     """``docs`` but for the named rows. The names are stored first, so their true size decides how to join."""
-    gone = stored(dropped.distinct(), label).select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    gone = stored(dropped.distinct(), label)
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 STAGES = [

@@ -42,7 +42,8 @@ def features(docs: DataFrame) -> DataFrame:
     """``docs`` with counts over each whole text; a null text has none of anything.
 
     Adds n_words, word_chars, n_symbols, n_lines, n_symbol_lines, n_dup_lines, n_repeat_words, n_capitals, n_distinct, n_stop_words and
-    n_ended_lines; the text must be in column ``text``.
+    n_ended_lines; the text must be in column ``text``, and no other column may have one of these names or be called
+    words, lines, windows or kinds (the operators below only pass what they need).
     """
     names = docs.columns
     w = ", ".join(f"words[i + {j}]" for j in range(_WINDOW))

@@ -150,11 +150,12 @@ def _shard_columns(pages: DataFrame, shard_bytes: int) -> tuple[Column, Column,
     low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
     low, high, total = low or 0, high or 0, total or 1
     width = max(1, -(-(high - low + 1) * shard_bytes // total))
-    place = F.coalesce(F.col("page_id") - F.lit(low), F.lit(0))
-    shard = F.floor(place / F.lit(width)) if width < 1 << 50 else F.lit(0).cast("long")
+    # In doubles ids far apart don't overflow, and larger ids still get the same shard or a later one.
+    place = F.coalesce((F.col("page_id").cast("double") - float(low)) / float(width), F.lit(0.0))
+    shard = F.floor(place)
     heavy = pages.groupBy(shard.alias("heavy_shard")).agg(F.sum(size).alias("bytes")).filter(F.col("bytes") > 2 * shard_bytes)
     heavy = heavy.select("heavy_shard", F.ceil(F.col("bytes") / shard_bytes).alias("cuts"))
-    within = F.floor((place % F.lit(width)) / F.lit(float(width)) * F.coalesce("cuts", F.lit(1)))
+    within = F.floor((place - F.floor(place)) * F.coalesce("cuts", F.lit(1)))
     return shard, within, None if heavy.isEmpty() else heavy
 
 
