@@ -16,8 +16,6 @@ from ..session import materialize
 from .names import col
 
 CHUNK, POSITION, OFFSET = "__chunk", "__pos", "__rows_before"
-# A group of at most this many rows may be handled by a single task.
-GROUP_ROWS_IN_ONE_TASK = 5_000_000
 # monotonically_increasing_id holds the task in the upper bits and the row within it in the lower 33.
 _LOCAL_BITS = 33
 
@@ -42,12 +40,6 @@ def order_in_chunks(df: DataFrame, partition_by: Sequence[str], order_by: Sequen
     return stored.withColumn(CHUNK, F.shiftright(F.col(POSITION), _LOCAL_BITS))
 
 
-def largest_group(df: DataFrame, partition_by: Sequence[str]) -> int:
-    """Rows of the largest group; reads only the group columns and combines before the shuffle."""
-    counts = df.groupBy(*[col(c) for c in partition_by]).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def _same_group(partition_by: Sequence[str], other: str) -> Column:
     tests = [col(c).eqNullSafe(F.col(f"{other}.k{i}")) for i, c in enumerate(partition_by)]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
@@ -66,15 +58,9 @@ def neighbours(
     order_by: Sequence[str],
     previous: bool = True,
     following: bool = False,
-    group_limit: int = GROUP_ROWS_IN_ONE_TASK,
 ) -> DataFrame:
     """Add ``__prev_<i>`` / ``__next_<i>``: struct(pos, v) of the nearest non-null value of ``columns[i]``
     at or before / at or after each row within its group, and ``__pos``, a row number without gaps."""
-    if partition_by and largest_group(df, partition_by) <= group_limit:
-        base, order = Window.partitionBy(*[col(c) for c in partition_by]), [col(c) for c in order_by]
-        ordered = df.withColumn(POSITION, F.row_number().over(base.orderBy(*order)))
-        return _with_neighbours(ordered, columns, base, order, [], previous, following)
-
     chunked = order_in_chunks(df, partition_by, order_by, "ordered")
     carries = _carry_table(chunked, columns, partition_by, previous, following)
     base = Window.partitionBy(CHUNK, *[col(c) for c in partition_by])
@@ -83,7 +69,7 @@ def neighbours(
         POSITION, _local(F.col(POSITION)) + F.col(OFFSET)
     )
     order = [F.col(POSITION)]
-    return _with_neighbours(joined, columns, base, order, partition_by, previous, following, carried=True).drop(
+    return _with_neighbours(joined, columns, base, order, partition_by, previous, following).drop(
         CHUNK, *[c for c in carries.columns if c != CHUNK]
     )
 
@@ -128,7 +114,6 @@ def _with_neighbours(
     partition_by: Sequence[str],
     previous: bool,
     following: bool,
-    carried: bool = False,
 ) -> DataFrame:
     up_to_here = base.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # Looking ahead is looking back in descending order: a frame that ends unbounded would rescan the rest
@@ -136,8 +121,6 @@ def _with_neighbours(
     from_here = base.orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
 
     def with_carry(local: Column, carry: str) -> Column:
-        if not carried:
-            return local
         kept = F.struct(F.col(f"{carry}.pos").alias("pos"), F.col(f"{carry}.v").alias("v"))
         return F.coalesce(local, F.when(F.col(carry).isNotNull() & _same_group(partition_by, carry), kept))
 

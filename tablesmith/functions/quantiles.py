@@ -135,21 +135,31 @@ def _verify(values: DataFrame, proposed: list[tuple[_Rank, float, float]]) -> No
         return
     distinct = list(dict.fromkeys((r.index, low, high) for r, low, high in proposed))
     row = values.agg(*[
-        F.struct(count_where(F.col(f"v{i}") < F.lit(low)), count_where(_between(F.col(f"v{i}"), low, high)))
+        F.struct(
+            count_where(F.col(f"v{i}") < F.lit(low)), count_where(F.col(f"v{i}") == F.lit(low)),
+            count_where(_between(F.col(f"v{i}"), low, high)), count_where(F.col(f"v{i}") == F.lit(high)),
+        )
         for i, low, high in distinct
     ]).first()
     counts = dict(zip(distinct, row))
     for r, low, high in proposed:
-        below, inside = counts[r.index, low, high]
+        below, at_low, inside, at_high = counts[r.index, low, high]
+        before = r.inside
         if r.rank < below:
             r.high, r.inside = math.nextafter(low, -math.inf), below - r.below
+        elif r.rank < below + at_low:
+            r.value = low
         elif r.rank >= below + inside:
             r.inside = r.below + r.inside - below - inside
             r.below, r.low = below + inside, math.nextafter(high, math.inf)
+        elif r.rank >= below + inside - at_high:
+            r.value = high
         else:
-            r.low, r.high, r.below, r.inside = low, high, below, inside
-            if low == high:
-                r.value = low
+            # Both borders are values of the column, so leaving them out shrinks the interval however it was proposed.
+            r.low, r.high = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
+            r.below, r.inside = below + at_low, inside - at_low - at_high
+        if r.value is None and r.inside >= before:
+            raise RuntimeError(f"the search for rank {r.rank} does not narrow down")
 
 
 def grouped_quantiles(

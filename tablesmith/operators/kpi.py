@@ -55,9 +55,13 @@ def kpi_metrics(df: DataFrame) -> DataFrame:
 
 
 def kpi_before_after(df: DataFrame, **clean_options) -> DataFrame:
-    """Figures before and after cleaning plus whole-row dedupe, with the seconds spent on deciding the plan."""
+    """Figures before and after cleaning plus whole-row dedupe, with the seconds that the whole clean takes.
+
+    For the clock the cleaned table is computed once into the no-op sink.
+    """
     started = time.perf_counter()
     cleaned = level1_clean(df, **clean_options)
+    cleaned.write.format("noop").mode("overwrite").save()
     seconds = time.perf_counter() - started
     before = kpi_metrics(df).select(F.lit("before").alias("stage"), "*", F.lit(None).cast("double").alias("clean_seconds"))
     after = kpi_metrics(dedupe(cleaned)).select(F.lit("after").alias("stage"), "*", F.lit(round(seconds, 3)).alias("clean_seconds"))

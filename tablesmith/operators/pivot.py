@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.dates import month_text, parse_timestamp
 from ..functions.lexicon import MONTH_COLUMN, MONTH_SOURCES
 from ..functions.names import col, drop_duplicate_columns, resolve, resolve_one, snake
+from ..functions.ordered import POSITION, neighbours
 from ..functions.quantiles import grouped_quantiles
 from ..session import cut_lineage
 from .clean import present
 
-# Largest grid of levels that is filled in, and widest set of pivoted columns.
-MAX_CELLS = 1_000_000
-MAX_PIVOT_COLUMNS = 10_000
-
 
 @dataclass
 class PivotSpec:
@@ -35,7 +32,6 @@ class PivotSpec:
     grid: bool = True
     date_col: str | None = None
     order_by: str | None = None
-    max_cells: int = MAX_CELLS
 
     def value_list(self) -> list[tuple[str, str]]:
         if isinstance(self.values, Mapping):
@@ -126,35 +122,35 @@ def group_aggregate(
     return out.select(*[col(k) for k in keys], *[col(c) for c, _ in values])
 
 
-def _levels(table: DataFrame, key: str, limit: int) -> list[Any]:
-    """Sorted distinct values of a key, null last; fetching stops with an error beyond ``limit``."""
-    found = [r[0] for r in table.select(col(key)).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"column {key!r} has more than {limit} levels; use grid=False")
+def _header_levels(table: DataFrame, key: str) -> list[Any]:
+    """Sorted distinct values of a column key, null last. They become column names, so the driver has to know them."""
+    found = [r[0] for r in table.select(col(key)).distinct().collect()]
     return sorted((v for v in found if v is not None)) + [None] * (None in found)
 
 
-def _fill_grid(table: DataFrame, keys: Sequence[str], values: Sequence[str], max_cells: int) -> DataFrame:
+def _numbered_levels(table: DataFrame, key: str, place: str) -> DataFrame:
+    """The distinct values of a key as ``__level``, numbered from 0 without gaps in ``place``; stored and spread over tasks."""
+    levels = table.select(col(key).alias("__level")).distinct()
+    return neighbours(levels, [], [], ["__level"]).select("__level", F.col(POSITION).alias(place))
+
+
+def _fill_grid(table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per combination of observed levels, zero where ``table`` has none.
 
-    Cells are numbered, so that the grid is a range and every step is an equality join with a level list
-    whose size has been checked.
+    Cells are numbered, so the grid is a range and every step is an equality join with a numbered level table;
+    only the numbers of levels reach the driver.
     """
-    spark = table.sparkSession
-    levels = [_levels(table, k, max_cells) for k in keys]
-    cells = math.prod(len(v) for v in levels)
-    if cells > max_cells:
-        raise ValueError(f"the grid would have {cells} cells, more than {max_cells}; use grid=False")
-    grid, numbered, stride = spark.range(cells), table.withColumn("__cell", F.lit(0).cast("long")), 1
-    for i, (key, found) in reversed(list(enumerate(zip(keys, levels)))):
-        schema = T.StructType([T.StructField(f"__i{i}", T.LongType()), T.StructField(f"__k{i}", table.schema[key].dataType)])
-        lookup = F.broadcast(spark.createDataFrame(list(enumerate(found)), schema))
-        place = (F.floor(F.col("id") / F.lit(stride)) % F.lit(max(len(found), 1))).cast("long")
+    levels = [_numbered_levels(table, k, f"__i{i}") for i, k in enumerate(keys)]
+    counts = [level.count() for level in levels]
+    grid, numbered, stride = table.sparkSession.range(math.prod(counts)), table.withColumn("__cell", F.lit(0).cast("long")), 1
+    for i, key in reversed(list(enumerate(keys))):
+        lookup = levels[i].withColumnRenamed("__level", f"__k{i}")
+        place = (F.floor(F.col("id") / F.lit(stride)) % F.lit(max(counts[i], 1))).cast("long")
         grid = grid.withColumn("__place", place).join(lookup, F.col("__place") == F.col(f"__i{i}")).drop(f"__i{i}", "__place")
         numbered = numbered.join(lookup, col(key).eqNullSafe(F.col(f"__k{i}"))).withColumn(
             "__cell", F.col("__cell") + F.col(f"__i{i}") * F.lit(stride)
         ).drop(f"__i{i}", f"__k{i}")
-        stride *= len(found)
+        stride *= counts[i]
     measured = numbered.select("__cell", *[col(v) for v in values])
     joined = grid.join(measured, F.col("id") == F.col("__cell"), "left")
     return joined.select(
@@ -196,7 +192,7 @@ def pivot_long(df: DataFrame, spec: PivotSpec) -> DataFrame:
     table = group_aggregate(df, rows, [(c, f) for c, f in values if c in names], spec.order_by)
     if not spec.grid or len(rows) < 2:
         return table.select(*[col(k) for k in rows], *[_zero_filled(table, v) for v in names])
-    return _fill_grid(cut_lineage(table), rows, names, spec.max_cells)
+    return _fill_grid(cut_lineage(table), rows, names)
 
 
 def _label(value: Any) -> str:
@@ -212,9 +208,7 @@ def pivot_wide(df: DataFrame, spec: PivotSpec) -> DataFrame:
     table = cut_lineage(group_aggregate(df, [*rows, *columns], values, spec.order_by))
     labels = [""]
     for key in columns:
-        labels = [f"{left}_{_label(v)}" for left in labels for v in _levels(table, key, MAX_PIVOT_COLUMNS)]
-        if len(labels) > MAX_PIVOT_COLUMNS:
-            raise ValueError(f"more than {MAX_PIVOT_COLUMNS} pivoted columns")
+        labels = [f"{left}_{_label(v)}" for left in labels for v in _header_levels(table, key)]
     label = F.concat(*[
         part for key in columns for part in (F.lit("_"), F.coalesce(col(key).cast("string"), F.lit("nan")))
     ])
@@ -224,7 +218,7 @@ def pivot_wide(df: DataFrame, spec: PivotSpec) -> DataFrame:
     wide = wide.toDF(*rows, *[f"{v}{level}" for level in labels for v in names])
     measured = [f"{v}{level}" for v in names for level in labels]
     if spec.grid and len(rows) > 1:
-        return _fill_grid(cut_lineage(wide), rows, measured, spec.max_cells)
+        return _fill_grid(cut_lineage(wide), rows, measured)
     return wide.select(*[col(k) for k in rows], *[_zero_filled(wide, m) for m in measured])
 
 
@@ -244,13 +238,24 @@ def pivot_subtotals(df: DataFrame, month: str, category: str, values: Sequence[s
     return grouped.select("level", col(month), col(category), *[col(v) for v in values])
 
 
+def _month_key(table: DataFrame, rows: Sequence[str]) -> str:
+    """The row key that holds months: by its name, else the one that is a date."""
+    named = [r for r in rows if snake(r) == snake(MONTH_COLUMN)]
+    dated = [r for r in rows if isinstance(table.schema[r].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    if not named and len(dated) != 1:
+        raise ValueError(f"none of the row keys {list(rows)} is the month column {MONTH_COLUMN!r} or the only date")
+    return (named or dated)[0]
+
+
 def pivot_report(df: DataFrame, spec: PivotSpec) -> DataFrame:
-    """Pivot with month-over-month change and running total for every value when rows are (month, category)."""
+    """Pivot with month-over-month change and running total for every value when rows are a month and a category, in any order."""
     from .timeseries import add_mom, add_running_total
 
     table = pivot_wide(df, spec) if spec.columns else pivot_long(df, spec)
     rows = resolve(table.columns, spec.rows, mode="ignore")
     if len(rows) == 2:
+        month = _month_key(table, rows)
+        category = next(r for r in rows if r != month)
         values = [c for c in table.columns if c not in rows]
-        table = add_running_total(add_mom(table, values, rows[0], rows[1]), values, rows[0], rows[1])
+        table = add_running_total(add_mom(table, values, month, category), values, month, category)
     return table

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -73,35 +74,42 @@ def preview(df: DataFrame, rows: int = 20) -> DataFrame:
     return df.limit(rows)
 
 
-def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """CSV files below ``path``, grouped by identical header line (the result has one name per file)."""
-    first_lines = (
-        spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"),
-                F.col("_metadata.file_block_start").alias("block"), "value")
-        .groupBy("file").agg(F.min_by("value", F.struct("block", "place")).alias("header"))
-    )
-    grouped = first_lines.groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files"))
-    return [row["files"] for row in grouped.orderBy("header").collect()]
+def files_by_header(spark: SparkSession, path: str) -> DataFrame:
+    """(header, file) for the CSV files below ``path``: one scan of their lines, of which one per file is kept."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    heads = first.where("block = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    return heads.select(F.regexp_replace("header", "\r$", "").alias("header"), "file")
 
 
 def run_folder(spark: SparkSession, path: str, target: str, **options: Any) -> DataFrame:
     """Prepare every CSV below ``path``: files that share a header run as one job, written by header group.
 
-    Returns one row per file with its group and prepared row count. The source file travels as a column.
+    Returns (group, source_file, rows, status, seconds), one row per file, none for an empty folder. A group that
+    fails is reported with its error and the run goes on; its seconds are those of its group.
     """
-    reports = []
-    for number, files in enumerate(files_by_header(spark, path)):
-        raw = read_csv_table(spark, files, typed=False).withColumn("source_file", F.col("_metadata.file_path"))
-        out = preprocess(raw, untyped=True, protect=["source_file"], **options)
-        group_target = f"{target}/group={number}"
-        write_table(out, group_target, format="parquet")
-        stored = spark.read.parquet(group_target)
-        counts = stored.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
-        reports.append(counts.select(F.lit(number).alias("group"), "source_file", "rows"))
-    report = reports[0]
-    for part in reports[1:]:
-        report = report.unionByName(part)
+    heads = materialize(files_by_header(spark, path), "headers")
+    report = spark.createDataFrame([], "`group` int, source_file string, rows long, status string, seconds double")
+    for number, row in enumerate(heads.select("header").distinct().orderBy("header").collect()):
+        members = heads.where(F.col("header").eqNullSafe(F.lit(row["header"])))
+        files = [r["file"] for r in members.select("file").orderBy("file").collect()]  # the reader takes paths
+        started = time.perf_counter()
+        try:
+            raw = read_csv_table(spark, files, typed=False)
+            tagged = raw.withColumn("source_file", F.col("_metadata.file_path"))
+            out = preprocess(tagged, untyped=True, protect=["source_file"], **options)
+            group_target = f"{target}/group={number}"
+            write_table(out, group_target, format="parquet")
+            counts = spark.read.parquet(group_target).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+            status = F.lit("ok")
+        except Exception as error:  # one bad group must not end the run; its error is in the report
+            counts = spark.createDataFrame([], "source_file string, rows long")
+            status = F.lit(f"{type(error).__name__}: {str(error).splitlines()[0][:300]}")
+        seconds = round(time.perf_counter() - started, 3)
+        done = members.select(F.col("file").alias("source_file")).join(counts, "source_file", "left")
+        report = report.unionByName(done.select(
+            F.lit(number).alias("group"), "source_file", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), status.alias("status"), F.lit(seconds).alias("seconds")
+        ))
     return report
 
 

@@ -60,17 +60,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a freshly read table that has fewer partitions than the cluster has cores.
-
-    Costly expressions over a few unsplittable files (gzip, one big row group) would otherwise leave most
-    cores idle. A table with enough partitions is returned as it is. Call it on a plain scan only: asking a
-    plan with shuffles for its partitions runs them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` (used for small aggregates that are read more than once)."""
     checkpoint_dir(df.sparkSession)

@@ -25,22 +25,45 @@ def read_null_tokens(df: DataFrame) -> DataFrame:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, typed: bool = True, multiline: bool = False
+    spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, typed: bool = True, multiline: bool = True
 ) -> DataFrame:
     """Read CSV with a header row: all columns as text, missing-cell texts as null, then typed by content.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file. Columns get a
-    number, boolean or integer type only when every value of them parses; dates stay text.
+    Without ``encoding`` each file's is detected, in one more scan. Line breaks inside quotes are read right, at the
+    price of one task per file; ``multiline=False`` splits large files over tasks and raises if a line has an
+    unpaired quote. Columns get a number, boolean or integer type only when every value of them parses; dates stay text.
     """
-    name = (encoding or "utf-8").lower()
+    if encoding is None or not multiline:
+        files = inspect_files(spark, path)
+        if not multiline and files.filter("odd_lines > 0").limit(1).count():
+            raise ValueError(f"quotes that span lines below {path!r}; read with multiline=True")
+        if encoding is None:
+            # Spark skips the mark itself, so only the charset matters.
+            found = files.select(F.when(F.col("encoding") == "cp949", "cp949").otherwise("utf-8").alias("e"), "path")
+            kinds = sorted(r[0] for r in found.select("e").distinct().collect())  # two at most
+            if len(kinds) > 1:
+                groups = {k: [r[0] for r in found.filter(F.col("e") == k).select("path").collect()] for k in kinds}
+                parts = [_read_raw(spark, paths, kind, multiline) for kind, paths in groups.items()]
+                raw = parts[0].unionByName(parts[1], allowMissingColumns=True)
+                return infer_types(raw) if typed else raw
+            encoding = kinds[0] if kinds else "utf-8"
+    raw = _read_raw(spark, path, encoding, multiline)
+    return infer_types(raw) if typed else raw
+
+
+def charset_of(spark: SparkSession, encoding: str) -> str:
+    """Name of an encoding for Spark's reader; switches the Java charset table on where that is needed."""
+    name = encoding.lower()
     if name in _JAVA_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    charset = _JAVA_CHARSETS.get(name) or _SPARK_CHARSETS.get(name) or encoding or "UTF-8"
-    reader = spark.read.option("header", True).option("encoding", charset).option("multiLine", multiline)
+    return _JAVA_CHARSETS.get(name) or _SPARK_CHARSETS.get(name) or encoding
+
+
+def _read_raw(spark: SparkSession, path: str | Sequence[str], encoding: str, multiline: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("encoding", charset_of(spark, encoding)).option("multiLine", multiline)
     # Quotes are doubled inside quoted cells, as spreadsheet programs write them.
     raw = reader.option("escape", '"').option("nullValue", "").csv(path if isinstance(path, str) else list(path))
-    raw = read_null_tokens(raw.toDF(*unique_names(raw.columns)))
-    return infer_types(raw) if typed else raw
+    return read_null_tokens(raw.toDF(*unique_names(raw.columns)))
 
 
 def column_types(df: DataFrame) -> dict[str, str]:
@@ -64,29 +87,25 @@ def infer_types(df: DataFrame) -> DataFrame:
     ])
 
 
-def detect_encodings(spark: SparkSession, path: str, marks: bool = True) -> DataFrame:
-    """Encoding per file below ``path``: ``utf-8-sig``, ``utf-8`` or ``cp949``.
+def inspect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, encoding, odd_lines) per file with content: ``utf-8-sig``, ``utf-8`` or ``cp949``; lines with an unpaired quote.
 
-    Whole files are checked, line by line and in parallel: a file with a line that is not valid UTF-8 is
-    cp949. ``marks`` also looks for a byte-order mark, in files a single cell can hold; this reads them once
-    more and only refines the name, since Spark skips the mark on reading.
+    One scan, whole files, in parallel. A file with a line that is not valid UTF-8 is cp949. Spark skips a
+    byte-order mark, so an uncompressed file with one has fewer bytes in its lines than in all.
     """
-    # The text source hands over raw bytes, so is_valid_utf8 sees what the file holds.
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid"))
-    valid = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"))
-    if not marks:
-        return valid.select("path", F.when(F.col("valid"), F.lit("utf-8")).otherwise(F.lit("cp949")).alias("encoding"))
-    marked = (
-        spark.read.format("binaryFile").load(path)
-        .where(F.col("length") <= 1 << 30)
-        .select(F.col("_metadata.file_path").alias("path"), (F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("mark"))
-    )
-    encoding = (
-        F.when(F.coalesce("mark", F.lit(False)), F.lit("utf-8-sig"))
-        .when(F.coalesce("valid", F.lit(True)), F.lit("utf-8"))
-        .otherwise(F.lit("cp949"))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.is_valid_utf8("value").alias("valid"), (F.octet_length("value") + 1).alias("bytes"), (quotes % 2).alias("odd"),
     )
-    return valid.join(marked, "path", "full").select("path", encoding.alias("encoding"))
+    files = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.sum("bytes") < F.max("size"), F.sum("odd").alias("odd_lines")).toDF("path", "valid", "mark", "odd_lines")
+    encoding = F.when(~F.col("valid"), "cp949").when(F.col("mark"), "utf-8-sig").otherwise("utf-8")
+    return files.select("path", encoding.alias("encoding"), "odd_lines")
+
+
+def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """Encoding per file below ``path``: ``utf-8-sig``, ``utf-8`` or ``cp949``."""
+    return inspect_files(spark, path).select("path", "encoding")
 
 
 def output_path(source: str, suffix: str = "_clean") -> str:

@@ -6,6 +6,7 @@ drop changed data under a new name.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Mapping
 from typing import Any
@@ -18,14 +19,21 @@ from ..operators.clean import CleanPlan, apply_clean
 from ..operators.pivot import PivotSpec, group_aggregate
 from ..operators.validate import gate
 from ..plans.report import DEFAULT_PIVOT, build_report, write_report
+from ..sources.csv import charset_of, read_null_tokens
 
 
-def read_drops(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of CSV files below ``path`` with the name of the file as ``source_file``."""
-    reader = spark.readStream.schema(schema).option("header", True).option("escape", '"')
+def read_drops(
+    spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None, encoding: str = "utf-8"
+) -> DataFrame:
+    """Stream of CSV files below ``path`` with the name of the file as ``source_file``; missing-cell texts are null, as in batch.
+
+    All files of a stream have one ``encoding``: a stream can't look into files that are not there yet.
+    """
+    reader = spark.readStream.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
+    reader = reader.option("encoding", charset_of(spark, encoding))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(path).withColumn("source_file", F.col("_metadata.file_path"))
+    return read_null_tokens(reader.csv(path).withColumn("source_file", F.col("_metadata.file_path")))
 
 
 def clean_stream(stream: DataFrame, plan: CleanPlan) -> DataFrame:
@@ -33,6 +41,12 @@ def clean_stream(stream: DataFrame, plan: CleanPlan) -> DataFrame:
     return apply_clean(stream, plan)
 
 
+def report_folder(target: str, source_file: str) -> str:
+    """Folder of a dropped file's report: its name, and a digest of its whole path."""
+    digest = hashlib.sha256(source_file.encode("utf-8")).hexdigest()[:12]
+    return f"{target}/{os.path.basename(source_file)}-{digest}"
+
+
 def report_drops(
     stream: DataFrame,
     target: str,
@@ -41,17 +55,16 @@ def report_drops(
     plan: CleanPlan | None = None,
     trigger: Mapping[str, Any] | None = None,
 ) -> StreamingQuery:
-    """Write the report tables of every dropped file below ``target/<file>``.
+    """Write the report tables of every dropped file below ``target/<file>-<hash of its path>`` (:func:`report_folder`).
 
-    A restarted batch overwrites its own folders, so a file has one report even after a failure.
+    Files of one name in several folders, or with several extensions, have reports of their own. A restarted batch overwrites its own folders, so a file has one report even after a failure.
     """
     def report_batch(batch: DataFrame, _batch_id: int) -> None:
         # Every part of a report reads the batch; keep it instead of parsing the files again.
         batch.persist()
         for row in batch.select("source_file").distinct().collect():
             part = batch.where(F.col("source_file") == row["source_file"]).drop("source_file")
-            name = os.path.splitext(os.path.basename(row["source_file"]))[0]
-            write_report(build_report(apply_clean(part, plan) if plan else part, spec), f"{target}/{name}")
+            write_report(build_report(apply_clean(part, plan) if plan else part, spec), report_folder(target, row["source_file"]))
         batch.unpersist()
 
     return _start(stream, report_batch, checkpoint, trigger)
@@ -89,14 +102,22 @@ def dedupe_stream_first(stream: DataFrame, keys: list[str], event_time: str, del
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def dedupe_stream_last_by(stream: DataFrame, keys: list[str], by: str, tiebreak: str) -> DataFrame:
+def dedupe_stream_last_by(
+    stream: DataFrame, keys: list[str], by: str, tiebreak: str, event_time: str | None = None, delay: str | None = None, window: str | None = None
+) -> DataFrame:
     """Row with the greatest ``by`` per key (least ``tiebreak`` of equals), for update or complete mode.
 
-    The state holds one row per key and is combined per task before the shuffle. ``tiebreak`` must be numeric.
+    The state holds one row per key and is combined per task before the shuffle. ``tiebreak`` must be numeric. With
+    ``event_time``, ``delay`` and ``window`` the newest row is per key and window, and state older than the
+    watermark goes: the form for streams whose keys never end.
     """
+    groups = [col(k) for k in keys]
+    if event_time:
+        stream = stream.withWatermark(event_time, delay)
+        groups.append(F.window(col(event_time), window).alias("__window"))
     others = [c for c in stream.columns if c not in keys]
     newest = F.max_by(F.struct(*[col(c) for c in others]), F.struct(col(by), (-col(tiebreak)).alias("__tie")))
-    picked = stream.groupBy(*[col(k) for k in keys]).agg(newest.alias("__row"))
+    picked = stream.groupBy(*groups).agg(newest.alias("__row"))
     return picked.select(*[col(k) for k in keys], *[F.col("__row")[c].alias(c) for c in others])
 
 

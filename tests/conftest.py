@@ -26,7 +26,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def mixed(spark):
-    """Four rows with every currency, flag and date style."""
+    """Golden input (fixed values): four rows with every currency, flag and date style, whose cleaned form is known."""
     return spark.createDataFrame(
         [
             ("A001", "2024-07-01", "2024-07-02 10:00:00", "₩ 1,234", "서울", "예", None),

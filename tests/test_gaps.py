@@ -167,3 +167,14 @@ def test_outlier_actions_and_rules(spark):
     assert math.isclose(report.where("rule = 2").first()["mean"], once.mean())
     assert parse_outlier_rules("iqr_clip:금액@multiplier=1.5;zscore_clip:수량@z=3;broken") == [
         {"method": "iqr_clip", "col": "금액", "multiplier": 1.5}, {"method": "zscore_clip", "col": "수량", "z": 3.0}]
+
+
+@pytest.mark.parametrize("buffer_rows,n", [(100, 4000), (100_000, 200_001)])
+def test_quantiles_between_heavy_values_end(spark, buffer_rows, n):
+    """Half zeros and half ones, few heavy values, and ranks on the border of two ties."""
+    table = spark.range(n).selectExpr("cast(id % 2 as double) as half", "cast(id % 5 as double) as five", "if(id < 3, double(id), 7.0D) as rare")
+    probabilities = [0.0, 0.2, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0]
+    found = exact_quantiles(table, ["half", "five", "rare"], probabilities, buffer_rows)
+    columns = {"half": [i % 2 for i in range(n)], "five": [i % 5 for i in range(n)], "rare": [i if i < 3 else 7 for i in range(n)]}
+    for name, values in columns.items():
+        assert found[name] == pytest.approx(list(np.quantile(np.array(values, float), probabilities)))

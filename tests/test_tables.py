@@ -10,7 +10,7 @@ from tablesmith.functions.names import name_similarity, suggest_mapping
 from tablesmith.operators.profile import column_diagnostics
 from tablesmith.operators.validate import load_spec
 
-from .conftest import rows
+from .conftest import plan_of, rows
 
 
 def test_similarity_values():
@@ -115,8 +115,6 @@ def test_grid(small):
     grid = ts.pivot_long(small, ts.PivotSpec(rows=["m", "c"], values=[("v", "sum")]))
     assert {(r[0], r[1]): r[2] for r in rows(grid)} == {("a", "x"): 1, ("a", "y"): 2, ("b", "x"): 3, ("b", "y"): 0, (None, "x"): 0, (None, "y"): 4}
     assert ts.pivot_long(small, ts.PivotSpec(rows=["m", "c"], values=["v"], grid=False)).count() == 4
-    with pytest.raises(ValueError, match="cells|levels"):
-        ts.pivot_long(small, ts.PivotSpec(rows=["m", "c"], values=["v"], max_cells=5))
     with pytest.raises(ValueError, match="no value"):
         ts.pivot_long(small, ts.PivotSpec(rows=["m"], values=[("absent", "sum")]))
     assert "CartesianProduct" not in grid._jdf.queryExecution().executedPlan().toString()
@@ -184,3 +182,20 @@ def test_profile_counts_floats_and_approximates(spark):
     rough = {r["column"]: r for r in ts.profile(df, approx_distinct=True).collect()}
     assert rough["s"]["nunique"] == 3 and rough["v"]["type_candidates"] == found["v"]["type_candidates"]
     assert ts.profile(df.limit(0)).count() == 2
+
+
+def test_grid_of_many_levels(spark):
+    table = spark.range(300_000).selectExpr("id as user", "concat('t', id % 6) as kind", "1 as n")
+    grid = ts.pivot_long(table, ts.PivotSpec(rows=["user", "kind"], values=[("n", "sum")]))
+    assert grid.count() == 1_800_000 and grid.agg({"n": "sum"}).first()[0] == 300_000
+    assert "BroadcastNestedLoop" not in plan_of(grid)
+
+
+def test_report_finds_the_month_among_the_keys(spark):
+    data = [("2024-01-05", "a", 1.0), ("2024-02-05", "a", 3.0), ("2024-01-05", "b", 5.0), ("2024-02-05", "b", 9.0)]
+    table = spark.createDataFrame(data, "`주문일` string, cat string, v double")
+    reports = [ts.pivot_report(table, ts.PivotSpec(rows=keys, values=[("v", "sum")])) for keys in (["월", "cat"], ["cat", "월"])]
+    first, second = (rows(r.select(*sorted(r.columns)), "cat", "월") for r in reports)
+    assert first == second
+    with pytest.raises(ValueError, match="month"):
+        ts.pivot_report(table, ts.PivotSpec(rows=["cat", "주문일"], values=[("v", "sum")]))
