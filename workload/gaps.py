@@ -111,6 +111,12 @@ def outlier_iqr_integer(spark, sf):
     return ts.iqr_clip(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars")
 
 
+def outlier_iqr_tied(spark, sf):
+    """A 0/1 column: its quartiles lie on the border of two values that hold half of the rows each."""
+    tied = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 2).cast("double").alias("odd"))
+    return ts.iqr_clip(tied, "odd", -0.25)
+
+
 def outlier_zscore(spark, sf):
     clipped = ts.zscore_clip(table(spark, sf, "events").select("event_id", "value"), "value")
     return clipped.withColumn("value", F.round("value", 4))
@@ -192,6 +198,10 @@ QUERIES = {
         union all select 'value', count(*) filter (where "value" is null), 'median' from {G}
         union all select 'sparse', count(*) filter (where sparse is null), 'zero' from {G}"""),
     "outlier_iqr": (outlier_iqr, _IQR.format(c='"value"', t="events") + ' select event_id, round(greatest(lo, least(hi, "value")), 4) as "value" from events, b'),
+    "outlier_iqr_tied": (outlier_iqr_tied, """
+        with q as (select quantile_cont((l_orderkey % 2)::double, 0.25) as q1, quantile_cont((l_orderkey % 2)::double, 0.75) as q3 from lineitem),
+        b as (select q1 + 0.25 * (q3 - q1) as lo, q3 - 0.25 * (q3 - q1) as hi from q)
+        select l_orderkey, l_linenumber, greatest(lo, least(hi, (l_orderkey % 2)::double)) as odd from lineitem, b"""),
     "outlier_iqr_integer": (outlier_iqr_integer, _IQR.format(c="n_chars", t="documents") + " select doc_id, round_even(greatest(lo, least(hi, n_chars::double)), 0)::double as n_chars from documents, b"),
     "outlier_zscore": (outlier_zscore, _Z.format(c='"value"', t="events", z=3) + ' select event_id, round(greatest(lo, least(hi, "value")), 4) as "value" from events, b'),
     "outlier_report": (outlier_report, _IQR.format(c='"value"', t="events") + """,

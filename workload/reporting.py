@@ -13,7 +13,8 @@ from .tables import GAPPY_EVENTS_SQL, MESSY_ORDERS_CLEAN_SQL, MONTHLY_SQL, gappy
 
 
 def filter_in(spark, sf):
-    return ts.filter_in(table(spark, sf, "orders").drop("o_orderdate"), {"o_orderstatus": ["F", "P"], "o_orderpriority": ["1-URGENT", "2-HIGH"], "absent": [1]})
+    orders = table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return ts.filter_in(orders, {"o_orderstatus": ["F", "P"], "o_orderpriority": ["1-URGENT", "2-HIGH"], "absent": [1]})
 
 
 def month_bucket(spark, sf):
@@ -75,6 +76,12 @@ def pivot_report(spark, sf):
     return _round(report, "price", "price_YTD").withColumn("price_MoM", F.round("price_MoM", 4))
 
 
+def pivot_report_category_first(spark, sf):
+    """The same report with the category as the first row key."""
+    report = ts.pivot_report(monthly_orders(spark, sf), ts.PivotSpec(rows=["status", "월"], values=[("price", "sum")]))
+    return _round(report, "price", "price_YTD").withColumn("price_MoM", F.round("price_MoM", 4))
+
+
 def pivot_subtotals(spark, sf):
     dated = ts.month_bucket(monthly_orders(spark, sf), "order_date")
     return ts.pivot_subtotals(dated, "월", "priority", ["price"])
@@ -162,7 +169,9 @@ def stream_dedupe_last_by(spark, sf):
 
 
 def stream_dedupe_first(spark, sf):
+    """Every event arrives twice."""
     stream = _events_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    stream = stream.unionByName(_events_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts")))
     return _drain(drops.dedupe_stream_first(stream, ["event_id"], "ts", "1 day").select("event_id"), spark, "append", "stream-first")
 
 
@@ -173,11 +182,44 @@ def stream_pivot(spark, sf):
     return _round(found.withColumn("period", F.date_format("period", "yyyy-MM-dd")), "value")
 
 
+def stream_pivot_monthly(spark, sf):
+    """Events in two batches, cut by time; the state of the first one goes on in the second."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = events.agg(F.expr("timestamp_seconds(avg(unix_timestamp(ts)))").alias("m")).first()["m"]
+    folder = _folder(spark, "halves")
+    for half in (events.where(F.col("ts") <= middle), events.where(F.col("ts") > middle)):
+        half.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    monthly = drops.pivot_stream(stream, "ts", "event_type", [("value", "sum"), ("event_id", "count")], "31 days", window=None)
+    found = _drain(monthly, spark, "complete", "stream-monthly")
+    return _round(found.withColumn("period", F.date_format("period", "yyyy-MM")), "value")
+
+
 def stream_gate(spark, sf):
-    accepted, quarantine = _folder(spark, "accepted"), _folder(spark, "quarantine")
+    """Two batches: the gate lets the complete one pass and puts the one with gaps aside."""
+    accepted, quarantine, folder = _folder(spark, "accepted"), _folder(spark, "quarantine"), _folder(spark, "batches")
+    events = table(spark, sf, "events").select("event_id", "event_type", "value")
+    gappy = events.where("event_id % 2 = 1").withColumn("event_type", F.when(F.col("event_id") % 7 != 0, F.col("event_type")))
+    for part in (events.where("event_id % 2 = 0"), gappy):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     spec = {"checks": [{"required": ["event_id", "event_type"]}, {"range": {"column": "event_id", "min": 0}}]}
-    drops.gated_stream(_events_stream(spark, sf), spec, accepted, quarantine, _folder(spark, "state")).awaitTermination()
-    return spark.read.parquet(accepted).select("event_id", "event_type", "value")
+    drops.gated_stream(stream, spec, accepted, quarantine, _folder(spark, "state")).awaitTermination()
+    columns = ["event_id", "event_type", "value"]
+    passed = spark.read.schema(events.schema).parquet(accepted).select(*columns, F.lit(True).alias("accepted"))
+    return passed.unionByName(spark.read.schema(events.schema).parquet(quarantine).select(*columns, F.lit(False).alias("accepted")))
+
+
+def report_drops(spark, sf):
+    """Orders dropped as two CSV files in two folders; the pivots of both reports."""
+    folder, target = _folder(spark, "drops"), _folder(spark, "reports")
+    orders = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority", "o_totalprice")
+    for i, test in enumerate(("o_totalprice < 100000", "o_totalprice >= 100000")):
+        ts.write_table(orders.where(test).coalesce(1), f"{folder}/part={i}")
+    stream = drops.read_drops(spark, f"{folder}/*", "day string, o_orderpriority string, o_totalprice double", files_per_batch=1)
+    spec = ts.PivotSpec(rows=["월", "o_orderpriority"], values=[("o_totalprice", "sum")], date_col="day")
+    drops.report_drops(stream, target, _folder(spark, "state"), spec).awaitTermination()
+    return _round(spark.read.parquet(f"{target}/*/pivot"), "o_totalprice")
 
 
 M = f"({MONTHLY_SQL}) m"
@@ -187,7 +229,7 @@ _GRID = f"""a as (select "월", priority, sum(price) as price from {M} group by
     p as (select "월", priority, coalesce(price, 0) as price from grid left join a using ("월", priority))"""
 
 QUERIES = {
-    "filter_in": (filter_in, "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders where o_orderstatus in ('F', 'P') and o_orderpriority in ('1-URGENT', '2-HIGH')"),
+    "filter_in": (filter_in, "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders where o_orderstatus in ('F', 'P') and o_orderpriority in ('1-URGENT', '2-HIGH')"),
     "month_bucket": (month_bucket, "select o_orderkey, strftime(o_orderdate, '%Y-%m') as \"month\" from orders"),
     "pivot_long": (pivot_long, f"""
         with a as (select "월", priority, status, sum(price) as price from {M} group by all),
@@ -216,6 +258,12 @@ QUERIES = {
         p as (select "월", status, coalesce(price, 0) as price from grid left join a using ("월", status)),
         l as (select *, lag(price) over w as before, sum(price) over w as total from p window w as (partition by status order by "월"))
         select "월", status, round(price, 2) as price, round(coalesce((price - before) / nullif(before, 0), 0), 4) as "price_MoM", round(total, 2) as "price_YTD" from l"""),
+    "pivot_report_category_first": (pivot_report_category_first, f"""
+        with a as (select "월", status, sum(price) as price from {M} group by all),
+        grid as (select * from (select distinct "월" from a) cross join (select distinct status from a)),
+        p as (select "월", status, coalesce(price, 0) as price from grid left join a using ("월", status)),
+        l as (select *, lag(price) over w as before, sum(price) over w as total from p window w as (partition by status order by "월"))
+        select "월", status, round(price, 2) as price, round(coalesce((price - before) / nullif(before, 0), 0), 4) as "price_MoM", round(total, 2) as "price_YTD" from l"""),
     "pivot_subtotals": (pivot_subtotals, f"""
         select 'month' as "level", "월", null::varchar as priority, round(sum(price), 2) as price from {M} group by "월"
         union all select 'category', null, priority, round(sum(price), 2) from {M} group by priority"""),
@@ -256,5 +304,11 @@ QUERIES = {
     "stream_dedupe_last_by": (stream_dedupe_last_by, 'select user_id, event_id, event_type, "value" from events qualify row_number() over (partition by user_id order by ts desc, event_id) = 1'),
     "stream_dedupe_first": (stream_dedupe_first, "select distinct event_id from events"),
     "stream_pivot": (stream_pivot, "select strftime(ts, '%Y-%m-%d') as period, event_type, round(sum(\"value\"), 2) as \"value\", count(event_id) as event_id from events group by all"),
-    "stream_gate": (stream_gate, 'select event_id, event_type, "value" from events'),
+    "stream_pivot_monthly": (stream_pivot_monthly, "select strftime(ts, '%Y-%m') as period, event_type, round(sum(\"value\"), 2) as \"value\", count(event_id) as event_id from events group by all"),
+    "stream_gate": (stream_gate, 'select event_id, case when event_id % 2 = 0 or event_id % 7 <> 0 then event_type end as event_type, "value", event_id % 2 = 0 as accepted from events'),
+    "report_drops": (report_drops, """
+        with o as (select o_totalprice >= 100000 as high, strftime(o_orderdate, '%Y-%m') as "월", o_orderpriority, o_totalprice from orders),
+        a as (select high, "월", o_orderpriority, sum(o_totalprice) as price from o group by all),
+        grid as (select * from (select distinct high, "월" from a) join (select distinct high, o_orderpriority from a) using (high))
+        select "월", o_orderpriority, round(coalesce(price, 0), 2) as o_totalprice from grid left join a using (high, "월", o_orderpriority)"""),
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import tablesmith as ts
 from pyspark.sql import functions as F
+from tablesmith.session import checkpoint_dir
 
 from .tables import GAPPY_EVENTS_SQL, gappy_events, messy_orders, table
 
@@ -51,7 +54,8 @@ def schema_compat(spark, sf):
 
 
 def profile_columns(spark, sf):
-    return ts.profile_columns(table(spark, sf, "orders").drop("o_orderdate")).unionByName(
+    orders = table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return ts.profile_columns(orders).unionByName(
         ts.profile_columns(gappy_events(spark, sf).select("event_type", "value"))
     )
 
@@ -148,6 +152,21 @@ def tag_conversations(spark, sf):
     return _tagged(spark, sf, "conversations", ["conv_id", "turn"])
 
 
+def tag_restricted(spark, sf):
+    """Only labels that name one of the table's columns."""
+    tagged = ts.tag_keywords(table(spark, sf, "documents"), "text", KEYWORDS, columns=["TIME", "money", "text"])
+    return tagged.select("doc_id", F.array_join("rows", ",").alias("row_tags"), F.array_join("values", ",").alias("value_tags"))
+
+
+def csv_round_trip(spark, sf):
+    """Orders written as CSV and read back: encoding, cell texts and types come from the files alone."""
+    folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    noted = orders.withColumn("note", F.expr("case o_orderkey % 3 when 0 then concat('line one\\nline \"two\", ', o_orderpriority) when 1 then '예' end"))
+    ts.write_table(noted, folder)
+    return ts.read_csv_table(spark, folder)
+
+
 def _tag_sql(name, keys):
     def hit(words):
         return "(" + " or ".join(f"contains(t, '{w}')" for w in words) + ")"
@@ -185,7 +204,7 @@ QUERIES = {
                0.6::double as compatibility_score, '3 common columns can be merged' as recommendations
         from (select 0 as "table", count(*) as n from customer union all select 1, count(*) from supplier) t"""),
     "profile_columns": (profile_columns, " union all ".join(
-        [_profile_sql(c, c, "orders") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")]
+        [_profile_sql(c, c, "orders") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
         + [_profile_sql("event_type", "event_type", G), _profile_sql('"value"', "value", G)])),
     "profile_types": (profile_types, """
         with s as (select count(*)::double as n, count(*) filter (where o_orderkey <= 1) as two_keys, count(*) filter (where o_custkey in (0, 1)) as two_customers,
@@ -237,5 +256,9 @@ QUERIES = {
         select count(*) as checks, count(*) filter (where ok) as passed, bool_and(ok) as ok, round((count(*) filter (where ok))::double / count(*), 4) as pass_ratio,
                (count(*) filter (where ok))::double / count(*) >= 0.5 as allowed from c"""),
     "tag_keywords": (tag_keywords, _tag_sql("documents", "doc_id")),
+    "tag_restricted": (tag_restricted, f'select doc_id, case when contains(row_tags, \'time\') then \'time\' else \'\' end as row_tags, value_tags from ({_tag_sql("documents", "doc_id")})'),
+    "csv_round_trip": (csv_round_trip, """
+        select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority,
+               case o_orderkey % 3 when 0 then 'line one' || chr(10) || 'line "two", ' || o_orderpriority when 1 then '예' end as note from orders"""),
     "tag_conversations": (tag_conversations, _tag_sql("conversations", "conv_id, turn")),
 }
