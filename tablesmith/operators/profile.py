@@ -83,7 +83,7 @@ def _column_of(places: list[str], names: list[str]) -> Column:
     return F.element_at(lookup, F.col("place")).alias("column")
 
 
-def _values_per_place(df: DataFrame, places: list[str]) -> DataFrame:
+def values_per_place(df: DataFrame, places: list[str]) -> DataFrame:
     """(place, value, n): the values of all columns stacked as texts, equal ones counted before the shuffle."""
     floats = [n for n in df.columns if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))]
     # Floats keep their shortest exact text here, which tells all values apart; adding zero turns -0.0 into 0.0.
@@ -101,7 +101,7 @@ def _count_values(df: DataFrame, compat: bool) -> DataFrame:
     """
     places = [f"c{i}" for i in range(len(df.columns))]
     floats = [n for n in df.columns if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))]
-    per_value = _values_per_place(df, places)
+    per_value = values_per_place(df, places)
     number = F.col("place").isin([p for p, n in zip(places, df.columns) if n in floats])
     text = F.when(number, _plain_number(F.col("value").try_cast("double"))).otherwise(F.col("value"))
     tests = _candidate_tests(F.col("text"))
@@ -122,7 +122,7 @@ def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Rows, non-null, null and distinct counts per column in a single job."""
     if not approx_distinct:
         places = [f"c{i}" for i in range(len(df.columns))]
-        counted = _values_per_place(df, places).groupBy("place").agg(
+        counted = values_per_place(df, places).groupBy("place").agg(
             F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("nonnull"), F.count("value").alias("nunique")
         )
         return counted.select(_column_of(places, df.columns), "n_rows", "nonnull", (F.col("n_rows") - F.col("nonnull")).alias("nulls"), "nunique")

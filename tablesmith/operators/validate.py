@@ -11,6 +11,7 @@ from ..functions.names import col, resolve_one
 from ..functions.quantiles import as_double
 from ..functions.report import count_where, rows_from_aggregates
 from .clean import present
+from .profile import values_per_place
 
 
 def load_spec(path: str) -> dict[str, Any]:
@@ -42,6 +43,7 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     """
     aggregates: dict[str, Column] = {"rows": F.count(F.lit(1))}
     rows: list[dict[str, Column]] = []
+    unique: list[tuple[str, str]] = []
 
     def measured(aggregate: Column) -> Column:
         name = f"a{len(aggregates)}"
@@ -54,9 +56,7 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
             if name is None:
                 rows.append(_entry("unique", wanted, F.lit(False)))
                 continue
-            distinct = measured(F.count_distinct(F.when(present(df, name), col(name))))
-            missing = measured(count_where(~present(df, name)))
-            rows.append(_entry("unique", wanted, (distinct + missing == F.col("rows")) & (missing <= 1)))
+            unique.append((wanted, name))
         for wanted in _as_list(check.get("required", [])):
             name = resolve_one(df.columns, wanted)
             if name is None:
@@ -86,12 +86,28 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
                     bad = bad | (value > F.lit(float(high)))
                 fails = measured(count_where(bad))
                 rows.append(_entry("range", wanted, fails == 0, fails=fails, min=low, max=high))
+    if unique:
+        checked = _check_unique(df, unique)
+        return rows_from_aggregates(df, aggregates, rows).unionByName(checked) if rows else checked
     if not rows:
         schema = "check string, col string, ok boolean, missing long, fails long, min double, max double, error string"
         return df.sparkSession.createDataFrame([], schema)
     return rows_from_aggregates(df, aggregates, rows)
 
 
+def _check_unique(df: DataFrame, unique: list[tuple[str, str]]) -> DataFrame:
+    """Report rows of the ``unique`` checks (wanted name, column): equal values are counted before the shuffle, all columns at once."""
+    names = list(dict.fromkeys(n for _, n in unique))
+    places = [f"c{i}" for i in range(len(names))]
+    counted = values_per_place(df.select(*[col(n) for n in names]), places).groupBy("place").agg(
+        F.sum("n").alias("rows"), F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")
+    )
+    wanted = df.sparkSession.createDataFrame([(places[names.index(n)], w) for w, n in unique], "place string, wanted string")
+    ok = F.coalesce((F.col("distinct") + F.col("missing") == F.col("rows")) & (F.col("missing") <= 1), F.lit(True))
+    entry = _entry("unique", F.col("wanted"), ok)
+    return wanted.join(counted, "place", "left").select(*[value.alias(name) for name, value in entry.items()])
+
+
 def summarize(report: DataFrame) -> DataFrame:
     """One row: number of checks, passed checks, overall verdict and pass ratio (0 without checks)."""
     return report.agg(
