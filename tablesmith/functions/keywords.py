@@ -16,7 +16,10 @@ KEYWORD_MAP_VARIABLE = "TABLESMITH_KEYWORD_MAP"
 
 
 def load_keyword_map(path: str | None = None) -> dict[str, Any]:
-    """Keyword map from a JSON file (argument, then environment variable), else the built-in one."""
+    """Keyword map from a JSON file (argument, then environment variable), else the built-in one.
+
+    A file that is named but missing is an error, not a reason to tag with other words than asked for.
+    """
     path = path or os.getenv(KEYWORD_MAP_VARIABLE)
     if not path:
         return KEYWORD_MAP

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.names import col, resolve_one
 from ..functions.quantiles import as_double
 from ..functions.report import count_where, rows_from_aggregates
+from ..session import materialize
 from .clean import present
 from .profile import values_per_place
 
@@ -123,7 +124,11 @@ def gate(df: DataFrame, spec: Mapping[str, Any], threshold: float = 1.0) -> Data
 
 
 def gated_write(df: DataFrame, spec: Mapping[str, Any], write, threshold: float = 1.0, blocked=None) -> bool:
-    """Call ``write(df)`` if the gate opens, else ``blocked(df)`` when given; return the decision."""
+    """Call ``write(df)`` if the gate opens, else ``blocked(df)`` when given; return the decision.
+
+    The table is computed once, into the shared folder, and both the check and the write read that.
+    """
+    df = materialize(df, "gated")
     allowed = gate(df, spec, threshold).first()["allowed"]
     if allowed:
         write(df)
