@@ -8,9 +8,9 @@ Method: set-relation skipping.
   index. A passage that thousands of otherwise different documents share fills no part by itself, so it makes no
   list long; a plain word or shingle index would compare all of them.
 * **Block skipping.** Members of the lists live in blocks of bounded size. A list is kept as one header for each of
-  its blocks, with the smallest and largest set size there; two blocks meet only if ``SHARED_KEYS`` lists hold both
-  and their sizes allow a link. What meets is shipped once, however many lists name it. Sets with lists in common
-  gather in the same block, so most blocks meet only themselves.
+  its blocks, with the smallest and largest set size there; two blocks meet only if as many
+  lists hold both as two linking sets need, and their sizes allow a link. What meets is shipped once, however many
+  lists name it. Sets with lists in common gather in the same block, so most blocks meet only themselves.
 * **Answers from answers.** Inside a pair of blocks one set's overlaps with all others are counted through an
   inverted index. The overlaps of a similar set follow from them by adding the lists of the shingles it has more
   and subtracting those it has less (:func:`links_within`).
@@ -27,18 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bitmap import SLOTS, as_flags, bitmap_of
 from .common import pick, small_batches, stored, table, text_slices
 from .components import components
 from .wordhash import WordHasher, mix
 
 #: Shingles that one block of the index holds; the memory of a task follows from it.
 BLOCK_SHINGLES = 400_000
-#: Keys that linking sets share at least; by the choice of the number of parts it could be more, never less.
-SHARED_KEYS = 3
 #: Nodes a task remembers, so that it sends the parts of equal sets only once.
 REMEMBERED_NODES = 200_000
-#: Bits of the map that keeps most documents without candidates out of a shuffle.
-CANDIDATE_BITS = 1 << 22
 
 
 def size_classes(num: int, den: int, largest: int = 1 << 31) -> np.ndarray:
@@ -55,27 +52,39 @@ def difference_bound(bounds: np.ndarray, c: int, num: int, den: int) -> int:
     return (small + small * den // num) * (den - num) // (den + num)
 
 
+def parts_of_class(bounds: np.ndarray, c: int, num: int, den: int) -> tuple[int, int]:
+    """Into how many parts sets that meet in class ``c`` are cut, and how many keys linking ones have in common.
+
+    Of ``parts`` at least ``parts - differ`` are equal in both. A quarter more than the bare need is taken, so that
+    linking sets agree in many parts, and few other sets agree in as many. Half of the equal parts may be empty ones,
+    which are not in the index (see :func:`part_keys`).
+    """
+    differ = difference_bound(bounds, c, num, den)
+    equal = 4 + -(-differ // 4)
+    return differ + equal, -(-equal // 2)
+
+
 def part_keys(shingles: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set, and for each whether the set has the lower (0) or the upper (1) size class there."""
+    """Index keys of a set, and a tag for each: twice the keys that linking sets have in common in this class, plus 1
+    where the set has the upper of the two size classes that meet."""
     own = int(np.searchsorted(bounds, len(shingles), side="right")) - 1
-    keys, roles = [], []
-    for role, c in ((0, own), (1, own - 1)):
+    keys, tags = [], []
+    for upper, c in ((0, own), (1, own - 1)):
         if c < 0:
             continue
-        differ = difference_bound(bounds, c, num, den)
-        parts = differ + 5 + differ // 40
+        parts, need = parts_of_class(bounds, c, num, den)
         position = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, position[1:] != position[:-1]])
         content = np.add.reduceat(mix(shingles), starts)
         position = position[starts]
-        # At least parts - differ parts are equal in both sets. Only a set with nearly as many empty parts may
-        # agree with another in fewer than SHARED_KEYS others, so only such a set has its empty parts in the index.
-        if parts - len(starts) > parts - differ - SHARED_KEYS:
+        # Two sets of which one has few empty parts agree in ``need`` others. A set with more of them has its empty
+        # parts in the index too: with another such set it agrees in all equal parts, empty or not.
+        if parts - len(starts) > parts - difference_bound(bounds, c, num, den) - need:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), position)
             position, content = np.r_[position, empty], np.r_[content, np.zeros(len(empty), np.uint64)]
         keys.append(mix(content + mix(position + np.uint64(c << 40))))
-        roles.append(np.full(len(position), role, np.int32))
-    return np.concatenate(keys).view(np.int64), np.concatenate(roles)
+        tags.append(np.full(len(position), 2 * need + upper, np.int32))
+    return np.concatenate(keys).view(np.int64), np.concatenate(tags)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -112,23 +121,23 @@ def _postings(k: int, num: int, den: int):
                     if len(seen) >= REMEMBERED_NODES:
                         seen.clear()
                     seen.add(node)
-                    keys, roles = part_keys(shingles, bounds, num, den)
-                    out.append((keys, roles, np.full(len(keys), node), np.full(len(keys), len(shingles), np.int32)))
+                    keys, tags = part_keys(shingles, bounds, num, den)
+                    out.append((keys, tags, np.full(len(keys), node), np.full(len(keys), len(shingles), np.int32)))
                 if out:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "role", "node", "n"])
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "tag", "node", "n"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by (key, role, node), those in lists of two nodes or more, one of the lower class."""
-    names = ["key", "node", "n"]
+    """Of postings sorted by (key, tag, node), those in lists of two nodes or more, one of the lower class."""
+    names = ["key", "tag", "node", "n"]
     held, state = None, (None, None, False, False)  # a lone row; its list's key, last node, lower class?, sent?
     for batch in batches:
         if held is not None:
             batch = pa.concat_batches([held, batch])
             held = None
-        key, node, role = (batch.column(c).to_numpy() for c in ("key", "node", "role"))
+        key, node, tag = (batch.column(c).to_numpy() for c in ("key", "node", "tag"))
         if not len(key):
             continue
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
@@ -140,7 +149,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = key[rows]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         counts = np.diff(np.r_[starts, len(k)])
-        lower = role[rows][starts] == 0
+        lower = tag[rows][starts] % 2 == 0
         sent = counts >= 2
         if state[3] and k[0] == state[0]:
             lower[0], sent[0] = state[2], True
@@ -231,9 +240,9 @@ def _link_pairs(num: int, den: int):
     return run
 
 
-def _shingle_bytes(k: int, bitmap: bytes):
+def _shingle_bytes(k: int, packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits, seen = WordHasher(), np.frombuffer(bitmap, np.uint8), set()
+        hasher, flags, seen = WordHasher(), as_flags(packed), set()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 nodes, kept = [], []
@@ -241,8 +250,7 @@ def _shingle_bytes(k: int, bitmap: bytes):
                     if not len(shingles):
                         continue
                     node = node_of(shingles)
-                    slot = node & (CANDIDATE_BITS - 1)
-                    if bits[slot >> 3] >> (slot & 7) & 1 and node not in seen:
+                    if flags[node & (SLOTS - 1)] and node not in seen:
                         if len(seen) >= REMEMBERED_NODES:
                             seen.clear()
                         seen.add(node)
@@ -254,16 +262,6 @@ def _shingle_bytes(k: int, bitmap: bytes):
     return run
 
 
-def _bitmap(nodes: DataFrame) -> bytes:
-    """A bit for each node's slot: of fixed size, so it may go to every task. It only spares work."""
-    slot = F.col("node").bitwiseAND(CANDIDATE_BITS - 1)
-    words = nodes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 as int)))").alias("bits"))
-    out = np.zeros(CANDIDATE_BITS // 32, np.uint32)
-    for w, bits in words.collect():  # at most CANDIDATE_BITS / 32 rows
-        out[w] = bits
-    return out.tobytes()
-
-
 def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -277,25 +275,27 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     docs = pick(docs, "doc_id", "text")
     base = stored(docs.mapInArrow(_sets_of(k), "doc_id long, n_shingles long, node long"), "sets")
 
-    postings = docs.mapInArrow(_postings(k, num, den), "key long, role int, node long, n int")
-    shared = stored(postings.repartition("key").sortWithinPartitions("key", "role", "node").mapInArrow(_shared, "key long, node long, n int"), "lists")
+    postings = docs.mapInArrow(_postings(k, num, den), "key long, tag int, node long, n int")
+    lists = postings.repartition("key").sortWithinPartitions("key", "tag", "node").mapInArrow(_shared, "key long, tag int, node long, n int")
+    lists = stored(lists.selectExpr("key", "tag div 2 as need", "node", "n"), "lists")
 
-    near = shared.groupBy("node").agg(F.min("key").alias("home"), F.count("*").alias("keys")).filter(F.col("keys") >= SHARED_KEYS)
-    listed = shared.join(near.select("node", "home"), "node")
+    # A set that shares fewer keys than linking needs, whoever with, links with nothing.
+    near = lists.groupBy("node", "need").agg(F.min("key").alias("home"), F.count("*").alias("keys")).filter("keys >= need")
+    listed = stored(lists.join(near.select("node", "need", "home"), ["node", "need"]), "listed")
     smallest = listed.groupBy("key").agg(F.min("home").alias("moved"))
     home = stored(listed.join(smallest, "key").groupBy("node").agg(F.min("moved").alias("home"), F.first("n").alias("n")), "homes")
     crowd = home.groupBy("home").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}) as long)").alias("salts"))
     blocks = stored(home.join(crowd, "home").selectExpr("node", "n", "xxhash64(home, pmod(xxhash64(node), salts)) as block"), "blocks")
 
-    headers = shared.join(blocks.select("node", "block"), "node").groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
+    headers = listed.join(blocks.select("node", "block"), "node").groupBy("key", "need", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
     left, right = headers.alias("l"), headers.alias("r")
     common = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block"))).filter(
         f"(l.block < r.block or l.members > 1) and {den}L * l.high >= {num}L * r.low and {den}L * r.high >= {num}L * l.low"
     )
-    meet = common.groupBy(F.col("l.block").alias("a"), F.col("r.block").alias("b")).agg(F.count("*").alias("keys")).filter(F.col("keys") >= SHARED_KEYS)
+    meet = common.groupBy(F.col("l.block").alias("a"), F.col("r.block").alias("b"), F.col("l.need").alias("need")).agg(F.count("*").alias("keys")).filter("keys >= need").select("a", "b").distinct()
     meet = meet.selectExpr("xxhash64(a, b) as pair", "explode(if(a = b, array(named_struct('block', a, 'side', 0)), array(named_struct('block', a, 'side', 0), named_struct('block', b, 'side', 1)))) as x").selectExpr("pair", "x.block", "x.side")
 
-    sets = docs.mapInArrow(_shingle_bytes(k, _bitmap(blocks)), "node long, shingles binary")
+    sets = docs.mapInArrow(_shingle_bytes(k, bitmap_of(blocks, "node")), "node long, shingles binary")
     members = meet.join(blocks.select("node", "block"), "block").select("pair", "side", "node")
     shipped = members.join(sets, "node").repartition("pair").sortWithinPartitions("pair", "side")
     links = stored(shipped.mapInArrow(_link_pairs(num, den), "a long, b long"), "links")
