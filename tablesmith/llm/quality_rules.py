@@ -156,7 +156,10 @@ def quality_rules(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever these are called.
+
+    Null and empty texts go; repeated rows are kept or go together; an empty table stays empty.
+    """
     names = [f"`{n}`" for n in docs.columns]
     inner = docs.select(F.struct(*names).alias("row"), F.col("text"))
     measured = features(inner)
