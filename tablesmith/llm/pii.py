@@ -20,15 +20,15 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bitmap import SLOTS, as_flags, bitmap_of
 from .common import pick, small_batches, stored, table, text_slices, texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Bits of the map of candidate terms that every task gets; it only spares work.
-TERM_BITS = 1 << 22
+#: Terms that a task counts before it sends them on.
+COUNTED_TERMS = 200_000
 #: Terms on each side of an identifier that are looked at.
 NEAR = 12
 
@@ -123,20 +123,34 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slot(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & (TERM_BITS - 1)
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
 
 
-def _line_counts(bitmap: bytes):
+def _line_counts(packed: bytes):
+    """Lines with each candidate term, summed up in the task; it sends what it has when its table is full."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        flags = as_flags(packed)
+
+        def sent() -> pa.RecordBatch:
+            rows = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return rows
+
         for batch in batches:
             for part in text_slices(batch, "text"):
-                counts: Counter = Counter()
+                here: Counter = Counter()
                 for text in texts(part, "text"):
                     for line in text.split("\n"):
-                        counts.update({w.lower() for w in _TERM.findall(line)})
-                kept = [(t, c) for t, c in counts.items() if bitmap[(s := _slot(t)) >> 3] >> (s & 7) & 1]
-                if kept:
-                    yield pa.record_batch([pa.array(c) for c in zip(*kept)], ["term", "n"])
+                        here.update({w.lower() for w in _TERM.findall(line)})
+                for term, n in here.items():
+                    if flags[_slot(term)]:
+                        counts[term] += n
+                if len(counts) > COUNTED_TERMS:
+                    yield sent()
+        if counts:
+            yield sent()
 
     return run
 
@@ -158,14 +172,9 @@ def disclosures(docs: DataFrame, remove_at: float = 0.9, generalise_at: float =
     if pairs.isEmpty():
         revealing = None
     else:
-        bits = np.zeros(TERM_BITS, bool)
-        slots = pairs.select((F.crc32(F.encode("term", "UTF-8")).bitwiseAND(TERM_BITS - 1)).alias("slot")).distinct()
-        words = slots.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 as int)))").alias("bits"))
-        packed = np.zeros(TERM_BITS // 32, np.uint32)
-        for w, value in words.collect():  # at most TERM_BITS / 32 rows
-            packed[w] = value
+        packed = bitmap_of(pairs.select(F.crc32(F.encode("term", "UTF-8")).alias("slot")), "slot")
         total = max(1, found.agg(F.sum("n_lines")).first()[0] or 0)
-        terms = docs.mapInArrow(_line_counts(packed.tobytes()), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+        terms = docs.mapInArrow(_line_counts(packed), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
         entities = once.groupBy("entity", "doc_id", "text_key").agg(F.countDistinct("line").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"))
         scored = pairs.join(terms, "term").join(entities, "entity").withColumn(
             "disclosure", F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.greatest(F.lit(float(total)) / F.col("n_entity"), F.lit(1.0 + 1e-9)))
@@ -198,6 +207,7 @@ def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     Works on tables whose doc_id is unique; a null text stays null.
     """
     small_batches(docs.sparkSession)
+    names = docs.columns
     found = disclosures(docs, **thresholds).filter("size(spans) > 0").selectExpr("doc_id as sanitised_id", "spans as sanitised_spans", "actions as sanitised_actions")
     joined = docs.join(found, docs["doc_id"] == found["sanitised_id"], "left")
 
@@ -217,7 +227,7 @@ def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
             for part in text_slices(batch, "text"):
                 rows = zip(*(part.column(c).to_pylist() for c in ("text", "sanitised_spans", "sanitised_actions")))
                 part = part.set_column(part.schema.get_field_index("text"), "text", pa.array([clean(*r) for r in rows], pa.string()))
-                yield part.select(docs.columns)
+                yield part.select(names)
 
     return joined.mapInArrow(run, docs.schema)
 
