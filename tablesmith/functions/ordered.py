@@ -40,6 +40,17 @@ def order_in_chunks(df: DataFrame, partition_by: Sequence[str], order_by: Sequen
     return stored.withColumn(CHUNK, F.shiftright(F.col(POSITION), _LOCAL_BITS))
 
 
+def number_rows(df: DataFrame, label: str) -> DataFrame:
+    """Stored copy of ``df`` with ``__pos``, numbers from 0 without gaps in no particular order."""
+    stored = materialize(df.withColumn(POSITION, F.monotonically_increasing_id()), label)
+    chunked = stored.withColumn(CHUNK, F.shiftright(F.col(POSITION), _LOCAL_BITS))
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per task that wrote the copy.
+    offsets = chunked.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("rows")).select(CHUNK, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(OFFSET))
+    numbered = chunked.join(F.broadcast(offsets), CHUNK).withColumn(POSITION, _local(F.col(POSITION)) + F.col(OFFSET))
+    return numbered.drop(CHUNK, OFFSET)
+
+
 def _same_group(partition_by: Sequence[str], other: str) -> Column:
     tests = [col(c).eqNullSafe(F.col(f"{other}.k{i}")) for i, c in enumerate(partition_by)]
     return reduce(lambda a, b: a & b, tests, F.lit(True))

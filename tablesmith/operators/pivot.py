@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.dates import month_text, parse_timestamp
 from ..functions.lexicon import MONTH_COLUMN, MONTH_SOURCES
 from ..functions.names import col, drop_duplicate_columns, resolve, resolve_one, snake
-from ..functions.ordered import POSITION, neighbours
+from ..functions.ordered import POSITION, number_rows
 from ..functions.quantiles import grouped_quantiles
 from ..session import cut_lineage
 from .clean import present
@@ -131,7 +131,7 @@ def _header_levels(table: DataFrame, key: str) -> list[Any]:
 def _numbered_levels(table: DataFrame, key: str, place: str) -> DataFrame:
     """The distinct values of a key as ``__level``, numbered from 0 without gaps in ``place``; stored and spread over tasks."""
     levels = table.select(col(key).alias("__level")).distinct()
-    return neighbours(levels, [], [], ["__level"]).select("__level", F.col(POSITION).alias(place))
+    return number_rows(levels, "levels").select("__level", F.col(POSITION).alias(place))
 
 
 def _fill_grid(table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
