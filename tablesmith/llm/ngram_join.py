@@ -33,7 +33,9 @@ from .components import components
 from .wordhash import WordHasher, mix
 
 #: Shingles that one block of the index holds; the memory of a task follows from it.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 1_500_000
+#: What a set counts at least, so that a block has a bounded number of sets too.
+SET_SHINGLES = 150
 #: Nodes a task remembers, so that it sends the parts of equal sets only once.
 REMEMBERED_NODES = 200_000
 
@@ -284,7 +286,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     listed = stored(lists.join(near.select("node", "need", "home"), ["node", "need"]), "listed")
     smallest = listed.groupBy("key").agg(F.min("home").alias("moved"))
     home = stored(listed.join(smallest, "key").groupBy("node").agg(F.min("moved").alias("home"), F.first("n").alias("n")), "homes")
-    crowd = home.groupBy("home").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}) as long)").alias("salts"))
+    crowd = home.groupBy("home").agg(F.expr(f"cast(ceil(sum(greatest(n, {SET_SHINGLES})) / {BLOCK_SHINGLES}) as long)").alias("salts"))
     blocks = stored(home.join(crowd, "home").selectExpr("node", "n", "xxhash64(home, pmod(xxhash64(node), salts)) as block"), "blocks")
 
     headers = listed.join(blocks.select("node", "block"), "node").groupBy("key", "need", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
