@@ -191,9 +191,15 @@ def _classify(model, templates, at_least: float):
 
 
 def sampled_paragraphs(docs: DataFrame, number: int = SAMPLED_PARAGRAPHS) -> list[str]:
-    """The ``number`` paragraphs of the corpus with the smallest hashes, cut at 400 characters; all if there are fewer."""
+    """The ``number`` different paragraphs of the corpus with the smallest hashes, cut at 400 characters; all if there are fewer.
+
+    Lines are counted first, so that only hashes below a border are sorted: what reaches the driver does not grow with
+    the number of tasks.
+    """
+    lines_in_all = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 1
+    border = -(2**63) + min(2**64 - 1, 8 * number * 2**64 // lines_in_all)
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''").select(F.xxhash64("line").alias("h"), F.substring("line", 1, 400).alias("line"))
-    return [r["line"] for r in lines.orderBy("h", "line").limit(number).collect()]
+    return [r["line"] for r in lines.filter(F.col("h") <= border).distinct().orderBy("h", "line").limit(number).collect()]
 
 
 def scan_licences(docs: DataFrame, at_least: float = 0.5, sampled: int = SAMPLED_PARAGRAPHS) -> DataFrame:
