@@ -3,7 +3,8 @@
 Numbers, names and units of a text become typed placeholders, so a question asked again with other values has the
 same template. Template windows of documents and benchmark items are joined by hash. Along each alignment of a
 document with an item the slots must then be consistent: one value of the item always stands for one value of the
-document, and the other way round. Chance hits of templates fail that; re-parameterised questions pass.
+document, and the other way round. Chance hits of templates fail that; re-parameterised questions pass. Beside them
+all windows are joined by their lowered words and values as they stand, so a verbatim copy counts whatever it is made of.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ UNITS = frozenset("% ° $ € £ mm cm m km inch inches in ft foot feet yard yar
 WINDOW = 8
 #: An item is found where so many of its tokens (or all, if it has fewer) are covered by one alignment.
 COVERED = 13
+#: Sets the hashes of windows as they stand apart from those of templates; their rows have a negative size.
+EXACT = 1 << 32
 
 _NUMBER = re.compile(r"[-+]?[$€£]?(\d+(?:[.,:/]\d+)*)(.*)")
 _SLOT = {"number": 1, "name": 2, "unit": 3}
@@ -51,9 +54,9 @@ def classify(raw: str) -> tuple[int, int, str, bool, str]:
     if found:
         unit = found[2].lower()
         if not unit or unit in UNITS:
-            return (_NUM_UNIT if unit else _NUM), 0, found[1], ends, unit
+            return (_NUM_UNIT if unit else _NUM), _code(found[1]), found[1], ends, unit
     if lowered in NUMBER_WORDS:
-        return _NUM, 0, lowered, ends, ""
+        return _NUM, _code(lowered), lowered, ends, ""
     return (_CAPITAL if core[0].isupper() else _PLAIN), _code(lowered), lowered, ends, ""
 
 
@@ -64,12 +67,13 @@ class Templates:
         self.known: dict[str, tuple] = {}
         self.remembered = remembered
 
-    def tokens(self, text: str) -> tuple[np.ndarray, dict[int, tuple[str, str]]]:
-        """Codes of the tokens, and for the places of slots their type and value.
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[str, str]]]:
+        """Codes of the template tokens, codes of the words as they stand, and for the places of slots their type and value.
 
         A capitalised word is a name inside a sentence; at the start of one only if it is a name elsewhere in the text.
         """
         codes: list[int] = []
+        exact: list[int] = []
         slots: dict[int, tuple[str, str]] = {}
         starts: list[tuple[int, str]] = []
         names: set[str] = set()
@@ -83,6 +87,8 @@ class Templates:
                 if entry is None:
                     entry = known[raw] = classify(raw)
                 kind, code, value, ends, unit = entry
+                if kind != _NOTHING:
+                    exact.append(code)
                 if kind == _PLAIN:
                     if number_before and value in UNITS:
                         slots[len(codes)] = ("unit", value)
@@ -105,6 +111,7 @@ class Templates:
                     if kind == _NUM_UNIT:
                         slots[len(codes)] = ("unit", unit)
                         codes.append(_SLOT_CODES["unit"])
+                        exact.append(_code(unit))
                         number_before = False
                 first = ends or first and kind == _NOTHING
         if names:
@@ -112,16 +119,16 @@ class Templates:
                 if value in names:
                     slots[place] = ("name", value)
                     codes[place] = _SLOT_CODES["name"]
-        return np.array(codes, np.uint64), slots
+        return np.array(codes, np.uint64), np.array(exact, np.uint64), slots
 
 
-def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(codes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hashes of all windows of ``size`` tokens."""
     count = max(0, len(codes) - size + 1)
     rolled = np.zeros(count, np.uint64)
     for j in range(size):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + count]
-    return mix(rolled + np.uint64(size)).view(np.int64)
+    return mix(rolled + np.uint64(size + salt)).view(np.int64)
 
 
 def _slot_list(slots: dict[int, tuple[str, str]], place: int, size: int) -> list[str]:
@@ -134,7 +141,7 @@ def _item_windows(window: int, least: int):
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), texts(batch, "text")):
-                codes, slots = templates.tokens(text)
+                codes, exact, slots = templates.tokens(text)
                 if len(codes) < least:
                     continue
                 size = min(window, len(codes))
@@ -142,6 +149,8 @@ def _item_windows(window: int, least: int):
                     filled = _slot_list(slots, place, size)
                     if 2 * len(filled) <= size:
                         rows.append((key, size, item, place, len(codes), filled))
+                for place, key in enumerate(window_hashes(exact, size, EXACT).tolist()):
+                    rows.append((key, -size, item, place, len(codes), _slot_list(slots, place, size)))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "size", "item_id", "item_at", "item_tokens", "item_slots"])
@@ -156,11 +165,11 @@ def _document_windows(sizes: list[int], packed: bytes):
             for part in text_slices(batch, "text"):
                 rows = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), texts(part, "text")):
-                    codes, slots = templates.tokens(text)
+                    codes, exact, slots = templates.tokens(text)
                     for size in sizes:
-                        keys = window_hashes(codes, size)
+                        keys = window_hashes(codes, size) if size > 0 else window_hashes(exact, -size, EXACT)
                         for place in np.flatnonzero(flags[keys & (SLOTS - 1)]).tolist():
-                            rows.append((int(keys[place]), size, doc, place, _slot_list(slots, place, size)))
+                            rows.append((int(keys[place]), size, doc, place, _slot_list(slots, place, size) if size > 0 else []))
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "size", "doc_id", "doc_at", "doc_slots"])
@@ -173,17 +182,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
     ``kind`` is "exact", or "reparameterised" where slots have other values (``n_changed`` of them). Items of fewer than
     ``least`` tokens can't be told from chance and are not searched; items shorter than a window are one window. A
-    window that is mostly slots is no evidence. Null texts are empty; rows that share a doc_id count as one document;
+    window that is mostly slots is evidence only with its own values. Null texts are empty; rows that share a doc_id count as one document;
     an empty table on either side gives an empty result; further columns are ignored.
     """
     small_batches(docs.sparkSession)
     items = stored(pick(benchmark, "item_id", "text").mapInArrow(_item_windows(window, least), "key long, size int, item_id long, item_at int, item_tokens int, item_slots array<string>"), "items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` of them
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` of either kind
     places = pick(docs, "doc_id", "text").mapInArrow(_document_windows(sizes, bitmap_of(items, "key")), "key long, size int, doc_id long, doc_at int, doc_slots array<string>")
     hits = places.join(items, ["key", "size"]).withColumn("shift", F.expr("doc_at - item_at"))
-    pairs = F.expr("transform(item_slots, (s, i) -> struct(item_at + int(split(s, ' ', 2)[0]) as place, split(s, ' ', 2)[1] as item, split(doc_slots[i], ' ', 2)[1] as doc))")
+    pairs = F.expr("transform(item_slots, (s, i) -> struct(item_at + int(split(s, ' ', 2)[0]) as place, split(s, ' ', 2)[1] as item, if(size < 0, split(s, ' ', 2)[1], split(doc_slots[i], ' ', 2)[1]) as doc))")
     runs = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("item_tokens").alias("item_tokens"), F.max("size").alias("size"), F.array_sort(F.collect_set("item_at")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+        F.max("item_tokens").alias("item_tokens"), F.max(F.abs("size")).alias("size"), F.array_sort(F.collect_set("item_at")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
     )
     runs = runs.withColumn("covered_tokens", F.expr("aggregate(transform(at, (x, k) -> least(size, coalesce(get(at, k + 1) - x, size))), 0, (a, x) -> a + x)"))
     runs = runs.withColumn("n_changed", F.expr("size(filter(slots, s -> s.item <> s.doc))"))

@@ -118,6 +118,22 @@ def test_decontamination(spark, odd):
     assert contaminated(odd, bench.limit(0)).count() == 0 and contaminated(odd.limit(0), bench).count() == 0
 
 
+VERBATIM = [
+    "EXPLAIN WHY THE OLD RIVER BELOW THE TOWN FREEZES LATER THAN THE LAKE ABOVE IT EVERY WINTER",
+    "Continue 3 8 15 24 35 48 63 80 99 120 143 168 195",
+    "Which of Paris, London, Berlin, Madrid, Rome, Vienna, Prague, Warsaw, Lisbon, Dublin, Athens and Rostock?",
+    "How Many Green Apples Does The Old Farmer Sell On The Market In Every Week Of Spring?",
+]
+
+
+def test_decontamination_of_slot_heavy_items(spark):
+    bench = spark.createDataFrame(list(enumerate(VERBATIM)), "item_id long, text string")
+    others = "Continue 4 8 15 24 36 48 64 80 99 121 143 169 195\nWhich of Oslo, Paris, Bern, Rome and Riga?\nEXPLAIN WHAT AN OLD TOWN ABOVE THE RIVER IS"
+    rows = [(10 + i, f"{prose(i, 30)}\n{t}\n{prose(9 + i, 30)}") for i, t in enumerate(VERBATIM)] + [(20, others), (21, prose(5, 300))]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(10 + i, i, "exact") for i in range(len(VERBATIM))}
+
+
 def test_licences(spark, odd):
     texts = {1: prose(1, 40) + "\nReleased under the MIT License.\n" + prose(2, 20), 2: "Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", 3: prose(3, 80), 4: "He lost his driving license and the apache pilot released the public version of the story.", 5: "é\nAll rights reserved."}
     docs = frame(spark, list(texts.items())).unionByName(odd)
