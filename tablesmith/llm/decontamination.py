@@ -30,10 +30,13 @@ WINDOW = 8
 COVERED = 13
 #: Sets the hashes of windows as they stand apart from those of templates; their rows have a negative size.
 EXACT = 1 << 32
+#: Window starts that a task reads in all ways at once.
+BLOCK = 8192
 
 _NUMBER = re.compile(r"[-+]?[$€£]?(\d+(?:[.,:/]\d+)*)(.*)")
 _SLOT = {"number": 1, "name": 2, "unit": 3}
-_PLAIN, _CAPITAL, _NUM, _NUM_UNIT, _NOTHING = range(5)
+_PLAIN, _CAPITAL, _NUM, _UNIT, _NUM_UNIT, _NOTHING = range(6)
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _code(word: str) -> int:
@@ -60,24 +63,35 @@ def classify(raw: str) -> tuple[int, int, str, bool, str]:
     return (_CAPITAL if core[0].isupper() else _PLAIN), _code(lowered), lowered, ends, ""
 
 
+class Words:
+    """The words of a text, one entry each: the code and value as they stand, the class, and what lies around them."""
+
+    def __init__(self) -> None:
+        self.codes: list[int] = []
+        self.kinds: list[int] = []
+        self.values: list[str] = []
+        self.first: list[bool] = []  # begins a sentence or line
+        self.last: list[bool] = []  # ends one
+
+    def add(self, code: int, kind: int, value: str, first: bool, last: bool) -> None:
+        self.codes.append(code)
+        self.kinds.append(kind)
+        self.values.append(value)
+        self.first.append(first)
+        self.last.append(last)
+
+
 class Templates:
-    """Turns texts into template tokens; remembers how words are read."""
+    """Splits texts into classified words; remembers how words are read."""
 
     def __init__(self, remembered: int = 300_000) -> None:
         self.known: dict[str, tuple] = {}
         self.remembered = remembered
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[str, str]]]:
-        """Codes of the template tokens, codes of the words as they stand, and for the places of slots their type and value.
-
-        A capitalised word is a name inside a sentence; at the start of one only if it is a name elsewhere in the text.
-        """
-        codes: list[int] = []
-        exact: list[int] = []
-        slots: dict[int, tuple[str, str]] = {}
-        starts: list[tuple[int, str]] = []
-        names: set[str] = set()
-        known = self.known
+    def words(self, text: str) -> Words:
+        """A word's class depends on itself and, for units, on the word before it, so it is the same in every text."""
+        out, known = Words(), self.known
+        add = out.add
         if len(known) > self.remembered:
             known.clear()
         for line in text.split("\n"):
@@ -87,39 +101,104 @@ class Templates:
                 if entry is None:
                     entry = known[raw] = classify(raw)
                 kind, code, value, ends, unit = entry
-                if kind != _NOTHING:
-                    exact.append(code)
                 if kind == _PLAIN:
-                    if number_before and value in UNITS:
-                        slots[len(codes)] = ("unit", value)
-                        code = _SLOT_CODES["unit"]
-                    codes.append(code)
+                    add(code, _UNIT if number_before and value in UNITS else _PLAIN, value, first, ends)
                     number_before = False
                 elif kind == _CAPITAL:
-                    if first:
-                        starts.append((len(codes), value))
-                        codes.append(code)
-                    else:
-                        names.add(value)
-                        slots[len(codes)] = ("name", value)
-                        codes.append(_SLOT_CODES["name"])
+                    add(code, kind, value, first, ends)
                     number_before = False
-                elif kind != _NOTHING:
-                    slots[len(codes)] = ("number", value)
-                    codes.append(_SLOT_CODES["number"])
+                elif kind == _NUM:
+                    add(code, kind, value, first, ends)
                     number_before = True
-                    if kind == _NUM_UNIT:
-                        slots[len(codes)] = ("unit", unit)
-                        codes.append(_SLOT_CODES["unit"])
-                        exact.append(_code(unit))
-                        number_before = False
+                elif kind == _NUM_UNIT:
+                    add(code, _NUM, value, first, False)
+                    add(_code(unit), _UNIT, unit, False, ends)
+                    number_before = False
+                elif ends and out.last:
+                    out.last[-1] = True
                 first = ends or first and kind == _NOTHING
-        if names:
-            for place, value in starts:
-                if value in names:
-                    slots[place] = ("name", value)
-                    codes[place] = _SLOT_CODES["name"]
-        return np.array(codes, np.uint64), np.array(exact, np.uint64), slots
+            if out.last:
+                out.last[-1] = True
+        return out
+
+
+class Steps:
+    """The ways through a text in template tokens.
+
+    A number is one token and so is a run of numbers; a capitalised word is a plain word, or with the capitalised words
+    behind it in its sentence one name. An item is read in one way, a document in all.
+    """
+
+    def __init__(self, words: Words) -> None:
+        self.words = words
+        self.exact = np.array(words.codes, np.uint64)
+        kinds, last = np.array(words.kinds, np.int8), np.array(words.last, bool)
+        self.capital = kinds == _CAPITAL
+        self.slot = (kinds == _NUM) | (kinds == _UNIT)
+        self.codes = self.exact.copy()
+        self.codes[kinds == _NUM], self.codes[kinds == _UNIT] = _SLOT_CODES["number"], _SLOT_CODES["unit"]
+        n = len(kinds)
+        joined = np.zeros(n, bool)
+        joined[:-1] = (kinds[:-1] == kinds[1:]) & ~last[:-1] & (self.capital | (kinds == _NUM))[:-1]
+        ends = np.flatnonzero(~joined) + 1
+        self.run_end = ends[np.searchsorted(ends, np.arange(n), "right")] if n else np.zeros(0, np.int64)
+        self.next = np.where(kinds == _NUM, self.run_end, np.arange(1, n + 1))
+
+    def names(self) -> np.ndarray:
+        """The one reading of an item: capitalised words are names inside a sentence, and at its start if they are elsewhere."""
+        words = self.words
+        inside = {v for v, c, f in zip(words.values, self.capital.tolist(), words.first) if c and not f}
+        return np.array([c and (not f or v in inside) for v, c, f in zip(words.values, self.capital.tolist(), words.first)], bool)
+
+    def path(self, names: np.ndarray) -> list[tuple[int, int, str | None]]:
+        """(start, end, kind of slot) of the tokens in the reading of an item."""
+        out, at = [], 0
+        while at < len(self.codes):
+            end = int(self.run_end[at] if names[at] else self.next[at])
+            out.append((at, end, "name" if names[at] else self.kind(at)))
+            at = end
+        return out
+
+    def kind(self, at: int) -> str | None:
+        return {_NUM: "number", _UNIT: "unit"}.get(self.words.kinds[at])
+
+    def value(self, start: int, end: int) -> str:
+        return " ".join(self.words.values[start:end])
+
+    def readings(self, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, starts, readings, hashes) of the template windows from every place in every reading.
+
+        Bit ``j`` of a reading says that token ``j`` is a name. Windows with more slots than words are left out.
+        """
+        n, most = len(self.codes), max(sizes, default=0)
+        for block in range(0, n, BLOCK):
+            start = np.arange(block, min(n, block + BLOCK))
+            at, hashes = start, np.zeros(len(start), np.uint64)
+            reading, slots = np.zeros(len(start), np.int32), np.zeros(len(start), np.int8)
+            for j in range(most):
+                named = np.flatnonzero(self.capital[at] & (2 * slots < most))
+                rolled = hashes * _ROLL
+                hashes = np.concatenate([rolled + self.codes[at], rolled[named] + np.uint64(_SLOT_CODES["name"])])
+                slots = np.concatenate([slots + self.slot[at], slots[named] + np.int8(1)])
+                reading = np.concatenate([reading, reading[named] | np.int32(1 << j)])
+                start = np.concatenate([start, start[named]])
+                at = np.concatenate([self.next[at], self.run_end[at[named]]])
+                if j + 1 in sizes:
+                    yield j + 1, start, reading, mix(hashes + np.uint64(j + 1)).view(np.int64)
+                live = np.flatnonzero((at < n) & (2 * slots <= most))
+                start, at, hashes, reading, slots = start[live], at[live], hashes[live], reading[live], slots[live]
+
+    def window(self, start: int, reading: int, size: int) -> tuple[int, list[str]]:
+        """End of a window, and its slots."""
+        slots, at = [], start
+        for j in range(size):
+            named = reading >> j & 1
+            end = int(self.run_end[at] if named else self.next[at])
+            kind = "name" if named else self.kind(at)
+            if kind:
+                slots.append(f"{j} {kind} {self.value(at, end)}")
+            at = end
+        return at, slots
 
 
 def window_hashes(codes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
@@ -127,33 +206,37 @@ def window_hashes(codes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     count = max(0, len(codes) - size + 1)
     rolled = np.zeros(count, np.uint64)
     for j in range(size):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + count]
+        rolled = rolled * _ROLL + codes[j : j + count]
     return mix(rolled + np.uint64(size + salt)).view(np.int64)
 
 
-def _slot_list(slots: dict[int, tuple[str, str]], place: int, size: int) -> list[str]:
-    return [f"{at - place} {slots[at][0]} {slots[at][1]}" for at in range(place, place + size) if at in slots] if slots else []
-
-
 def _item_windows(window: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), texts(batch, "text")):
-                codes, exact, slots = templates.tokens(text)
-                if len(codes) < least:
+                steps = Steps(templates.words(text))
+                count = len(steps.exact)
+                if count < least:
                     continue
-                size = min(window, len(codes))
+                names = steps.names()
+                path = steps.path(names)
+                size = min(window, len(path))
+                codes = np.array([_SLOT_CODES[kind] if kind else steps.exact[at] for at, _, kind in path], np.uint64)
                 for place, key in enumerate(window_hashes(codes, size).tolist()):
-                    filled = _slot_list(slots, place, size)
-                    if 2 * len(filled) <= size:
-                        rows.append((key, size, item, place, len(codes), filled))
-                for place, key in enumerate(window_hashes(exact, size, EXACT).tolist()):
-                    rows.append((key, -size, item, place, len(codes), _slot_list(slots, place, size)))
+                    part = path[place : place + size]
+                    filled = [f"{at - part[0][0]} {kind} {steps.value(at, end)}" for at, end, kind in part if kind]
+                    if 2 * len(filled) <= size and 2 * (size - len(filled)) >= min(window, count):
+                        rows.append((key, size, item, part[0][0], part[-1][1], count, filled))
+                size = min(window, count)
+                kinds = ["name" if name else steps.kind(at) for at, name in enumerate(names.tolist())]
+                for place, key in enumerate(window_hashes(steps.exact, size, EXACT).tolist()):
+                    filled = [f"{j} {kinds[place + j]} {steps.words.values[place + j]}" for j in range(size) if kinds[place + j]]
+                    rows.append((key, -size, item, place, place + size, count, filled))
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "size", "item_id", "item_at", "item_tokens", "item_slots"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "size", "item_id", "item_at", "item_end", "item_tokens", "item_slots"])
 
     return run
 
@@ -165,18 +248,25 @@ def _document_windows(sizes: list[int], packed: bytes):
             for part in text_slices(batch, "text"):
                 rows = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), texts(part, "text")):
-                    codes, exact, slots = templates.tokens(text)
-                    for size in sizes:
-                        keys = window_hashes(codes, size) if size > 0 else window_hashes(exact, -size, EXACT)
-                        for place in np.flatnonzero(flags[keys & (SLOTS - 1)]).tolist():
-                            rows.append((int(keys[place]), size, doc, place, _slot_list(slots, place, size) if size > 0 else []))
+                    steps = Steps(templates.words(text))
+                    for size, starts, readings, keys in steps.readings([n for n in sizes if n > 0]):
+                        for k in np.flatnonzero(flags[keys & (SLOTS - 1)]).tolist():
+                            end, filled = steps.window(int(starts[k]), int(readings[k]), size)
+                            rows.append((int(keys[k]), size, doc, int(starts[k]), end, filled))
+                    for size in [-n for n in sizes if n < 0]:
+                        keys = window_hashes(steps.exact, size, EXACT)
+                        rows += [(int(keys[k]), -size, doc, k, k + size, []) for k in np.flatnonzero(flags[keys & (SLOTS - 1)]).tolist()]
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()))
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "size", "doc_id", "doc_at", "doc_slots"])
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "size", "doc_id", "doc_at", "doc_end", "doc_slots"])
 
     return run
 
 
+#: Tokens in the intervals ``at``, which are sorted by their beginning.
+_UNION = "aggregate(at, struct(0 as upto, 0 as n), (a, x) -> struct(greatest(a.upto, x.item_end) as upto, a.n + greatest(0, x.item_end - greatest(a.upto, x.item_at)) as n), a -> a.n)"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: int = COVERED, least: int = 5) -> DataFrame:
     """(doc_id, item_id, kind, covered_tokens, item_tokens, n_changed) for every document that holds a benchmark item.
 
@@ -186,15 +276,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     an empty table on either side gives an empty result; further columns are ignored.
     """
     small_batches(docs.sparkSession)
-    items = stored(pick(benchmark, "item_id", "text").mapInArrow(_item_windows(window, least), "key long, size int, item_id long, item_at int, item_tokens int, item_slots array<string>"), "items")
+    items = stored(pick(benchmark, "item_id", "text").mapInArrow(_item_windows(window, least), "key long, size int, item_id long, item_at int, item_end int, item_tokens int, item_slots array<string>"), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` of either kind
-    places = pick(docs, "doc_id", "text").mapInArrow(_document_windows(sizes, bitmap_of(items, "key")), "key long, size int, doc_id long, doc_at int, doc_slots array<string>")
+    places = pick(docs, "doc_id", "text").mapInArrow(_document_windows(sizes, bitmap_of(items, "key")), "key long, size int, doc_id long, doc_at int, doc_end int, doc_slots array<string>")
     hits = places.join(items, ["key", "size"]).withColumn("shift", F.expr("doc_at - item_at"))
     pairs = F.expr("transform(item_slots, (s, i) -> struct(item_at + int(split(s, ' ', 2)[0]) as place, split(s, ' ', 2)[1] as item, if(size < 0, split(s, ' ', 2)[1], split(doc_slots[i], ' ', 2)[1]) as doc))")
     runs = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("item_tokens").alias("item_tokens"), F.max(F.abs("size")).alias("size"), F.array_sort(F.collect_set("item_at")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+        F.max("item_tokens").alias("item_tokens"), F.array_sort(F.collect_set(F.struct("item_at", "item_end"))).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
     )
-    runs = runs.withColumn("covered_tokens", F.expr("aggregate(transform(at, (x, k) -> least(size, coalesce(get(at, k + 1) - x, size))), 0, (a, x) -> a + x)"))
+    runs = runs.withColumn("covered_tokens", F.expr(_UNION))
     runs = runs.withColumn("n_changed", F.expr("size(filter(slots, s -> s.item <> s.doc))"))
     consistent = F.expr("size(array_distinct(transform(slots, s -> struct(s.item, s.doc)))) = size(array_distinct(transform(slots, s -> s.item))) and size(array_distinct(transform(slots, s -> struct(s.item, s.doc)))) = size(array_distinct(transform(slots, s -> s.doc)))")
     found = runs.filter(consistent & (F.col("covered_tokens") >= F.least(F.lit(covered), "item_tokens")))

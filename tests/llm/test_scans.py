@@ -134,6 +134,16 @@ def test_decontamination_of_slot_heavy_items(spark):
     assert got == {(10 + i, i, "exact") for i in range(len(VERBATIM))}
 
 
+def test_decontamination_does_not_depend_on_the_text_around(spark):
+    short, opener = "What is the capital city of the old French republic?", "Old farmers who keep twenty brown goats near Riga sell the best cheese there each week."
+    bench = spark.createDataFrame([(1, short), (2, opener)], "item_id long, text string")
+    fill = "\n".join(f"{w.capitalize()} {prose(i, 9).lower()} {w.capitalize()} said" for i, w in enumerate(["what", "old", "french", "is"]))
+    rows = [(10, f"they asked us then {short} and we knew it"), (11, f"{fill}\n{opener}\n{fill}"), (12, f"{prose(1, 150_000)}\n{fill}\n{short}\n{opener}\n{fill}\n{prose(2, 150_000)}")]
+    rows += [(13, f"{fill}\nthey told us that {opener.replace('twenty', 'forty').replace('Riga', 'Bern')}"), (14, fill), (15, "Paris is the capital city of the old French republic.")]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(10, 1, "exact"), (11, 2, "exact"), (12, 1, "exact"), (12, 2, "exact"), (13, 2, "reparameterised")}
+
+
 def test_licences(spark, odd):
     texts = {1: prose(1, 40) + "\nReleased under the MIT License.\n" + prose(2, 20), 2: "Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", 3: prose(3, 80), 4: "He lost his driving license and the apache pilot released the public version of the story.", 5: "é\nAll rights reserved."}
     docs = frame(spark, list(texts.items())).unionByName(odd)
