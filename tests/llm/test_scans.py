@@ -144,6 +144,17 @@ def test_decontamination_does_not_depend_on_the_text_around(spark):
     assert got == {(10, 1, "exact"), (11, 2, "exact"), (12, 1, "exact"), (12, 2, "exact"), (13, 2, "reparameterised")}
 
 
+def test_decontamination_with_longer_and_equal_values(spark):
+    item = "When Anna rides twenty miles to the market she carries a bag of 5 kg flour for bread. How long does the ride of Anna take in rain?"
+    fruit = "A shop near the bridge sells 5 apples and 7 pears to every guest who comes in before the evening bell rings over the quiet town"
+    pages = "He reads 5 pages aloud before lunch and then 9 more at the window and sleeps until the rain has gone"
+    bench = spark.createDataFrame([(1, item), (2, fruit), (3, pages)], "item_id long, text string")
+    rows = [(10, item.replace("Anna", "Mary Jane").replace("twenty", "two hundred")), (11, fruit.replace("5 apples and 7 pears", "9 apples and 9 pears")), (13, item.replace("Anna", "Zoe").replace("5 kg", "five"))]
+    rows += [(12, pages.replace("9 more", "some 20 or 30 more")), (14, " ".join(sorted(item.split()))), (15, prose(7, 200))]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(10, 1, "reparameterised"), (11, 2, "reparameterised"), (12, 3, "reparameterised"), (13, 1, "reparameterised")}
+
+
 def test_licences(spark, odd):
     texts = {1: prose(1, 40) + "\nReleased under the MIT License.\n" + prose(2, 20), 2: "Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", 3: prose(3, 80), 4: "He lost his driving license and the apache pilot released the public version of the story.", 5: "é\nAll rights reserved."}
     docs = frame(spark, list(texts.items())).unionByName(odd)
