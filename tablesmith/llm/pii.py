@@ -1,22 +1,23 @@
 """Personal data, and the terms that give it away.
 
-Identifiers (addresses, card and phone numbers) are found by pattern. Around them an information-theoretic measure
-decides which ordinary terms disclose a protected entity: with ``n`` lines in the corpus, a term ``t`` near an
-entity ``e`` in its line discloses
+Identifiers (addresses, card and phone numbers) are found by pattern. In their lines an information-theoretic measure
+decides which ordinary terms disclose a protected entity: with ``n`` lines in the corpus, a term ``t`` in the line of
+an entity ``e`` discloses
 
     PMI(t; e) / IC(e) = log(n * n(t, e) / (n(t) * n(e))) / log(n / n(e))
 
 of what there is to know about ``e``: 1 if the term occurs with the entity only, 0 if they are independent. Terms
-above ``remove_at`` are removed, those above ``generalise_at`` are replaced by their general form. A pair counts only
-if it occurs in ``support`` different lines, so that copies of one line are no evidence.
+above ``remove_at`` are removed, those above ``generalise_at`` are replaced by their general form, in all texts. A pair
+counts only if chance does not explain it: with ``k`` of an entity's ``m`` different lines holding the term, the binomial
+tail (Chernoff's bound) times the number of pairs must be at most ``significance``. Copies of one line are no evidence.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ from .common import pick, small_batches, stored, table, text_slices, texts
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms that a task counts before it sends them on.
 COUNTED_TERMS = 200_000
-#: Terms on each side of an identifier that are looked at.
-NEAR = 12
+#: A term's second bit is that of the upper bits of its checksum, so common words seldom pass by chance.
+_HIGH = 10
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -38,7 +39,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -78,31 +79,31 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, int, int]]:
-    """(entity, line, term, start, end) for the ``NEAR`` terms before and behind each entity in its line."""
+def _outside(text: str, spans: list[tuple[int, int]], begin: int, close: int) -> Iterator[re.Match]:
+    """The terms of ``text`` from ``begin`` to ``close`` that are in none of the sorted ``spans``."""
+    at = begin
+    for start, end in [*spans, (close, close)]:
+        if start > at:
+            yield from _TERM.finditer(text, at, start)
+        at = max(at, end)
+
+
+def _mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, list[int], list[str]]]:
+    """(line, entities, terms) for each line with an identifier."""
     lines: dict[int, list] = {}
     for kind, start, end in spans:
         lines.setdefault(text.rfind("\n", 0, start) + 1, []).append((start, end, kind))
     for begin, inside in lines.items():
         close = text.find("\n", begin)
         close = len(text) if close < 0 else close
-        key = _hash(text[begin:close])
         inside.sort()
-        terms, at = [], begin
-        for start, end in [*((s, e) for s, e, _ in inside), (close, close)]:
-            if start > at:
-                terms += [m for m in _TERM.finditer(text, at, start)]
-            at = max(at, end)
-        starts = [m.start() for m in terms]
-        for start, end, kind in inside:
-            entity, here = _hash(f"{kind}:{text[start:end]}"), bisect_left(starts, start)
-            for m in terms[max(0, here - NEAR) : here + NEAR]:
-                yield entity, key, m[0].lower(), m.start(), m.end()
+        terms = {m[0].lower() for m in _outside(text, [(s, e) for s, e, _ in inside], begin, close)}
+        yield _hash(text[begin:close]), sorted({_hash(f"{kind}:{text[start:end]}") for start, end, kind in inside}), sorted(terms)
 
 
-_FOUND = "doc_id long, text_key long, n_lines long, spans array<struct<kind string, start long, end long>>, mentions array<struct<entity long, line long, term string, start long, end long>>"
+_FOUND = "doc_id long, text_key long, n_lines long, spans array<struct<kind string, start long, end long>>, mentions array<struct<line long, entities array<long>, terms array<string>>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_MENTION = pa.struct([("entity", pa.int64()), ("line", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_MENTION = pa.struct([("line", pa.int64()), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, lines, spans, mentions = [], [], [], []
             for text in texts(part, "text"):
                 found = find_identifiers(text)
-                keys.append(_hash(text) if found else 0)
+                keys.append(_hash(text))
                 lines.append(text.count("\n") + 1)
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
                 mentions.append([dict(zip(names, m)) for m in _mentions(text, found)])
@@ -155,8 +156,35 @@ def _line_counts(packed: bytes):
     return run
 
 
-def disclosures(docs: DataFrame, remove_at: float = 0.9, generalise_at: float = 0.75, support: int = 3) -> DataFrame:
-    """(doc_id, spans, actions) for every row: identifiers, then terms that disclose one, by kind and start.
+def _occurrences(low: bytes, high: bytes):
+    """Every occurrence, in any text and outside identifiers, of the terms whose two bits are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs = as_flags(low), as_flags(high)
+        wanted: dict[str, bool] = {}
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                rows = []
+                for doc, text in zip(part.column("doc_id").to_pylist(), texts(part, "text")):
+                    if len(wanted) > COUNTED_TERMS:
+                        wanted.clear()
+                    new = {w for w in _TERM.findall(text)}
+                    for w in [w for w in new if w not in wanted]:
+                        crc = zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
+                        wanted[w] = bool(lows[crc & (SLOTS - 1)] and highs[crc >> _HIGH])
+                    if not any(wanted[w] for w in new):
+                        continue
+                    key, spans = _hash(text), sorted((start, end) for _, start, end in find_identifiers(text))
+                    rows += [(doc, key, m[0].lower(), m.start(), m.end()) for m in _outside(text, spans, 0, len(text)) if wanted.get(m[0])]
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "text_key", "term", "start", "end"])
+
+    return run
+
+
+def disclosures(docs: DataFrame, remove_at: float = 0.9, generalise_at: float = 0.75, significance: float = 0.01) -> DataFrame:
+    """(doc_id, spans, actions) for every row: identifiers, then all occurrences of terms that disclose one, by kind and start.
 
     ``spans`` are (kind, start, end) in code points; ``actions`` says for each "remove" or "generalise". A null text is
     empty. Repeated rows count as lines as often as they occur and each gets its result; further columns are ignored.
@@ -165,27 +193,32 @@ def disclosures(docs: DataFrame, remove_at: float = 0.9, generalise_at: float =
     small_batches(spark)
     docs = pick(docs, "doc_id", "text")
     found = stored(docs.mapInArrow(_find, _FOUND), "identifiers")
-    mentions = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*")
-    once = mentions.select("doc_id", "text_key", "entity", "line", "term").distinct()
-    pairs = once.groupBy("entity", "term", "line").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("lines"))
-    pairs = stored(pairs.filter(F.col("lines") >= support), "pairs")
-    if pairs.isEmpty():
+    mentions = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*").distinct()
+    named = mentions.select("line", "terms", F.explode("entities").alias("entity"))
+    counted = lambda rows, *by: rows.groupBy(*by, "line").agg(F.count("*").alias("n")).groupBy(*by)
+    pairs = stored(counted(named.select("entity", "line", F.explode("terms").alias("term")), "entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("pair_lines")), "pairs")
+    tests = pairs.count()
+    crc = F.crc32(F.encode("term", "UTF-8"))
+    if not tests:
         revealing = None
     else:
-        packed = bitmap_of(pairs.select(F.crc32(F.encode("term", "UTF-8")).alias("slot")), "slot")
+        packed = bitmap_of(pairs.select(crc.alias("slot")), "slot")
         total = max(1, found.agg(F.sum("n_lines")).first()[0] or 0)
         terms = docs.mapInArrow(_line_counts(packed), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-        entities = once.groupBy("entity", "doc_id", "text_key").agg(F.countDistinct("line").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"))
+        entities = counted(named, "entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("entity_lines"))
+        share, chance = F.col("pair_lines") / F.col("entity_lines"), F.least(F.col("n_term") / F.lit(float(total)), F.lit(1.0))
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - chance))).otherwise(0.0)
         scored = pairs.join(terms, "term").join(entities, "entity").withColumn(
             "disclosure", F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.greatest(F.lit(float(total)) / F.col("n_entity"), F.lit(1.0 + 1e-9)))
-        )
-        revealing = scored.filter(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
+        ).filter((share > chance) & (F.lit(math.log(tests / significance)) <= F.col("entity_lines") * (share * F.log(share / chance) + rest)))
+        revealing = stored(scored.filter(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "revealing")
     base = found.select("doc_id", "text_key", "spans")
     if revealing is None:
         return base.selectExpr("doc_id", "spans", "transform(spans, s -> 'remove') as actions")
-    hits = mentions.join(revealing, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("d"))
-    action = F.when(F.col("d") >= remove_at, "remove").otherwise("generalise")
-    per_text = hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
+    low, high = bitmap_of(revealing.select(crc.alias("slot")), "slot"), bitmap_of(revealing.select(F.shiftrightunsigned(crc, _HIGH).alias("slot")), "slot")
+    hits = docs.mapInArrow(_occurrences(low, high), "doc_id long, text_key long, term string, start long, end long").join(revealing, "term")
+    action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
+    per_text = hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end", action.alias("action")))).alias("terms"))
     right = per_text.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "terms")
     joined = base.join(right, base.doc_id.eqNullSafe(right.d) & (base.text_key == right.k), "left")
     return joined.selectExpr(

@@ -104,6 +104,16 @@ def test_disclosing_terms(spark, odd):
     assert pii.disclosures(odd).count() == odd.count() and pii.disclosures(odd.limit(0)).count() == 0
 
 
+def test_disclosing_terms_everywhere(spark):
+    far = " ".join(f"ka{i % 7}lo" for i in range(40))
+    rows = [(1, f"Write kim@corp.example.com {far} zorblatt {far} ward b7x"), (2, f"zorblatt went to ward b7x {far} then kim@corp.example.com"), (3, "Nobody else\nmet Zorblatt in b7x"), (4, "mail zorblatt@home.example.org")]
+    docs = frame(spark, rows + [(100 + i, f"{far} then the others went to a ward else met nobody and wrote mail in the town\nnumber {i}") for i in range(2000)])
+    found = {r["doc_id"]: r["spans"] for r in pii.disclosures(docs).collect()}
+    terms = {i: {text[s["start"] : s["end"]].lower() for s in found[i] if s["kind"] == "term"} for i, text in rows}
+    assert terms == {1: {"zorblatt", "b7x"}, 2: {"zorblatt", "b7x"}, 3: {"zorblatt", "b7x"}, 4: set()}
+    assert not any(found[100 + i] for i in range(2000))
+
+
 QUESTION = "A farmer named Anna has 12 apples and gives 5 apples to her neighbour Boris before walking 3 km home. How many apples does Anna have after giving 5 apples away today?"
 
 
