@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping
 from typing import Any
 
@@ -27,8 +28,12 @@ def _as_list(value: Any) -> list:
     return [value] if isinstance(value, str) else list(value)
 
 
-def _entry(check: str, name: str, ok: Column, **figures: Any) -> dict[str, Column]:
-    row = {"check": F.lit(check), "col": F.lit(name), "ok": ok}
+#: Place of a check in the specification; the report is in this order.
+_PLACE = "__place"
+
+
+def _entry(place: int | Column, check: str, name: str | Column, ok: Column, **figures: Any) -> dict[str, Column]:
+    row = {_PLACE: F.lit(place).cast("int"), "check": F.lit(check), "col": F.lit(name), "ok": ok}
     for key, kind in (("missing", "long"), ("fails", "long"), ("min", "double"), ("max", "double"), ("error", "string")):
         value = figures.get(key)
         row[key] = value.cast(kind) if isinstance(value, Column) else F.lit(value).cast(kind)
@@ -36,7 +41,7 @@ def _entry(check: str, name: str, ok: Column, **figures: Any) -> dict[str, Colum
 
 
 def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
-    """Report with one row per check; every check is measured by the same aggregate.
+    """Report with one row per check, in the order of the specification.
 
     ``unique`` allows one missing value; ``required`` allows none; ``regex`` must match from the start of
     the text (missing counts as empty text; Java dialect); ``range`` skips values that are not numbers, and
@@ -44,7 +49,8 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     """
     aggregates: dict[str, Column] = {"rows": F.count(F.lit(1))}
     rows: list[dict[str, Column]] = []
-    unique: list[tuple[str, str]] = []
+    unique: list[tuple[int, str, str]] = []
+    places = itertools.count()
 
     def measured(aggregate: Column) -> Column:
         name = f"a{len(aggregates)}"
@@ -53,32 +59,32 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
 
     for check in spec.get("checks") or []:
         for wanted in _as_list(check.get("unique", [])):
-            name = resolve_one(df.columns, wanted)
+            name, place = resolve_one(df.columns, wanted), next(places)
             if name is None:
-                rows.append(_entry("unique", wanted, F.lit(False)))
+                rows.append(_entry(place, "unique", wanted, F.lit(False)))
                 continue
-            unique.append((wanted, name))
+            unique.append((place, wanted, name))
         for wanted in _as_list(check.get("required", [])):
-            name = resolve_one(df.columns, wanted)
+            name, place = resolve_one(df.columns, wanted), next(places)
             if name is None:
-                rows.append(_entry("required", wanted, F.lit(False)))
+                rows.append(_entry(place, "required", wanted, F.lit(False)))
                 continue
             missing = measured(count_where(~present(df, name)))
-            rows.append(_entry("required", wanted, missing == 0, missing=missing))
+            rows.append(_entry(place, "required", wanted, missing == 0, missing=missing))
         if "regex" in check:
             wanted, pattern = check["regex"]["column"], check["regex"]["pattern"]
-            name = resolve_one(df.columns, wanted)
+            name, place = resolve_one(df.columns, wanted), next(places)
             if name is None:
-                rows.append(_entry("regex", wanted, F.lit(False), error="col_not_found"))
+                rows.append(_entry(place, "regex", wanted, F.lit(False), error="col_not_found"))
             else:
                 text = F.coalesce(col(name).cast("string"), F.lit(""))
                 fails = measured(count_where(~text.rlike(rf"\A(?:{pattern})")))
-                rows.append(_entry("regex", wanted, fails == 0, fails=fails))
+                rows.append(_entry(place, "regex", wanted, fails == 0, fails=fails))
         if "range" in check:
             wanted, low, high = check["range"]["column"], check["range"].get("min"), check["range"].get("max")
-            name = resolve_one(df.columns, wanted)
+            name, place = resolve_one(df.columns, wanted), next(places)
             if name is None:
-                rows.append(_entry("range", wanted, F.lit(False), error="col_not_found"))
+                rows.append(_entry(place, "range", wanted, F.lit(False), error="col_not_found"))
             else:
                 value, bad = as_double(df, name), F.lit(False)
                 if low is not None:
@@ -86,26 +92,28 @@ def validate(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
                 if high is not None:
                     bad = bad | (value > F.lit(float(high)))
                 fails = measured(count_where(bad))
-                rows.append(_entry("range", wanted, fails == 0, fails=fails, min=low, max=high))
-    if unique:
-        checked = _check_unique(df, unique)
-        return rows_from_aggregates(df, aggregates, rows).unionByName(checked) if rows else checked
-    if not rows:
+                rows.append(_entry(place, "range", wanted, fails == 0, fails=fails, min=low, max=high))
+    if not rows and not unique:
         schema = "check string, col string, ok boolean, missing long, fails long, min double, max double, error string"
         return df.sparkSession.createDataFrame([], schema)
-    return rows_from_aggregates(df, aggregates, rows)
+    report = rows_from_aggregates(df, aggregates, rows) if rows else None
+    if unique:
+        checked = _check_unique(df, unique)
+        report = report.unionByName(checked) if rows else checked
+    # As many rows as the specification has checks; neither a union nor a join keeps an order by itself.
+    return report.orderBy(_PLACE).drop(_PLACE)
 
 
-def _check_unique(df: DataFrame, unique: list[tuple[str, str]]) -> DataFrame:
-    """Report rows of the ``unique`` checks (wanted name, column): equal values are counted before the shuffle, all columns at once."""
-    names = list(dict.fromkeys(n for _, n in unique))
+def _check_unique(df: DataFrame, unique: list[tuple[int, str, str]]) -> DataFrame:
+    """Report rows of the ``unique`` checks (place in the specification, wanted name, column): equal values are counted before the shuffle, all columns at once."""
+    names = list(dict.fromkeys(n for _, _, n in unique))
     places = [f"c{i}" for i in range(len(names))]
     counted = values_per_place(df.select(*[col(n) for n in names]), places).groupBy("place").agg(
         F.sum("n").alias("rows"), F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")
     )
-    wanted = df.sparkSession.createDataFrame([(places[names.index(n)], w) for w, n in unique], "place string, wanted string")
+    wanted = df.sparkSession.createDataFrame([(number, places[names.index(n)], w) for number, w, n in unique], f"{_PLACE} int, place string, wanted string")
     ok = F.coalesce((F.col("distinct") + F.col("missing") == F.col("rows")) & (F.col("missing") <= 1), F.lit(True))
-    entry = _entry("unique", F.col("wanted"), ok)
+    entry = _entry(F.col(_PLACE), "unique", F.col("wanted"), ok)
     return wanted.join(counted, "place", "left").select(*[value.alias(name) for name, value in entry.items()])
 
 

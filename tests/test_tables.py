@@ -85,6 +85,18 @@ def test_validation(spark, tmp_path):
     assert ts.validate(df, load_spec(str(path))).count() == 2
 
 
+def test_checks_are_listed_as_specified(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None)], "x string, y int")
+    spec = {"checks": [
+        {"range": {"column": "y", "max": 0}}, {"unique": ["x", "nope"]}, {"required": "y"}, {"unique": "y"},
+        {"regex": {"column": "gone", "pattern": "."}}, {"required": ["x"], "unique": ["x"]},
+    ]}
+    assert [(r["check"], r["col"], r["ok"]) for r in ts.validate(df, spec).collect()] == [
+        ("range", "y", False), ("unique", "x", False), ("unique", "nope", False), ("required", "y", False), ("unique", "y", True),
+        ("regex", "gone", False), ("unique", "x", False), ("required", "x", True),
+    ]
+
+
 REQUESTS = [
     ("monthly sales by category in bar chart", ["월", "카테고리"], ["금액:sum"], "bar", []),
     ("서울과 부산 지역의 매출을 보여줘", ["도시"], ["금액:sum"], None, ["서울", "부산"]),
