@@ -13,7 +13,7 @@ in one piece of numpy arrays of some 60 times its bytes; all else in a task has
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -298,6 +298,10 @@ def frequent_phrases(docs: DataFrame, threshold: int = LEAST, longest: int = LON
     return total.filter("length > 0"), total.filter("length = 0").select("lang", F.col("f").alias("n"))
 
 
+#: floor(1000 * a * n / (l * r)); the products pass 64 bits.
+_SCORE = "(cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0))) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))"
+
+
 def collocations(docs: DataFrame, threshold: int = LEAST, top: int = TOP, longest: int = LONGEST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language.
 
@@ -319,8 +323,7 @@ def collocations(docs: DataFrame, threshold: int = LEAST, top: int = TOP, longes
     parts = cuts.join(left, (F.col("lang") == F.col("l_lang")) & (cuts["left"] == left["left"])).drop("l_lang", left["left"], cuts["left"])
     parts = parts.join(right, (F.col("lang") == F.col("r_lang")) & (parts["right"] == right["right"])).select("lang", "phrase", "a", "k", "l", "r")
     sized = parts.join(sizes.withColumnRenamed("lang", "n_lang"), F.col("lang") == F.col("n_lang")).drop("n_lang")
-    score = F.expr("(cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0))) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))")
-    weakest = sized.withColumn("score", score).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    weakest = sized.withColumn("score", F.expr(_SCORE)).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     rows = weakest.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
