@@ -60,3 +60,15 @@ def plain(name: str) -> str:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table holds."""
     return df.select(*[F.col(plain(n)) for n in names])
+
+
+def pack_columns(rows: pa.Table) -> bytes:
+    """A table as one compressed value, for shuffles that move many rows of a key together."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_columns(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()

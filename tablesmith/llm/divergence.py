@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import pick, small_batches, stored, table, text_slices
+from .common import pack_columns, pick, small_batches, stored, table, text_slices, unpack_columns
 
 #: Documents of a language that must have a term, added to every count, unit of a probability, terms listed for a group.
 LEAST_DOCUMENTS, SMOOTHING, UNIT, LISTED = 30, 5, 1_000_000_000, 50
@@ -69,17 +69,6 @@ def _shard_of(terms: pa.ChunkedArray, shards: int) -> np.ndarray:
     return of_term[codes.indices.to_numpy()] if len(of_term) else np.empty(0, np.int32)
 
 
-def _pack(counts: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, counts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(counts.combine_chunks())
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(packed: bytes) -> pa.Table:
-    return pa.ipc.open_stream(packed).read_all()
-
-
 def _sharded(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[pa.Table] = []
@@ -91,7 +80,7 @@ def _sharded(shards: int):
             ends = np.flatnonzero(np.r_[shard[1:] != shard[:-1], True]) + 1 if len(shard) else []
             begin = 0
             for end in ends:
-                yield pa.record_batch([pa.array([shard[begin]], pa.int32()), pa.array([_pack(counts.slice(begin, end - begin))], pa.binary())], ["shard", "counts"])
+                yield pa.record_batch([pa.array([shard[begin]], pa.int32()), pa.array([pack_columns(counts.slice(begin, end - begin))], pa.binary())], ["shard", "counts"])
                 begin = int(end)
 
         for batch in batches:
@@ -113,7 +102,7 @@ def _keeping(least_documents: int):
         for batch in batches:
             for shard, counts in zip(batch.column("shard").to_pylist(), batch.column("counts").to_pylist()):
                 tables = shards.setdefault(shard, [])
-                tables.append(_unpack(counts))
+                tables.append(unpack_columns(counts))
                 if len(tables) > 1 and sum(map(len, tables)) > 2 * len(tables[0]) + GATHERED // 10:
                     shards[shard] = [merged(tables)]
         for shard, tables in shards.items():

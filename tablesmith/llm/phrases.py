@@ -3,8 +3,9 @@
 Candidates come from mergeable Misra-Gries summaries. Tasks count the hashes of their n-grams, exactly, and cut them
 into parts by the hash; the summary of a part merges what all tasks counted for it. A part whose counts sum to ``mass``
 keeps more than ``mass / threshold`` counters, so its error stays below ``threshold`` and every n-gram that occurs
-``threshold`` times survives. First the words go through this, then the n-grams made of surviving words. A last pass
-counts the survivors themselves, by their texts, and Spark joins each phrase with the counts of its parts.
+``threshold`` times survives. First the words go through this, then the pairs of surviving words, then the longer
+n-grams made of surviving pairs. A last pass counts the survivors themselves, by their texts, and Spark joins each phrase
+with the counts of its parts. (A task tells n-grams apart by 64 bits, Spark by their texts.) Between the passes travel Bloom filters of survivors, which spare work and decide nothing.
 
 Texts are split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these at blanks and tabs into words, A-Z lowered. Null texts
 are empty, a null lang is ``und``, rows that repeat count again, an empty table gives no phrase. A text is read whole,
@@ -17,11 +18,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bitmap import SLOTS, as_flags, bitmap_of
-from .common import pick, small_batches, stored, table, text_slices
+from .common import pack_columns, pick, small_batches, stored, table, text_slices, unpack_columns, with_size_bound
 from .wordhash import mix
 
 #: Words of a phrase at most, occurrences and phrases per language that are reported.
@@ -35,7 +36,11 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Summaries keep this many bits of a hash: two n-grams that share them only raise each other's count.
 _KEPT_BITS = 48
-_KEPT = "part int, mass long, grams binary"
+_COUNTS = "part int, mass long, grams binary"
+#: Bits of a Bloom filter for each key, looked at for one key, and (as a power of two) at most.
+_BITS_A_KEY, _LOOKS, _MOST_BITS = 32, 4, 29
+#: Languages whose word counts are sent to every task; more are joined through a shuffle.
+_FEW_LANGS = 10_000
 
 
 class Words:
@@ -62,10 +67,11 @@ class Words:
         self.lang = langs[np.searchsorted(offsets, self.starts, "right") - 1]
         self.hashes = reader.hashes(self.data, self.starts, self.stops) if len(self.starts) else np.empty(0, np.uint64)
 
-    def grams(self, length: int, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, length: int, usable: np.ndarray, linked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the n-grams of ``length`` words within a piece, made of ``usable`` words; and their hashes.
 
-        A hash covers the words, their number and their language.
+        ``linked`` says which words make a usable pair with the next one. A hash covers the words, their number and
+        their language.
         """
         n = len(self.hashes) - length + 1
         if n <= 0:
@@ -73,6 +79,8 @@ class Words:
         whole = self.piece[:n] == self.piece[length - 1 :]
         for j in range(length):
             whole &= usable[j : j + n]
+            if linked is not None and j:
+                whole &= linked[j - 1 : j - 1 + n]
         at = np.flatnonzero(whole)
         rolled = self.lang[at] + np.uint64(length)
         for j in range(length):
@@ -166,12 +174,63 @@ class Summary:
         return self.hashes[self.counts + self.error >= threshold]
 
 
-def _gathered(lengths: Sequence[int], parts: int, usable: bytes | None):
-    """Task: (part, mass, n-grams with counts) of its texts; n-grams of words outside ``usable`` can't be frequent."""
+class Filter:
+    """A Bloom filter of hashes: knows every key that was put in, and few others. At most 64 MiB, whatever it holds."""
+
+    def __init__(self, size: int, packed: bytes) -> None:
+        self.size, self.packed = size, packed
+        self.flags = None
+
+    @staticmethod
+    def of(grams: DataFrame) -> "Filter":
+        """Of a column ``gram``. Spark builds the bits; the driver gets them in pieces of 4 KiB."""
+        size = 15
+        wanted = grams.count() * _BITS_A_KEY
+        while size < _MOST_BITS and 1 << size < wanted:
+            size += 1
+        mask, high = (1 << size) - 1, _KEPT_BITS - size
+        slots = [F.expr(f"((gram & {mask}) + {j} * ((gram >> {high}) & {mask})) & {mask}") for j in range(_LOOKS)]
+        # The functions count from 1: the bits 32768 i .. 32768 i + 32767 are piece i + 1.
+        bits = grams.select(F.explode(F.array(*slots)).alias("slot")).selectExpr("bitmap_bucket_number(slot + 1) as piece", "bitmap_bit_position(slot + 1) as bit")
+        pieces = bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+        packed = bytearray((1 << size) // 8)
+        for piece, bits in pieces:
+            packed[(piece - 1) * 4096 : piece * 4096] = bits
+        return Filter(size, bytes(packed))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """For each 64-bit hash whether its kept bits may be a key."""
+        if self.flags is None:
+            self.flags = np.frombuffer(self.packed, np.uint8)
+        gram = hashes >> np.uint64(64 - _KEPT_BITS)
+        mask = np.uint64((1 << self.size) - 1)
+        first, step = gram & mask, (gram >> np.uint64(_KEPT_BITS - self.size)) & mask
+        found = np.ones(len(hashes), bool)
+        for j in range(_LOOKS):
+            slot = (first + np.uint64(j) * step) & mask
+            found &= (self.flags[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return found
+
+
+def _usable(words: Words, filters: Sequence[Filter]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which words, and which pairs by their first word, pass the filters that there are already."""
+    usable, linked = np.ones(len(words.hashes), bool), None
+    if filters:
+        at, hashes = words.grams(1, usable)
+        usable[at] = filters[0].has(hashes)
+    if len(filters) > 1:
+        at, hashes = words.grams(2, usable)
+        linked = np.zeros(len(words.hashes), bool)
+        linked[at[filters[1].has(hashes)]] = True
+    return usable, linked
+
+
+def _gathered(lengths: Sequence[int], parts: int, filters: Sequence[Filter] = ()):
+    """Task: (part, mass, n-grams with counts) of its texts; n-grams with parts that no filter knows can't be frequent."""
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, flags = Reader(), None if usable is None else as_flags(usable)
+        reader = Reader()
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
@@ -188,9 +247,8 @@ def _gathered(lengths: Sequence[int], parts: int, usable: bytes | None):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 words, _ = reader.words(part)
-                known = np.ones(len(words.hashes), bool) if flags is None else flags[_word_keys(words) & np.uint64(SLOTS - 1)]
-                found = [words.grams(k, known)[1] for k in lengths]
-                h, n = np.unique(np.concatenate(found), return_counts=True)
+                usable, linked = _usable(words, filters)
+                h, n = np.unique(np.concatenate([words.grams(k, usable, linked)[1] for k in lengths]), return_counts=True)
                 hashes.append(h)
                 counts.append(n)
                 if sum(map(len, hashes)) > GATHERED:
@@ -205,27 +263,35 @@ def _gathered(lengths: Sequence[int], parts: int, usable: bytes | None):
     return run
 
 
-def _word_keys(words: Words) -> np.ndarray:
-    """What the survivors' bitmap of single words is asked for: the kept bits of their hashes as one-word n-grams."""
-    return mix((words.lang + np.uint64(1)) * np.uint64(_BASE) + words.hashes) >> np.uint64(64 - _KEPT_BITS)
+def _merged_parts(threshold: int):
+    """Task: the possibly frequent n-grams of its parts, which come one after the other, packed."""
 
+    def possible(packed: list[bytes], mass: int) -> pa.RecordBatch:
+        summary = Summary(mass // threshold + 1)
+        for grams in packed:
+            summary.add(*unpack(grams))
+        return pa.record_batch([pa.array(summary.possible(threshold).astype(np.int64))], ["gram"])
 
-def survivors(docs: DataFrame, lengths: Sequence[int], threshold: int, usable: bytes | None, label: str) -> DataFrame:
-    """(gram): hashes of all n-grams of these lengths that may occur ``threshold`` times in one language; few others."""
-    parts = _parts(docs, lengths, threshold)
-    gathered = stored(docs.mapInArrow(_gathered(lengths, parts, usable), _KEPT), f"{label}-counts")
-    mass = {r["part"]: r["mass"] for r in gathered.groupBy("part").agg(F.sum("mass").alias("mass")).collect()}  # at most `parts` rows
-    capacity = {part: total // threshold + 1 for part, total in mass.items()}
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summaries: dict[int, Summary] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packed, mass = None, [], 0
         for batch in batches:
-            for part, grams in zip(batch.column("part").to_pylist(), batch.column("grams").to_pylist()):
-                summaries.setdefault(part, Summary(capacity[part])).add(*unpack(grams))
-        for summary in summaries.values():
-            yield pa.record_batch([pa.array(summary.possible(threshold).astype(np.int64))], ["gram"])
+            for part, more, grams in zip(*(batch.column(c).to_pylist() for c in ("part", "mass", "grams"))):
+                if part != now and packed:
+                    yield possible(packed, mass)
+                    packed, mass = [], 0
+                now, mass = part, mass + more
+                packed.append(grams)
+        if packed:
+            yield possible(packed, mass)
 
-    return stored(gathered.repartition("part").select("part", "grams").mapInArrow(merge, "gram long"), label)
+    return run
+
+
+def survivors(docs: DataFrame, lengths: Sequence[int], threshold: int, filters: Sequence[Filter], label: str) -> DataFrame:
+    """(gram): hashes of all n-grams of these lengths that may occur ``threshold`` times in one language; few others."""
+    gathered = docs.mapInArrow(_gathered(lengths, _parts(docs, lengths, threshold), filters), _COUNTS)
+    dealt = gathered.repartition("part").sortWithinPartitions("part")
+    return stored(dealt.mapInArrow(_merged_parts(threshold), "gram long"), label)
 
 
 def _parts(docs: DataFrame, lengths: Sequence[int], threshold: int) -> int:
@@ -237,64 +303,97 @@ def _parts(docs: DataFrame, lengths: Sequence[int], threshold: int) -> int:
     return parts
 
 
-def _exact(words_bits: bytes, grams_bits: bytes, longest: int):
-    """Task: (lang, phrase, length, n) of the survivors in its texts, and all words of a language as length 0."""
+def _exact(filters: Sequence[Filter], longest: int):
+    """Task: survivors in its texts with their counts, as tables (lang, phrase, length, n) by part of the hash range; all
+    words of a language are its phrase of length 0."""
+    shift = np.uint64(64 - (PARTS.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, single, several = Reader(), as_flags(words_bits), as_flags(grams_bits)
-        counted: dict[tuple[str, str, int], int] = {}
+        reader = Reader()
+        counts: dict[int, int] = {}
+        phrases: dict[int, tuple[str, str, int]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys = list(counted)
-            yield pa.record_batch([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                pa.array([k[2] for k in keys], pa.int32()), pa.array(list(counted.values()), pa.int64()),
-            ], ["lang", "phrase", "length", "n"])
-            counted.clear()
+            hashes = np.fromiter(counts, np.uint64, len(counts))
+            order = np.argsort(hashes)
+            langs, texts, lengths = zip(*(phrases[h] for h in hashes[order].tolist()))
+            rows = pa.table({"lang": langs, "phrase": texts, "length": pa.array(lengths, pa.int32()), "n": np.fromiter(counts.values(), np.int64, len(counts))[order]})
+            part = (hashes[order] >> shift).astype(np.int32)
+            begin = 0
+            for end in (np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1).tolist():
+                yield pa.record_batch([part[begin : begin + 1], pa.array([pack_columns(rows.slice(begin, end - begin))], pa.binary())], ["part", "rows"])
+                begin = end
+            counts.clear(), phrases.clear()
+
+        def add(hashes: np.ndarray, first: np.ndarray, total: np.ndarray, named) -> None:
+            for h, i, n in zip(hashes.tolist(), first.tolist(), total.tolist()):
+                if h in counts:
+                    counts[h] += n
+                else:
+                    counts[h], phrases[h] = n, named(i)
 
         for batch in batches:
             for part in text_slices(batch, "text"):
                 words, names = reader.words(part)
                 if not len(words.hashes):
                     continue
-                by_hash = {reader.lang(x): x for x in names}
-                for value, total in zip(*np.unique(words.lang, return_counts=True)):
-                    key = (by_hash[value], "", 0)
-                    counted[key] = counted.get(key, 0) + int(total)
-                usable = single[_word_keys(words) & np.uint64(SLOTS - 1)]
-                _, ids = np.unique(words.hashes, return_inverse=True)
-                _, lang_ids = np.unique(words.lang, return_inverse=True)
+                by_hash = {int(reader.lang(x)): x for x in names}
+                add(*np.unique(words.lang, return_index=True, return_counts=True), lambda i: (by_hash[int(words.lang[i])], "", 0))
+                usable, linked = _usable(words, filters)
                 for length in range(1, longest + 1):
-                    at, hashes = words.grams(length, usable)
-                    if length > 1:
-                        at = at[several[(hashes >> np.uint64(64 - _KEPT_BITS)) & np.uint64(SLOTS - 1)]]
-                    if not len(at):
-                        continue
-                    same = lang_ids[at]
-                    for j in range(length):  # number the sequences of words themselves, one word more each time
-                        same = np.unique(same * (len(words.hashes) + 1) + ids[at + j], return_inverse=True)[1]
-                    _, first, total = np.unique(same, return_index=True, return_counts=True)
-                    for i, n in zip(at[first].tolist(), total.tolist()):
-                        key = (by_hash[words.lang[i]], words.text(i, length), length)
-                        counted[key] = counted.get(key, 0) + n
-                if len(counted) > GATHERED // 16:
+                    at, hashes = words.grams(length, usable, linked)
+                    if length > 2:
+                        known = filters[2].has(hashes)
+                        at, hashes = at[known], hashes[known]
+                    hashes, first, total = np.unique(hashes, return_index=True, return_counts=True)
+                    add(hashes, at[first], total, lambda i: (by_hash[int(words.lang[i])], words.text(i, length), length))
+                if len(counts) > GATHERED // 8:
                     yield from out()
-        if counted:
+        if counts:
             yield from out()
 
     return run
 
 
+def _summed(threshold: int):
+    """Task: the counts of its parts, which come one after the other, added up; only those that reach ``threshold``."""
+
+    def whole(tables: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(tables).group_by(["lang", "phrase", "length"], use_threads=False).aggregate([("n", "sum")])
+        return rows.rename_columns({"n_sum": "n"})
+
+    def frequent(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = whole(tables)
+        rows = rows.filter(pc.or_(pc.greater_equal(rows["n"], threshold), pc.equal(rows["length"], 0)))
+        yield from rows.rename_columns({"n": "f"}).select(["lang", "phrase", "length", "f"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables = None, []
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist()):
+                if part != now and tables:
+                    yield from frequent(tables)
+                    tables = []
+                now = part
+                tables.append(unpack_columns(packed))
+                if len(tables) > 64:
+                    tables = [whole(tables)]
+        if tables:
+            yield from frequent(tables)
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, threshold: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, length, f) of all phrases of up to ``longest`` words with ``threshold`` occurrences, counted exactly;
     and (lang, n), all word occurrences of each language."""
     small_batches(docs.sparkSession)
     docs = pick(docs, "lang", "text")
-    words = bitmap_of(survivors(docs, [1], threshold, None, "frequent-words"), "gram")
-    grams = bitmap_of(survivors(docs, range(2, longest + 1), threshold, words, "frequent-grams"), "gram")
-    counted = docs.mapInArrow(_exact(words, grams, longest), "lang string, phrase string, length int, n long")
-    total = counted.groupBy("lang", "phrase", "length").agg(F.sum("n").alias("f"))
-    total = stored(total.filter(f"f >= {int(threshold)} or length = 0"), "phrase-counts")
+    filters: list[Filter] = []
+    for lengths, label in (([1], "words"), ([2], "pairs"), (range(3, longest + 1), "grams")):
+        filters.append(Filter.of(survivors(docs, lengths, threshold, filters, f"frequent-{label}")))
+    dealt = docs.mapInArrow(_exact(filters, longest), "part int, rows binary").repartition("part").sortWithinPartitions("part")
+    total = stored(dealt.mapInArrow(_summed(threshold), "lang string, phrase string, length int, f long"), "phrase-counts")
     return total.filter("length > 0"), total.filter("length = 0").select("lang", F.col("f").alias("n"))
 
 
@@ -322,6 +421,8 @@ def collocations(docs: DataFrame, threshold: int = LEAST, top: int = TOP, longes
     right = frequent.select(F.col("lang").alias("r_lang"), F.col("phrase").alias("right"), F.col("f").alias("r"))
     parts = cuts.join(left, (F.col("lang") == F.col("l_lang")) & (cuts["left"] == left["left"])).drop("l_lang", left["left"], cuts["left"])
     parts = parts.join(right, (F.col("lang") == F.col("r_lang")) & (parts["right"] == right["right"])).select("lang", "phrase", "a", "k", "l", "r")
+    if with_size_bound(sizes, _FEW_LANGS):  # one language may have most phrases, so better no shuffle by it
+        sizes = F.broadcast(sizes)
     sized = parts.join(sizes.withColumnRenamed("lang", "n_lang"), F.col("lang") == F.col("n_lang")).drop("n_lang")
     weakest = sized.withColumn("score", F.expr(_SCORE)).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

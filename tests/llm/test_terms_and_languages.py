@@ -78,7 +78,7 @@ def test_partial_counts_of_a_task_are_handed_on_in_pieces(spark, monkeypatch):
     run = divergence._sharded(4)
     batches = list(run(iter(docs.select("text", "lang", "source").toArrow().to_batches(10))))
     assert len(batches) > 8
-    merged = divergence.merged([divergence._unpack(c) for b in batches for c in b.column("counts").to_pylist()])
+    merged = divergence.merged([divergence.unpack_columns(c) for b in batches for c in b.column("counts").to_pylist()])
     expected = Counter()
     for r in rows:
         expected.update(((r[2] or ""), (r[3] or ""), t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r[1] or "").translate(UPPER)))
@@ -170,13 +170,24 @@ def test_summaries_keep_all_that_is_frequent(tasks, threshold, draw):
     assert {x << 40 for x, n in exact.items() if n >= threshold} <= set(summary.possible(threshold).tolist())
 
 
+@pytest.mark.parametrize("bits", [15, 29])
+def test_filters_know_their_keys(spark, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "_MOST_BITS", bits)
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 5000).astype(np.uint64))
+    built = phrases.Filter.of(spark.createDataFrame([(int(k),) for k in keys], "gram long"))
+    assert built.has(keys << np.uint64(16)).all()
+    others = np.random.default_rng(2).integers(0, 1 << 62, 100_000).astype(np.uint64) << np.uint64(2)
+    assert built.has(others).mean() < (0.1 if bits == 15 else 0.002)
+    assert not phrases.Filter.of(spark.createDataFrame([], "gram long")).has(others).any()
+
+
 def test_gathered_counts_are_exact(spark, monkeypatch):
     """However often a task hands its counts on, they add up; n-grams never cross pieces, texts or languages."""
     docs, rows = documents(spark, 4, 60)
     batches = docs.select("text", "lang").toArrow().to_batches(7)
-    whole = list(phrases._gathered([1, 2, 3], 256, None)(iter(batches)))
+    whole = list(phrases._gathered([1, 2, 3], 256)(iter(batches)))
     monkeypatch.setattr(phrases, "GATHERED", 2)
-    pieces = list(phrases._gathered([1, 2, 3], 256, None)(iter(batches)))
+    pieces = list(phrases._gathered([1, 2, 3], 256)(iter(batches)))
     assert len(pieces) > len(whole) == 1
 
     def total(found):
