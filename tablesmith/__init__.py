@@ -11,7 +11,7 @@ from .operators.outlier import detect_outliers, handle_outliers, iqr_clip, outli
 from .operators.pivot import PivotSpec, filter_in, group_sum, month_bucket, pivot_long, pivot_report, pivot_subtotals, pivot_wide
 from .operators.profile import profile, profile_columns, profile_numeric, profile_types
 from .operators.timeseries import add_mom, add_running_total, period_summary
-from .operators.validate import gate, gated_write, summarize, validate
+from .operators.validate import gate, gated_write, summarize, validate, validate_rows
 from .plans.preprocess import preprocess, preprocess_file, run_folder
 from .plans.recipe import Recipe, run_recipe, run_steps
 from .plans.report import build_report, log_run, write_report

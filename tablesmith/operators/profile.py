@@ -94,6 +94,28 @@ def values_per_place(df: DataFrame, places: list[str]) -> DataFrame:
     return stacked.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bytes of a value that travel as they are; a longer one is known by a digest of 128 bits.
+LONG_VALUE = 64
+
+
+def _short(text: Column) -> Column:
+    return F.when(F.octet_length(text) > LONG_VALUE, F.concat(F.lit("\x00"), F.md5(text))).otherwise(text)
+
+
+def value_key(df: DataFrame, name: str) -> Column:
+    """Short text that equal values of a column share and others do not; null where the value is missing."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        # Floats keep their shortest exact text here, which tells all values apart; adding zero turns -0.0 into 0.0.
+        return F.when(present(df, name), (col(name) + F.lit(0.0)).cast("string"))
+    return _short(as_text(df, name))
+
+
+def keys_per_place(df: DataFrame, places: list[str]) -> DataFrame:
+    """(place, key, n): like :func:`values_per_place`, but long values only send a digest through the shuffle."""
+    stacked = df.select(*[value_key(df, n).alias(p) for n, p in zip(df.columns, places)]).unpivot([], places, "place", "key")
+    return stacked.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _count_values(df: DataFrame, compat: bool) -> DataFrame:
     """Counts, distinct counts and type candidates of all columns from one scan and one shuffle.
 
@@ -122,8 +144,8 @@ def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Rows, non-null, null and distinct counts per column in a single job."""
     if not approx_distinct:
         places = [f"c{i}" for i in range(len(df.columns))]
-        counted = values_per_place(df, places).groupBy("place").agg(
-            F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("nonnull"), F.count("value").alias("nunique")
+        counted = keys_per_place(df, places).groupBy("place").agg(
+            F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("nonnull"), F.count("key").alias("nunique")
         )
         return counted.select(_column_of(places, df.columns), "n_rows", "nonnull", (F.col("n_rows") - F.col("nonnull")).alias("nulls"), "nunique")
     aggregates = {"rows": F.count(F.lit(1))}

@@ -97,6 +97,31 @@ def test_checks_are_listed_as_specified(spark):
     ]
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_rows_that_break_rules(spark, monkeypatch, sent):
+    """A third of all rows has one value; missing values repeat too; long texts differ in their last letter only."""
+    monkeypatch.setattr("tablesmith.operators.validate.ROWS_SENT", sent)
+    long = "x" * 500
+    data = [(i, "hot" if i % 3 == 0 else f"v{i}", None if i in (4, 5) else float(i), long + ("a" if i < 2 else str(i))) for i in range(60)]
+    data.append((59, None, float("nan"), None))
+    df = spark.createDataFrame(data, "id int, `v.x` string, y double, l string").repartition(5)
+    spec = {"checks": [{"unique": ["id", "V X"]}, {"range": {"column": "y", "max": 50}}, {"unique": ["y", "l", "gone"]}, {"required": ["v.x"]}]}
+    marked = ts.validate_rows(df, spec)
+    assert marked.columns == [*df.columns, "violations"] and marked.count() == 61
+    assert "Window" not in plan_of(marked)
+    found = {(r["id"], r["v.x"]): r["violations"] for r in marked.collect()}
+    for i, v, y, _ in data:
+        missing = y is None or y != y
+        expected = ["unique:id"] * (i == 59) + ["unique:V X"] * (v == "hot") + ["range:y"] * (not missing and y > 50) + ["unique:y"] * missing
+        expected += ["unique:l"] * (i < 2) + ["unique:gone"] + ["required:v.x"] * (v is None)
+        assert found[i, v] == expected
+    report = {(r["check"], r["col"]): r["ok"] for r in ts.validate(df, spec).collect()}
+    broken = {tuple(x.split(":")) for r in found.values() for x in r}
+    assert {k for k, ok in report.items() if not ok} == broken
+    assert ts.validate_rows(df.limit(0), spec).count() == 0
+    assert ts.validate_rows(df, {}).select("violations").distinct().collect()[0][0] == []
+
+
 REQUESTS = [
     ("monthly sales by category in bar chart", ["월", "카테고리"], ["금액:sum"], "bar", []),
     ("서울과 부산 지역의 매출을 보여줘", ["도시"], ["금액:sum"], None, ["서울", "부산"]),

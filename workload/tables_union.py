@@ -123,6 +123,18 @@ def validate_report(spark, sf):
     return ts.validate(gappy_events(spark, sf), EVENT_SPEC)
 
 
+ROW_SPEC = {"checks": [
+    {"unique": ["event_id", "event_type"]}, {"required": ["event_type", "value"]}, {"regex": {"column": "event_type", "pattern": "[a-m]"}},
+    {"range": {"column": "value", "min": 10, "max": 80}}, {"unique": ["value"]}, {"required": ["absent"]},
+]}
+
+
+def validate_rows(spark, sf):
+    """Every event with the rules it breaks; one type is on a large part of the rows."""
+    marked = ts.validate_rows(gappy_events(spark, sf), ROW_SPEC)
+    return marked.select("event_id", F.array_join("violations", ",").alias("violations"))
+
+
 def validate_gate(spark, sf):
     found = ts.gate(gappy_events(spark, sf), EVENT_SPEC, 0.5)
     return found.select("checks", "passed", "ok", F.round("pass_ratio", 4).alias("pass_ratio"), "allowed")
@@ -249,6 +261,14 @@ QUERIES = {
         union all select 'required', 'event_type', count(*) = count(event_type), count(*) - count(event_type), null, null, null, null from {G}
         union all select 'regex', 'event_type', count(*) filter (where not regexp_matches(coalesce(event_type, ''), '^[a-z]+')) = 0, null, count(*) filter (where not regexp_matches(coalesce(event_type, ''), '^[a-z]+')), null, null, null from {G}
         union all select 'range', 'value', count(*) filter (where "value" < 0 or "value" > 1000000) = 0, null, count(*) filter (where "value" < 0 or "value" > 1000000), 0.0, 1000000.0, null from {G}"""),
+    "validate_rows": (validate_rows, f"""
+        with v as (select "value", count(*) as n from {G} group by 1), t as (select event_type, count(*) as n from {G} group by 1),
+             k as (select event_id, count(*) as n from {G} group by 1)
+        select g.event_id, concat_ws(',', case when k.n > 1 then 'unique:event_id' end, case when t.n > 1 then 'unique:event_type' end,
+               case when g.event_type is null then 'required:event_type' end, case when g."value" is null then 'required:value' end,
+               case when not regexp_matches(coalesce(g.event_type, ''), '^[a-m]') then 'regex:event_type' end,
+               case when g."value" < 10 or g."value" > 80 then 'range:value' end, case when v.n > 1 then 'unique:value' end, 'required:absent') as violations
+        from {G} join v on g."value" is not distinct from v."value" join t on g.event_type is not distinct from t.event_type join k on g.event_id = k.event_id"""),
     "validate_gate": (validate_gate, f"""
         with c as (select unnest([count(*) = count(distinct event_id), count(*) = count(event_id), count(*) = count(event_type),
                                   count(*) filter (where not regexp_matches(coalesce(event_type, ''), '^[a-z]+')) = 0,
