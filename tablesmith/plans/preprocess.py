@@ -95,8 +95,7 @@ def run_folder(spark: SparkSession, path: str, target: str, **options: Any) -> D
         files = [r["file"] for r in members.select("file").orderBy("file").collect()]  # the reader takes paths
         started = time.perf_counter()
         try:
-            raw = read_csv_table(spark, files, typed=False)
-            tagged = raw.withColumn("source_file", F.col("_metadata.file_path"))
+            tagged = read_csv_table(spark, files, typed=False, source_file="source_file")
             out = preprocess(tagged, untyped=True, protect=["source_file"], **options)
             group_target = f"{target}/group={number}"
             write_table(out, group_target, format="parquet")

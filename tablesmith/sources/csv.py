@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F, types as T
 
 from ..functions.lexicon import NULL_TOKENS
 from ..functions.names import col, unique_names
 from ..operators.clean import count_per_column, type_counters, whole_type
+from ..session import materialize
 
 # Charset names Spark's CSV reader knows, and those that need the Java charset table.
 _JAVA_CHARSETS = {"cp949": "MS949", "ms949": "MS949", "euc-kr": "EUC-KR", "euckr": "EUC-KR"}
-_SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf8": "UTF-8", "ascii": "US-ASCII"}
+#: Charsets in which no byte of another character looks like a line break, a comma or a quote.
+_BYTE_CHARSETS = {"UTF-8", "US-ASCII", "ISO-8859-1", "MS949", "WINDOWS-1252", "LATIN1"}
+_SPARK_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf8": "UTF-8", "ascii": "US-ASCII"}
 
 
 def read_null_tokens(df: DataFrame) -> DataFrame:
@@ -25,29 +29,29 @@ def read_null_tokens(df: DataFrame) -> DataFrame:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, typed: bool = True, multiline: bool = True
+    spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, typed: bool = True, multiline: bool = True,
+    source_file: str | None = None,
 ) -> DataFrame:
     """Read CSV with a header row: all columns as text, missing-cell texts as null, then typed by content.
 
-    Without ``encoding`` each file's is detected, in one more scan. Line breaks inside quotes are read right, at the
-    price of one task per file; ``multiline=False`` splits large files over tasks and raises if a line has an
-    unpaired quote. Columns get a number, boolean or integer type only when every value of them parses; dates stay text.
+    One scan looks at every file's encoding, unless ``encoding`` names it, and for quoted cells that go on in the next
+    line. Files without such cells are split over tasks as they are; in the others the lines of a record are put
+    together first (:func:`joined_records`), also by many tasks. ``multiline=False`` raises instead of joining lines.
+    Columns get a number, boolean or integer type only when every value of them parses; dates stay text.
+    ``source_file`` names a further column with the path of the file.
     """
-    if encoding is None or not multiline:
-        files = inspect_files(spark, path)
-        if not multiline and files.filter("odd_lines > 0").limit(1).count():
-            raise ValueError(f"quotes that span lines below {path!r}; read with multiline=True")
-        if encoding is None:
-            # Spark skips the mark itself, so only the charset matters.
-            found = files.select(F.when(F.col("encoding") == "cp949", "cp949").otherwise("utf-8").alias("e"), "path")
-            kinds = sorted(r[0] for r in found.select("e").distinct().collect())  # two at most
-            if len(kinds) > 1:
-                groups = {k: [r[0] for r in found.filter(F.col("e") == k).select("path").collect()] for k in kinds}
-                parts = [_read_raw(spark, paths, kind, multiline) for kind, paths in groups.items()]
-                raw = parts[0].unionByName(parts[1], allowMissingColumns=True)
-                return infer_types(raw) if typed else raw
-            encoding = kinds[0] if kinds else "utf-8"
-    raw = _read_raw(spark, path, encoding, multiline)
+    files = inspect_files(spark, path)
+    kind = F.when(F.col("encoding") == "cp949", "cp949").otherwise("utf-8") if encoding is None else F.lit(encoding)
+    found = materialize(files.select("path", kind.alias("kind"), (F.col("open_lines") > 0).alias("joined")), "files")
+    groups = [tuple(r) for r in found.groupBy("kind", "joined").count().orderBy("kind", "joined").select("kind", "joined").collect()]  # four at most
+    if not multiline and any(joined for _, joined in groups):
+        raise ValueError(f"quotes that span lines below {path!r}; read with multiline=True")
+    parts = []
+    for charset, joined in groups or [(encoding or "utf-8", False)]:
+        # Spark skips a byte-order mark itself, so only the charset matters.
+        paths = path if len(groups) < 2 else [r[0] for r in found.filter((F.col("kind") == charset) & (F.col("joined") == joined)).select("path").collect()]
+        parts.append(_read_raw(spark, paths, charset, joined, source_file))
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return infer_types(raw) if typed else raw
 
 
@@ -56,14 +60,114 @@ def charset_of(spark: SparkSession, encoding: str) -> str:
     name = encoding.lower()
     if name in _JAVA_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        spark.conf.set("spark.sql.legacy.codingErrorAction", "true")  # unreadable bytes become marks, as in the CSV reader
     return _JAVA_CHARSETS.get(name) or _SPARK_CHARSETS.get(name) or encoding
 
 
-def _read_raw(spark: SparkSession, path: str | Sequence[str], encoding: str, multiline: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("encoding", charset_of(spark, encoding)).option("multiLine", multiline)
+def _read_raw(spark: SparkSession, path: str | Sequence[str], encoding: str, joined: bool, source_file: str | None = None) -> DataFrame:
+    charset, paths = charset_of(spark, encoding), path if isinstance(path, str) else list(path)
+    # Lines can be told apart before decoding only where a line break is the one byte; other charsets are read file by file.
+    by_lines = charset.upper().replace("_", "-") in _BYTE_CHARSETS
     # Quotes are doubled inside quoted cells, as spreadsheet programs write them.
-    raw = reader.option("escape", '"').option("nullValue", "").csv(path if isinstance(path, str) else list(path))
-    return read_null_tokens(raw.toDF(*unique_names(raw.columns)))
+    reader = spark.read.option("header", True).option("encoding", charset).option("escape", '"').option("nullValue", "")
+    raw = reader.option("multiLine", joined or not by_lines).csv(paths)
+    names = unique_names(raw.columns)
+    tag = [] if source_file is None else [F.col("_metadata.file_path").alias(source_file)]
+    if joined and by_lines:
+        lines = stored_lines(spark, paths, charset)
+        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        parsed = joined_records(lines).select("path", F.from_csv("record", cells.toDDL(), {"escape": '"', "nullValue": ""}).alias("cells"))
+        tag = [] if source_file is None else [F.col("path").alias(source_file)]
+        # Types and cleaning measure the table before they use it; stored, the lines are put together once.
+        return materialize(read_null_tokens(parsed.select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)], *tag)), "records")
+    raw = raw.select(*[col(c).alias(n) for c, n in zip(raw.columns, names)], *tag) if len(set(raw.columns)) == len(names) else raw.toDF(*names)
+    return read_null_tokens(raw)
+
+
+def _line_states(line: Column) -> tuple[Column, Column]:
+    """Whether a line ends inside a quoted cell: if it begins outside of one, and if it begins inside of one.
+
+    A cell is quoted if a quote is its first character; a quote that closes it stands before a comma or the line's end;
+    doubled quotes are text.
+    """
+    bare = F.replace(F.regexp_replace(line, "\\A\ufeff|\r\\z", ""), F.lit('""'), F.lit(""))
+    opens = lambda text: F.regexp_replace(text, '(^|,)"[^"]*"(?=,|$)', "$1").rlike('(^|,)"')
+    closing = '^[^"]*"(?=,|$)'
+    inside = ~bare.rlike(closing) | opens(F.regexp_replace(bare, closing, ""))
+    quoted = F.contains(line, F.lit('"'))
+    return F.when(quoted, opens(bare)).otherwise(F.lit(False)), F.when(quoted, inside).otherwise(F.lit(True))
+
+
+def stored_lines(spark: SparkSession, path: str | list[str], charset: str = "UTF-8") -> DataFrame:
+    """(path, block, place, line, out, in): the lines of some files, stored, as the file system cuts them into blocks.
+
+    ``place`` orders the lines of a block. ``out`` and ``in`` say whether a quoted cell is open behind the line, if none
+    or if one is open before it.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        (F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)).alias("line"),
+    )
+    out, in_ = _line_states(F.col("line"))
+    return materialize(lines.select("*", out.alias("out"), in_.alias("in")), "lines")
+
+
+def _running_state(order: WindowSpec, before: Column) -> tuple[Column, Column]:
+    """For the rows of a window with (out, in): a column to be named ``turns``, and over it whether a cell is open behind
+    the row. That follows from the last row that settles it and the number of turns since."""
+    settled = F.when(F.col("out") == F.col("in"), F.col("out"))
+    turns = F.sum(F.when(F.col("out") & ~F.col("in"), 1).otherwise(0)).over(order)
+    last = F.last(F.when(settled.isNotNull(), F.struct(settled.alias("open"), F.col("turns").alias("turns"))), True).over(order)
+    return turns, F.coalesce(last["open"], before) != ((F.col("turns") - F.coalesce(last["turns"], F.lit(0))) % 2 == 1)
+
+
+def joined_records(lines: DataFrame) -> DataFrame:
+    """(path, record): the records of stored lines without each file's first one, the header, and without empty lines.
+
+    Each block sums up what it does to an open cell, and where it would open one. These sums, one row per block, run
+    over the blocks of a file, so that every block knows what it begins with; its lines then follow by themselves. Only
+    the lines of records that have several are grouped.
+    """
+    edge = (F.col("out") | ~F.col("in"))
+    edges = F.array_sort(F.collect_list(F.when(edge, F.struct("place", "out", "in"))))
+    # The state behind a block and the line that opened the cell, for both states before it.
+    step = lambda state, at, e: (F.when(state, e["in"]).otherwise(e["out"]), F.when(state, at).otherwise(e["place"]))
+    fold = F.aggregate(
+        F.col("edges"), F.struct(F.lit(False).alias("out"), F.lit(None).cast("long").alias("out_at"), F.lit(True).alias("in"), F.lit(None).cast("long").alias("in_at")),
+        lambda a, e: F.struct(
+            step(a["out"], a["out_at"], e)[0].alias("out"), step(a["out"], a["out_at"], e)[1].alias("out_at"),
+            step(a["in"], a["in_at"], e)[0].alias("in"), step(a["in"], a["in_at"], e)[1].alias("in_at"),
+        ),
+    )
+    filled = ~F.col("line").isin("", "\r")
+    blocks = lines.groupBy("path", "block").agg(edges.alias("edges"), F.min(F.when(filled, F.col("place"))).alias("first")).select("path", "block", "first", fold.alias("f")).select("path", "block", "first", "f.*")
+    in_file = Window.partitionBy("path").orderBy("block")  # one row per block
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    turns, state = _running_state(in_file, F.lit(False))
+    blocks = blocks.withColumn("turns", turns).withColumn("behind", state)
+    blocks = blocks.withColumn("before", F.lag("behind", 1, False).over(in_file))
+    opened = F.when(F.col("behind"), F.when(F.col("before"), F.col("in_at")).otherwise(F.col("out_at")))
+    blocks = blocks.withColumn("opened", F.when(opened.isNotNull(), F.struct(F.col("block").alias("block"), opened.alias("place"))))
+    blocks = blocks.select(
+        F.col("path").alias("b_path"), F.col("block").alias("b_block"), "before", F.last("opened", True).over(earlier).alias("from_before"),
+        # The header is the first line with anything in it, and the lines that belong to its record.
+        (F.count("first").over(earlier) == 0).alias("leading"), "first",
+    )
+    in_block = Window.partitionBy("path", "block").orderBy("place")
+    known = lines.join(blocks, (F.col("path") == F.col("b_path")) & (F.col("block") == F.col("b_block"))).drop("b_path", "b_block")
+    turns, state = _running_state(in_block, F.col("before"))
+    known = known.withColumn("turns", turns).withColumn("open_behind", state)
+    known = known.withColumn("open_before", F.coalesce(F.lag("open_behind").over(in_block), F.col("before")))
+    own = F.when(~F.col("open_before"), F.struct("block", "place"))
+    known = known.withColumn("start", F.coalesce(F.last(own, True).over(in_block), F.col("from_before")))
+    is_header = F.col("leading") & F.coalesce((F.col("start.block") == F.col("block")) & (F.col("start.place") == F.col("first")), F.lit(False))
+    known = known.select("path", "block", "place", "line", "start", (F.col("open_before") | F.col("open_behind")).alias("several"), is_header.alias("is_header"))
+    single = known.where(~F.col("several") & ~F.col("is_header") & filled).select("path", F.regexp_replace("line", "\r\\z", "").alias("record"))
+    pieces = F.array_sort(F.collect_list(F.struct("block", "place", "line")))
+    grouped = known.where("several").groupBy("path", "start").agg(pieces.alias("pieces"), F.bool_or("is_header").alias("is_header"))
+    text = F.array_join(F.transform("pieces", lambda p: p["line"]), "\n")
+    return single.unionByName(grouped.where(~F.col("is_header")).select("path", F.regexp_replace(text, "\r\\z", "").alias("record")))
 
 
 def column_types(df: DataFrame) -> dict[str, str]:
@@ -88,19 +192,20 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def inspect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, encoding, odd_lines) per file with content: ``utf-8-sig``, ``utf-8`` or ``cp949``; lines with an unpaired quote.
+    """(path, encoding, open_lines) per file with content: ``utf-8-sig``, ``utf-8`` or ``cp949``; lines that open or close
+    a quoted cell which goes on in another line.
 
     One scan, whole files, in parallel. A file with a line that is not valid UTF-8 is cp949. Spark skips a
     byte-order mark, so an uncompressed file with one has fewer bytes in its lines than in all.
     """
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    out, in_ = _line_states(F.col("value"))
     lines = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path)).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
-        F.is_valid_utf8("value").alias("valid"), (F.octet_length("value") + 1).alias("bytes"), (quotes % 2).alias("odd"),
+        F.is_valid_utf8("value").alias("valid"), (F.octet_length("value") + 1).alias("bytes"), (out | ~in_).cast("long").alias("open"),
     )
-    files = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.sum("bytes") < F.max("size"), F.sum("odd").alias("odd_lines")).toDF("path", "valid", "mark", "odd_lines")
+    files = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.sum("bytes") < F.max("size"), F.sum("open")).toDF("path", "valid", "mark", "open_lines")
     encoding = F.when(~F.col("valid"), "cp949").when(F.col("mark"), "utf-8-sig").otherwise("utf-8")
-    return files.select("path", encoding.alias("encoding"), "odd_lines")
+    return files.select("path", encoding.alias("encoding"), "open_lines")
 
 
 def detect_encodings(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ import tablesmith as ts
 from tablesmith.plans.preprocess import preprocess_file, preview
 from tablesmith.plans.recipe import cleaning_recipe, imputation_recipe, outlier_recipe, step_parts
 from tablesmith.plans.report import preprocess_summary
-from tablesmith.sources.csv import output_path
+from tablesmith.sources.csv import charset_of, output_path, read_null_tokens, stored_lines
 from tablesmith.sources.synthetic import messy_transactions, sales
 from tablesmith.streaming import drops
 
@@ -35,6 +36,42 @@ def transactions(tmp_path):
     return str(path)
 
 
+CELLS = ["a", "", "NA", "plain text", '5" pipe', 'say "hi"', "two\nlines", "x\r\ny", '"', '",', ',"', "\n\n", 'q"\n"q', "a,b", "예", '""', "long " * 30 + "\n" + "cell " * 30, " padded "]
+
+
+def _csv_text(draw, n, ending):
+    def cell(x):
+        return '"' + x.replace('"', '""') + '"' if any(c in x for c in '",\n\r') and x != '5" pipe' or draw.random() < 0.2 else x
+
+    rows = [["k", "one", "two\nheads"]] + [[str(i), draw.choice(CELLS), draw.choice(CELLS)] for i in range(n)]
+    return ending.join(",".join(map(cell, r)) for r in rows) + draw.choice(["", ending])
+
+
+@pytest.mark.parametrize(("block", "ending", "encoding"), [(128, "\n", "utf-8"), (300, "\r\n", "utf-8-sig"), (1 << 20, "\n", "utf-8"), (100, "\n", "cp949")])
+def test_quoted_breaks_are_read_by_many_tasks(spark, tmp_path, block, ending, encoding):
+    """Equal to the reader that takes a file in one task, also where a quoted cell goes over several blocks."""
+    draw = random.Random(block)
+    for name, n in (("a.csv", 200), ("b.csv", 1), ("c.csv", 0), ("d.csv", 40)):
+        (tmp_path / name).write_bytes(_csv_text(draw, n, ending).encode(encoding))
+    reader = spark.read.option("header", True).option("escape", '"').option("nullValue", "").option("multiLine", True)
+    whole = reader.option("encoding", charset_of(spark, encoding)).csv(str(tmp_path))
+    # That reader takes the first line break it sees for the file's, and leaves the other half of a longer one in the last cell.
+    last = F.regexp_replace(whole.columns[-1], "\r$", "")
+    whole = read_null_tokens(whole.withColumn(whole.columns[-1], F.when(last != "", last)))
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        lines = stored_lines(spark, str(tmp_path))
+        assert lines.select("path", "block").distinct().count() > (20 if block < 1000 else 3)
+        found = ts.read_csv_table(spark, str(tmp_path), typed=False, source_file="file")
+        assert found.columns == [*whole.columns, "file"]
+        counts = {r["file"].rsplit("/", 1)[1]: r["count"] for r in found.groupBy("file").count().collect()}
+        assert counts == {"a.csv": 200, "b.csv": 1, "d.csv": 40}
+        assert sorted(map(repr, found.drop("file").collect())) == sorted(map(repr, whole.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+
+
 def test_recipe_from_yaml(spark, transactions, tmp_path):
     target = str(tmp_path / "weekly")
     recipe_file = tmp_path / "recipe.yaml"
