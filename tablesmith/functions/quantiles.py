@@ -177,6 +177,13 @@ def grouped_quantiles(
         .groupBy(*[col(k) for k in keys], value)
         .agg(F.count(F.lit(1)).alias(count))
     )
+    return quantiles_of_counts(counted, keys, value, count, probabilities, name)
+
+
+def quantiles_of_counts(
+    counted: DataFrame, keys: Sequence[str], value: str, count: str, probabilities: Sequence[float], name: str = "quantiles"
+) -> DataFrame:
+    """:func:`grouped_quantiles` of a table that has each value of a group once, with its count."""
     chunked = order_in_chunks(counted, keys, [value], "quantiles")
     key_columns = [col(k) for k in keys]
     pieces = chunked.groupBy(CHUNK, *key_columns).agg(F.sum(count).alias("__sum"))

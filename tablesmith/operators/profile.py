@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ..functions.lexicon import MONTH_SOURCES, PROFILE_BOOL, PROFILE_CURRENCY, PROFILE_DATE_HINT, PROFILE_NUMERIC
 from ..functions.names import col, snake
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, quantiles_of_counts
 from ..functions.report import count_where, rows_from_aggregates
 from ..functions.text import to_number
 from .clean import present
@@ -83,17 +84,8 @@ def _column_of(places: list[str], names: list[str]) -> Column:
     return F.element_at(lookup, F.col("place")).alias("column")
 
 
-def values_per_place(df: DataFrame, places: list[str]) -> DataFrame:
-    """(place, value, n): the values of all columns stacked as texts, equal ones counted before the shuffle."""
-    floats = [n for n in df.columns if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))]
-    # Floats keep their shortest exact text here, which tells all values apart; adding zero turns -0.0 into 0.0.
-    texts = [
-        F.when(present(df, n), (col(n) + F.lit(0.0)).cast("string")) if n in floats else as_text(df, n) for n in df.columns
-    ]
-    stacked = df.select(*[t.alias(p) for t, p in zip(texts, places)]).unpivot([], places, "place", "value")
-    return stacked.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
+#: Distinct numbers of a column whose counts one aggregation buffer may hold; more are dealt by range.
+VALUES_IN_ONE_BUFFER = 250_000
 #: Bytes of a value that travel as they are; a longer one is known by a digest of 128 bits.
 LONG_VALUE = 64
 
@@ -111,35 +103,86 @@ def value_key(df: DataFrame, name: str) -> Column:
 
 
 def keys_per_place(df: DataFrame, places: list[str]) -> DataFrame:
-    """(place, key, n): like :func:`values_per_place`, but long values only send a digest through the shuffle."""
+    """(place, key, n): the values of all columns stacked, equal ones counted before the shuffle; long ones as a digest."""
     stacked = df.select(*[value_key(df, n).alias(p) for n, p in zip(df.columns, places)]).unpivot([], places, "place", "key")
     return stacked.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _count_values(df: DataFrame, compat: bool) -> DataFrame:
-    """Counts, distinct counts and type candidates of all columns from one scan and one shuffle.
+def _counted_values(df: DataFrame, places: list[str]) -> DataFrame:
+    """(place, key, n, text, number, hits): every value of every column once, from one scan and one shuffle.
 
-    Equal values are counted before the shuffle, and the type tests run once per distinct value.
+    Equal values are counted before the shuffle, and numbers are read and type tests run once per distinct value. Long
+    values send a digest with what was found in them; their text stays behind.
     """
-    places = [f"c{i}" for i in range(len(df.columns))]
-    floats = [n for n in df.columns if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))]
-    per_value = values_per_place(df, places)
-    number = F.col("place").isin([p for p, n in zip(places, df.columns) if n in floats])
-    text = F.when(number, _plain_number(F.col("value").try_cast("double"))).otherwise(F.col("value"))
-    tests = _candidate_tests(F.col("text"))
-    counted = per_value.withColumn("text", text).groupBy("place").agg(
+    floats = [p for p, n in zip(places, df.columns) if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))]
+    texts = [p for p, n in zip(places, df.columns) if isinstance(df.schema[n].dataType, T.StringType)]
+    whole = [F.when(present(df, n), (col(n) + F.lit(0.0)).cast("string")) if p in floats else as_text(df, n) for p, n in zip(places, df.columns)]
+    stacked = df.select(*[t.alias(p) for t, p in zip(whole, places)]).unpivot([], places, "place", "value")
+
+    def hits(value: Column) -> Column:
+        """Results of the type tests, a bit for each."""
+        return sum((F.when(test, 1 << i).otherwise(0) for i, test in enumerate(_candidate_tests(value).values())), F.lit(0))
+
+    def number(value: Column) -> Column:
+        plain = value.try_cast("double")
+        return F.when(F.col("place").isin(texts), to_number(value)).otherwise(F.when(~F.isnan(plain), plain))
+
+    is_long = F.octet_length("value") > LONG_VALUE
+    keyed = stacked.select("place", _short(F.col("value")).alias("key"), F.when(is_long, hits(F.col("value"))).alias("long_hits"), F.when(is_long, number(F.col("value"))).alias("long_number"))
+    # Plain numbers in the buffers, so that Spark aggregates by hash; equal values have equal ones.
+    counted = keyed.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n"), F.max("long_hits").alias("long_hits"), F.max("long_number").alias("long_number"))
+    text = F.when(F.col("place").isin(floats), _plain_number(F.col("key").try_cast("double"))).otherwise(F.col("key"))
+    return counted.withColumn("text", text).select(
+        "place", "key", "n", F.coalesce("long_hits", hits(F.col("text"))).alias("hits"),
+        F.when(F.col("long_hits").isNotNull(), F.col("long_number")).otherwise(number(F.col("key"))).alias("number"),
+    )
+
+
+def _count_values(counted: DataFrame, places: list[str], names: list[str], compat: bool) -> DataFrame:
+    """Counts, distinct counts, type candidates and numeric figures of all columns, from their counted values."""
+    tests = ("hint", "boolean", "currency", "numeric")
+    weighed = F.col("number").isNotNull()
+    sums = counted.groupBy("place").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("nonnull"),
-        F.count("value").alias("nunique"),
-        *[F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(key) for key, test in tests.items()],
+        F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("nonnull"),
+        F.count("key").alias("nunique"),
+        *[F.coalesce(F.sum(F.when(F.col("hits").bitwiseAND(1 << i) > 0, F.col("n"))), F.lit(0)).alias(key) for i, key in enumerate(tests)],
+        F.sum(F.when(weighed, F.col("n"))).alias("numbers"), F.count("number").alias("values"),
+        F.sum(F.col("number") * F.col("n")).alias("total"), F.min("number").alias("min"), F.max("number").alias("max"),
     )
     share = {key: F.col(key) / F.col("rows") for key in tests}
-    return counted.select(
-        _column_of(places, df.columns), F.col("rows").alias("n_rows"), "nonnull", (F.col("rows") - F.col("nonnull")).alias("nulls"),
-        "nunique", _ranked(share, compat).alias("type_candidates"),
+    return sums.select(
+        "place", _column_of(places, names), F.col("rows").alias("n_rows"), "nonnull", (F.col("rows") - F.col("nonnull")).alias("nulls"),
+        "nunique", _ranked(share, compat).alias("type_candidates"), "numbers", "values", (F.col("total") / F.col("numbers")).alias("mean"), "min", "max",
     )
 
 
+def _numeric_figures(counted: DataFrame, found: list) -> dict[str, tuple]:
+    """STATISTICS per place, the rest of them from the same counted values: spread around the known mean, and quartiles by
+    running counts. Few distinct numbers fit one buffer; more are dealt by range."""
+    quarters = [0.25, 0.5, 0.75]
+    numbers = counted.where(F.col("number").isNotNull()).select("place", "number", "n")
+    means = F.create_map(*[F.lit(x) for r in found for x in (r["place"], r["mean"])])
+    apart = F.col("number") - F.element_at(means, F.col("place"))
+    buffered = [r["place"] for r in found if r["values"] <= VALUES_IN_ONE_BUFFER]
+    in_buffer = F.when(F.col("place").isin(buffered), F.col("number"))
+    rows = numbers.where(F.col("place").isin([r["place"] for r in found])).groupBy("place").agg(
+        F.sum(F.col("n") * apart * apart).alias("spread"), F.percentile(in_buffer, F.array(*map(F.lit, quarters)), F.col("n")).alias("quartiles")
+    ).collect()
+    spread, quartiles = {r["place"]: r["spread"] for r in rows}, {r["place"]: r["quartiles"] for r in rows}
+    large = [r["place"] for r in found if r["place"] not in buffered]
+    if large:
+        # Texts of one number, such as 1 and 1.0, are different values there.
+        once = numbers.where(F.col("place").isin(large)).groupBy("place", "number").agg(F.sum("n").alias("n"))
+        quartiles |= {r["place"]: r["quartiles"] for r in quantiles_of_counts(once, ["place"], "number", "n", quarters, "quartiles").collect()}
+    figures = {}
+    for r in found:
+        p, n = r["place"], r["numbers"]
+        deviation = (spread[p] / (n - 1)) ** 0.5 if n > 1 else None
+        figures[p] = (n, r["mean"], deviation, r["min"], *quartiles[p], r["max"])
+    return figures
+
+
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Rows, non-null, null and distinct counts per column in a single job."""
     if not approx_distinct:
@@ -180,6 +223,10 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return df.sparkSession.createDataFrame(rows, f"column string, {STATISTICS}")
 
 
+def _is_numeric(row: Row) -> bool:
+    return any(c["type"] == "numeric" and c["confidence"] > 0.5 for c in row["type_candidates"])
+
+
 def profile(
     df: DataFrame, sample_rows: int | None = None, approx_distinct: bool = False, compat: bool = False
 ) -> DataFrame:
@@ -192,25 +239,30 @@ def profile(
         total = df.count()
         if total > sample_rows:
             source = df.sample(fraction=sample_rows / total, seed=42)
+    places, stats = [f"c{i}" for i in range(len(df.columns))], {}
     if approx_distinct:
         counts = profile_columns(source, approx_distinct=True).join(profile_types(source, compat), "column")
+        found = {r["column"]: r for r in counts.collect()}
+        numeric = [n for n in df.columns if n in found and _is_numeric(found[n])]
+        stats = {r["column"]: tuple(r)[1:] for r in profile_numeric(source, numeric).collect() if r["count"]} if numeric else {}
     else:
-        counts = _count_values(source, compat)
-    found = {r["column"]: r for r in counts.collect()}
-    numeric = [
-        n for n in df.columns
-        if n in found and any(c["type"] == "numeric" and c["confidence"] > 0.5 for c in found[n]["type_candidates"])
-    ]
-    stats = {r["column"]: r for r in profile_numeric(source, numeric).collect()} if numeric else {}
+        # Two passes over the counted values; the source is read once.
+        counted = _counted_values(source, places).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = {r["column"]: r for r in _count_values(counted, places, df.columns, compat).collect()}
+            numeric = [r for r in found.values() if r["numbers"] and _is_numeric(r)]
+            by_place = _numeric_figures(counted, numeric) if numeric else {}
+            stats = {r["column"]: by_place[r["place"]] for r in numeric}
+        finally:
+            counted.unpersist()
     head = source.select(*[as_text(df, n).alias(f"t{i}") for i, n in enumerate(df.columns)]).limit(5).collect()
 
     out = []
     for i, n in enumerate(df.columns):
-        c, s = found.get(n), stats.get(n)
+        c = found.get(n)
         out.append((
             n, total if total is not None else (c["n_rows"] if c else 0), *((c["nonnull"], c["nulls"], c["nunique"]) if c else (0, 0, 0)),
-            [r[f"t{i}"] for r in head], [(x["type"], x["confidence"]) for x in c["type_candidates"]] if c else [],
-            tuple(s)[1:] if s is not None and s["count"] else None,
+            [r[f"t{i}"] for r in head], [(x["type"], x["confidence"]) for x in c["type_candidates"]] if c else [], stats.get(n),
         ))
     schema = (
         "column string, n_rows long, nonnull long, nulls long, nunique long, sample_values array<string>, "

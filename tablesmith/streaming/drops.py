@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from datetime import timedelta, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.names import col
 from ..operators.clean import CleanPlan, apply_clean
@@ -121,6 +123,79 @@ def dedupe_stream_last_by(
     return picked.select(*[col(k) for k in keys], *[F.col("__row")[c].alias(c) for c in others])
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Newest(StatefulProcessor):
+    """State of one key: its newest row so far, and the timer that ends its life."""
+
+    def __init__(self, schema: T.StructType, by: str, tiebreak: str, event_time: str, ttl_ms: int) -> None:
+        self.schema, self.columns, self.ttl_ms = schema, schema.names, ttl_ms
+        self.by, self.tiebreak, self.at = (self.columns.index(c) for c in (by, tiebreak, event_time))
+        self.instants = [isinstance(f.dataType, T.TimestampType) for f in schema.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.schema)
+        self.until = handle.getValueState("until", "ms long")
+
+    def _values(self, row: Iterable) -> tuple:
+        """The row's values, instants with their zone: they come without it as input and with it from the state."""
+        return tuple(v.replace(tzinfo=timezone.utc) if instant and v is not None and v.tzinfo is None else v for v, instant in zip(row, self.instants))
+
+    def _rank(self, row: tuple) -> tuple:
+        by, tie = row[self.by], row[self.tiebreak]
+        return (by is not None, by if by is not None else 0, tie is not None, -tie if tie is not None else 0)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        old = self._values(self.newest.get()) if self.newest.exists() else None
+        until = self.until.get()[0] if self.until.exists() else None
+        best, latest = old, until
+        for row in rows:
+            values = self._values(row[c] for c in self.columns)
+            if best is None or self._rank(values) > self._rank(best):
+                best = values
+            end = int(values[self.at].timestamp() * 1000) + self.ttl_ms
+            latest = end if latest is None else max(latest, end)
+        if latest != until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(latest)
+            self.until.update((latest,))
+        if best != old:
+            self.newest.update(best)
+            yield Row(**dict(zip(self.columns, best)))
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.newest.clear()
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_stream_last_by_ttl(
+    stream: DataFrame, keys: list[str], by: str, tiebreak: str, event_time: str, delay: str, ttl: timedelta
+) -> DataFrame:
+    """Changes of the row with the greatest ``by`` per key (least ``tiebreak`` of equals), in update mode.
+
+    A key is forgotten once the watermark is ``ttl`` behind its latest ``event_time``, each key at its own time; a row
+    that comes after that starts anew. Rows later than the watermark allows (``delay``) are dropped, as are rows without
+    ``event_time``. So the state holds one row for each key seen within ``delay`` and ``ttl``, however many keys there
+    ever are. The last change of a key is its answer: :func:`tablesmith.dedupe` over the changes equals the same over
+    all rows that were not late.
+
+    The state lies in RocksDB, which timers need; the setting holds for the queries of this session that start later.
+    The session's time zone must be UTC, as :func:`tablesmith.build_session` sets it.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kept = stream.where(col(event_time).isNotNull()).withWatermark(event_time, delay)
+    processor = _Newest(stream.schema, by, tiebreak, event_time, int(ttl.total_seconds() * 1000))
+    return kept.groupBy(*keys).transformWithState(processor, stream.schema, "update", "eventTime")
+
+
 def pivot_stream(
     stream: DataFrame, event_time: str, category: str, values: list[tuple[str, str]], delay: str, window: str | None = "1 day"
 ) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -274,3 +275,23 @@ def test_types_and_cleaning_from_one_pass(spark, transactions):
     twice = ts.level1_clean(ts.infer_types(text))
     assert once.schema.simpleString() == twice.schema.simpleString() and dict(once.dtypes)["n"] == "bigint"
     assert rows(once, "업데이트일", "주문일") == rows(twice, "업데이트일", "주문일")
+
+
+def test_stream_forgets_each_key_at_its_own_time(spark, tmp_path):
+    """A key ends after its quiet days, not with the others; the stream is stopped and started again in between."""
+    schema = "k string, id long, by long, at timestamp, x timestamp_ntz, v double"
+
+    def batch(number, *rows):
+        data = [(k, i, by, datetime(2024, 1, day), datetime(2024, 1, day), None) for k, i, by, day in rows]
+        spark.createDataFrame(data, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        newest = drops.dedupe_stream_last_by_ttl(stream, ["k"], "by", "id", "at", "1 day", timedelta(days=5))
+        write = lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out{number}/batch={n}"))
+        newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["k"], r["id"], r["by"], r["at"].day, r["x"].day) for r in spark.read.schema(schema).parquet(str(tmp_path / f"out{number}")).collect())
+
+    assert batch(0, ("a", 1, 50, 1), ("a", 2, 50, 1), ("a", 3, 7, 1), ("b", 4, 50, 1)) == [("a", 1, 50, 1, 1), ("b", 4, 50, 1, 1)]
+    assert batch(1, ("b", 6, 40, 5), ("c", 7, None, 5)) == [("c", 7, None, 5, 5)]
+    assert batch(2, ("c", 8, 1, 8), ("d", 9, 1, 9)) == [("c", 8, 1, 8, 8), ("d", 9, 1, 9, 9)]
+    # The watermark is day 8: a has been quiet for seven days, b only for three. A row of day 2 is late.
+    assert batch(3, ("a", 10, 3, 9), ("b", 11, 45, 9), ("late", 12, 1, 2)) == [("a", 10, 3, 9, 9)]

@@ -97,6 +97,22 @@ def test_checks_are_listed_as_specified(spark):
     ]
 
 
+def test_profile_of_long_texts_and_many_numbers(spark, monkeypatch):
+    """Long values shuffle as digests with what was found in them; quartiles of many numbers are dealt by range."""
+    long = ["9" * 80, "2024-01-01 " + "x" * 80, "2024-01-01 " + "x" * 79 + "y", "z" * 4000]
+    data = [(i, long[i % 4] if i % 5 else None, float(i % 97) if i % 2 else None, f"{i % 50},000") for i in range(400)]
+    df = spark.createDataFrame(data, "id int, l string, x double, m string").repartition(6)
+    first = [tuple(r) for r in ts.profile(df).select("column", "n_rows", "nonnull", "nulls", "nunique", "type_candidates", "stats").collect()]
+    assert [r[:5] for r in first] == [("id", 400, 400, 0, 400), ("l", 400, 320, 80, 4), ("x", 400, 200, 200, 97), ("m", 400, 400, 0, 50)]
+    assert ("datetime", 0.4) in map(tuple, first[1][5])
+    plain = {r["column"]: tuple(r)[1:] for r in ts.profile_numeric(df, ["id", "x", "m"]).collect()}
+    monkeypatch.setattr("tablesmith.operators.profile.VALUES_IN_ONE_BUFFER", 10)
+    dealt = [tuple(r) for r in ts.profile(df).select("column", "stats").collect()]
+    for (name, *_, stats), (_, again) in zip(first, dealt):
+        if name != "l":
+            assert tuple(stats) == pytest.approx(plain[name]) and tuple(again) == pytest.approx(plain[name])
+
+
 @pytest.mark.parametrize("sent", [100_000, 0])
 def test_rows_that_break_rules(spark, monkeypatch, sent):
     """A third of all rows has one value; missing values repeat too; long texts differ in their last letter only."""

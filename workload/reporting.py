@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 import tablesmith as ts
 from pyspark.sql import functions as F
@@ -168,6 +169,26 @@ def stream_dedupe_last_by(spark, sf):
     return _drain(drops.dedupe_stream_last_by(stream, ["user_id"], "ts", "event_id").drop("ts"), spark, "complete", "stream-dedupe")
 
 
+def stream_dedupe_ttl(spark, sf):
+    """Events arrive in four parts by time, and the stream starts again for each; keys are forgotten after two quiet days.
+    The last change of a key is its answer."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    folder, changes, state = _folder(spark, "quarters"), _folder(spark, "changes"), _folder(spark, "state")
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    ends = [span["low"] + (span["high"] - span["low"]) * k / 4 for k in (1, 2, 3)]
+    quarter = sum(((F.col("ts") >= end).cast("int") for end in ends), F.lit(0))
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+
+    for i in range(4):
+        events.where(quarter == i).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        newest = drops.dedupe_stream_last_by_ttl(stream, ["user_id"], "ts", "event_id", "ts", "1 day", timedelta(days=2))
+        newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return ts.dedupe(spark.read.schema(events.schema).parquet(changes), "user_id", "last_by:ts", "event_id").drop("ts", "batch")
+
+
 def stream_dedupe_first(spark, sf):
     """Every event arrives twice."""
     stream = _events_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -302,6 +323,7 @@ QUERIES = {
         select "월", priority, coalesce(amount, 0) as amount from grid left join a using ("월", priority)"""),
     "stream_clean": (stream_clean, "select event_id, event_id % 6 in (0, 1, 2) as flag, round(\"value\", 2) as amount, 'KRW' as amount__currency from events"),
     "stream_dedupe_last_by": (stream_dedupe_last_by, 'select user_id, event_id, event_type, "value" from events qualify row_number() over (partition by user_id order by ts desc, event_id) = 1'),
+    "stream_dedupe_ttl": (stream_dedupe_ttl, 'select user_id, event_id, event_type, "value" from events qualify row_number() over (partition by user_id order by ts desc, event_id) = 1'),
     "stream_dedupe_first": (stream_dedupe_first, "select distinct event_id from events"),
     "stream_pivot": (stream_pivot, "select strftime(ts, '%Y-%m-%d') as period, event_type, round(sum(\"value\"), 2) as \"value\", count(event_id) as event_id from events group by all"),
     "stream_pivot_monthly": (stream_pivot_monthly, "select strftime(ts, '%Y-%m') as period, event_type, round(sum(\"value\"), 2) as \"value\", count(event_id) as event_id from events group by all"),
