@@ -10,6 +10,7 @@ from .operators.kpi import diff_metrics, kpi_before_after, kpi_metrics, report_k
 from .operators.outlier import detect_outliers, handle_outliers, iqr_clip, outlier, zscore_clip
 from .operators.pivot import PivotSpec, filter_in, group_sum, month_bucket, pivot_long, pivot_report, pivot_subtotals, pivot_wide
 from .operators.profile import profile, profile_columns, profile_numeric, profile_types
+from .operators.sketches import merge_profiles, profile_sketches, stored_profiles
 from .operators.timeseries import add_mom, add_running_total, period_summary
 from .operators.validate import gate, gated_write, summarize, validate, validate_rows
 from .plans.preprocess import preprocess, preprocess_file, run_folder

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from ..functions.names import col
 from ..operators.clean import CleanPlan, apply_clean
 from ..operators.pivot import PivotSpec, group_aggregate
+from ..operators.sketches import profile_sketches
 from ..operators.validate import gate
 from ..plans.report import DEFAULT_PIVOT, build_report, write_report
 from ..sources.csv import charset_of, read_null_tokens
@@ -72,6 +73,15 @@ def report_drops(
     return _start(stream, report_batch, checkpoint, trigger)
 
 
+def profile_drops(stream: DataFrame, target: str, checkpoint: str, trigger: Mapping[str, Any] | None = None) -> StreamingQuery:
+    """Store the profile sketches of every dropped file below ``target``; :func:`~tablesmith.operators.sketches.stored_profiles`
+    merges them, so the profile of all files never reads a file twice. A restarted batch overwrites its own sketches."""
+    def sketch_batch(batch: DataFrame, batch_id: int) -> None:
+        profile_sketches(batch, ["source_file"]).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return _start(stream, sketch_batch, checkpoint, trigger)
+
+
 def gated_stream(
     stream: DataFrame,
     spec: Mapping[str, Any],

@@ -216,6 +216,19 @@ def stream_pivot_monthly(spark, sf):
     return _round(found.withColumn("period", F.date_format("period", "yyyy-MM")), "value")
 
 
+def profile_merged(spark, sf):
+    """Events with gaps dropped as CSV folders one after the other; their stored sketches make one profile. Only what
+    merges exactly is shown."""
+    folder, sketches, state = _folder(spark, "drops"), _folder(spark, "sketches"), _folder(spark, "state")
+    events = gappy_events(spark, sf).select("event_id", "event_type", "value")
+    for i in range(3):
+        ts.write_table(events.where(F.col("event_id") % 3 == i), f"{folder}/part={i}")
+        stream = drops.read_drops(spark, f"{folder}/*", "event_id string, event_type string, value string")
+        drops.profile_drops(stream, sketches, state).awaitTermination()
+    found = ts.stored_profiles(spark, sketches).where("column <> 'part'")
+    return found.select("column", "n_rows", "nonnull", "nulls", "numbers", F.round("mean", 4).alias("mean"), F.round("min", 4).alias("min"), F.round("max", 4).alias("max"))
+
+
 def stream_gate(spark, sf):
     """Two batches: the gate lets the complete one pass and puts the one with gaps aside."""
     accepted, quarantine, folder = _folder(spark, "accepted"), _folder(spark, "quarantine"), _folder(spark, "batches")
@@ -327,6 +340,10 @@ QUERIES = {
     "stream_dedupe_first": (stream_dedupe_first, "select distinct event_id from events"),
     "stream_pivot": (stream_pivot, "select strftime(ts, '%Y-%m-%d') as period, event_type, round(sum(\"value\"), 2) as \"value\", count(event_id) as event_id from events group by all"),
     "stream_pivot_monthly": (stream_pivot_monthly, "select strftime(ts, '%Y-%m') as period, event_type, round(sum(\"value\"), 2) as \"value\", count(event_id) as event_id from events group by all"),
+    "profile_merged": (profile_merged, " union all ".join(
+        f"""select '{c}' as "column", count(*) as n_rows, count({c}) as nonnull, count(*) - count({c}) as nulls, count({n}) as numbers,
+            round(avg({n}), 4) as mean, round(min({n}), 4)::double as min, round(max({n}), 4)::double as max from ({GAPPY_EVENTS_SQL}) g"""
+        for c, n in (("event_id", "event_id"), ("event_type", "null::double"), ('value', '"value"')))),
     "stream_gate": (stream_gate, 'select event_id, case when event_id % 2 = 0 or event_id % 7 <> 0 then event_type end as event_type, "value", event_id % 2 = 0 as accepted from events'),
     "report_drops": (report_drops, """
         with o as (select o_totalprice >= 100000 as high, strftime(o_orderdate, '%Y-%m') as "월", o_orderpriority, o_totalprice from orders),
