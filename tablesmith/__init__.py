@@ -7,6 +7,7 @@ from .operators.clean import CleanPlan, apply_clean, drop_empty, infer_clean, le
 from .operators.dedupe import dedupe, dedupe_report
 from .operators.impute import fill, handle_missing_values, impute, missing_patterns, suggest_strategies
 from .operators.kpi import diff_metrics, kpi_before_after, kpi_metrics, report_kpi
+from .operators.match import match_names
 from .operators.outlier import detect_outliers, handle_outliers, iqr_clip, outlier, zscore_clip
 from .operators.pivot import PivotSpec, filter_in, group_sum, month_bucket, pivot_long, pivot_report, pivot_subtotals, pivot_wide
 from .operators.profile import profile, profile_columns, profile_numeric, profile_types

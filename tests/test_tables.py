@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,25 @@ def test_profile_of_long_texts_and_many_numbers(spark, monkeypatch):
             assert tuple(stats) == pytest.approx(plain[name]) and tuple(again) == pytest.approx(plain[name])
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 2 / 3, 1.0])
+def test_names_are_matched_as_over_all_pairs(spark, threshold):
+    """Every name has one word in common, many names two; repeated, missing and wordless names."""
+    draw = random.Random(3)
+    vocabulary = ["Corp", "der", "서울", *(f"w{i}" for i in range(25))]
+    sides = [[" ".join(["ACME", *draw.choices(vocabulary, k=draw.randrange(5))]) + draw.choice(["", ".", "!"]) for _ in range(150)] + [None, "", "--", "acme"] for _ in range(2)]
+    left, right = (spark.createDataFrame([(x,) for x in side], f"`n {i}` string") for i, side in enumerate(sides))
+    found = ts.match_names(left, "n 0", right, "n 1", threshold)
+    assert "CartesianProduct" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+    words = lambda x: set(re.findall(r"\w+", x.lower()))
+    expected = set()
+    for a in set(filter(None, sides[0])):
+        for b in set(filter(None, sides[1])):
+            if words(a) and words(b) and len(words(a) & words(b)) / len(words(a) | words(b)) >= threshold:
+                expected.add((a, b))
+    result = found.collect()
+    assert {(r["left_name"], r["right_name"]) for r in result} == expected and len(result) == len(expected)
+
+
 def test_merged_profiles(spark, tmp_path):
     """Sketches of many small files: exact counts, distinct counts within 5 %, quartiles within 2 % of the ranks."""
     n = 40_000

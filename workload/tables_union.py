@@ -83,6 +83,17 @@ def profile_full(spark, sf):
     )
 
 
+def match_names(spark, sf):
+    """Customers and suppliers of one number; the word that all customers share is in every name."""
+    return ts.match_names(table(spark, sf, "customer"), "c_name", table(spark, sf, "supplier"), "s_name", 0.3).withColumn("score", F.round("score", 4))
+
+
+def match_part_names(spark, sf):
+    """Parts against parts of one brand, by the words of their names."""
+    part = table(spark, sf, "part")
+    return ts.match_names(part, "p_name", part.where("p_brand = 'Brand#11'"), "p_name", 0.5).withColumn("score", F.round("score", 4))
+
+
 def validate_unique(spark, sf):
     spec = {"checks": [{"unique": ["o_orderkey", "o_custkey", "absent"]}]}
     return ts.validate(table(spark, sf, "orders"), spec).select("check", "col", "ok")
@@ -197,6 +208,15 @@ def _profile_sql(column, name, source):
     return f"select '{name}' as \"column\", count(*) as n_rows, count({column}) as nonnull, count(*) - count({column}) as nulls, count(distinct {column}) as nunique from {source}"
 
 
+def _match_sql(left, a, right, b, threshold):
+    def words(name, source):
+        return f"select distinct {name} as name, list_distinct(regexp_extract_all(lower({name}), '\\w+')) as w from {source}"
+    return f"""
+        select left_name, right_name, round(score, 4) as score from (
+          select x.name as left_name, y.name as right_name, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) as score
+          from ({words(a, left)}) x, ({words(b, right)}) y) where score >= {threshold}"""
+
+
 def _numeric_sql(c):
     return (f"select '{c}' as \"column\", count({c}) as count, round(avg({c}), 2) as mean, round(stddev_samp({c}), 2) as std, round(min({c}), 2) as min, "
             f"round(quantile_cont({c}, 0.25), 2) as p25, round(quantile_cont({c}, 0.5), 2) as p50, round(quantile_cont({c}, 0.75), 2) as p75, round(max({c}), 2) as max from lineitem")
@@ -237,6 +257,8 @@ QUERIES = {
          for c in ("o_orderkey", "o_custkey", "o_totalprice")]
         + [f"select '{c}', count(*), count({c}), 0, count(distinct {c}), 5, '{kind}', null, null, null from orders"
            for c, kind in (("o_orderstatus", "string"), ("o_orderpriority", "string"), ("o_orderdate", "datetime"))])),
+    "match_names": (match_names, _match_sql("customer", "c_name", "supplier", "s_name", 0.3)),
+    "match_part_names": (match_part_names, _match_sql("part", "p_name", "part where p_brand = 'Brand#11'", "p_name", 0.5)),
     "validate_unique": (validate_unique, """
         select 'unique' as "check", 'o_orderkey' as col, count(*) = count(distinct o_orderkey) as ok from orders
         union all select 'unique', 'o_custkey', count(*) = count(distinct o_custkey) from orders
