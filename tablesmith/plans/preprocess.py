@@ -85,8 +85,9 @@ def files_by_header(spark: SparkSession, path: str) -> DataFrame:
 def run_folder(spark: SparkSession, path: str, target: str, **options: Any) -> DataFrame:
     """Prepare every CSV below ``path``: files that share a header run as one job, written by header group.
 
-    Returns (group, source_file, rows, status, seconds), one row per file, none for an empty folder. A group that
-    fails is reported with its error and the run goes on; its seconds are those of its group.
+    Returns (group, source_file, rows, status, seconds), one row per file, none for an empty folder. A file with rows
+    that have more cells than its header is left out and reported as ``ragged``, the others of its group go on without
+    it. A group that fails is reported with its error and the run goes on; its seconds are those of its group.
     """
     heads = materialize(files_by_header(spark, path), "headers")
     report = spark.createDataFrame([], "`group` int, source_file string, rows long, status string, seconds double")
@@ -95,12 +96,14 @@ def run_folder(spark: SparkSession, path: str, target: str, **options: Any) -> D
         files = [r["file"] for r in members.select("file").orderBy("file").collect()]  # the reader takes paths
         started = time.perf_counter()
         try:
-            tagged = read_csv_table(spark, files, typed=False, source_file="source_file")
-            out = preprocess(tagged, untyped=True, protect=["source_file"], **options)
+            tagged = materialize(read_csv_table(spark, files, typed=False, source_file="source_file", ragged="__ragged"), "group")
+            ragged = materialize(tagged.where("__ragged").groupBy("source_file").agg(F.count(F.lit(1)).alias("ragged")), "ragged")
+            sound = tagged.drop("__ragged").join(ragged.select("source_file"), "source_file", "left_anti").select(*[c for c in tagged.columns if c != "__ragged"])
+            out = preprocess(sound, untyped=True, protect=["source_file"], **options)
             group_target = f"{target}/group={number}"
             write_table(out, group_target, format="parquet")
-            counts = spark.read.parquet(group_target).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
-            status = F.lit("ok")
+            counts = spark.read.parquet(group_target).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows")).join(ragged, "source_file", "full")
+            status = F.when(F.col("ragged").isNull(), "ok").otherwise(F.format_string("ragged: %d rows have more cells than the header", "ragged"))
         except Exception as error:  # one bad group must not end the run; its error is in the report
             counts = spark.createDataFrame([], "source_file string, rows long")
             status = F.lit(f"{type(error).__name__}: {str(error).splitlines()[0][:300]}")

@@ -30,7 +30,7 @@ def read_null_tokens(df: DataFrame) -> DataFrame:
 
 def read_csv_table(
     spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, typed: bool = True, multiline: bool = True,
-    source_file: str | None = None,
+    source_file: str | None = None, ragged: str | None = None,
 ) -> DataFrame:
     """Read CSV with a header row: all columns as text, missing-cell texts as null, then typed by content.
 
@@ -38,7 +38,8 @@ def read_csv_table(
     line. Files without such cells are split over tasks as they are; in the others the lines of a record are put
     together first (:func:`joined_records`), also by many tasks. ``multiline=False`` raises instead of joining lines.
     Columns get a number, boolean or integer type only when every value of them parses; dates stay text.
-    ``source_file`` names a further column with the path of the file.
+    ``source_file`` names a further column with the path of the file, ``ragged`` one that marks rows with a filled cell
+    beyond the header's last one; missing cells at the end of a row are null.
     """
     files = inspect_files(spark, path)
     kind = F.when(F.col("encoding") == "cp949", "cp949").otherwise("utf-8") if encoding is None else F.lit(encoding)
@@ -50,7 +51,7 @@ def read_csv_table(
     for charset, joined in groups or [(encoding or "utf-8", False)]:
         # Spark skips a byte-order mark itself, so only the charset matters.
         paths = path if len(groups) < 2 else [r[0] for r in found.filter((F.col("kind") == charset) & (F.col("joined") == joined)).select("path").collect()]
-        parts.append(_read_raw(spark, paths, charset, joined, source_file))
+        parts.append(_read_raw(spark, paths, charset, joined, source_file, ragged))
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return infer_types(raw) if typed else raw
 
@@ -64,24 +65,27 @@ def charset_of(spark: SparkSession, encoding: str) -> str:
     return _JAVA_CHARSETS.get(name) or _SPARK_CHARSETS.get(name) or encoding
 
 
-def _read_raw(spark: SparkSession, path: str | Sequence[str], encoding: str, joined: bool, source_file: str | None = None) -> DataFrame:
+def _read_raw(
+    spark: SparkSession, path: str | Sequence[str], encoding: str, joined: bool, source_file: str | None = None, ragged: str | None = None
+) -> DataFrame:
     charset, paths = charset_of(spark, encoding), path if isinstance(path, str) else list(path)
     # Lines can be told apart before decoding only where a line break is the one byte; other charsets are read file by file.
     by_lines = charset.upper().replace("_", "-") in _BYTE_CHARSETS
     # Quotes are doubled inside quoted cells, as spreadsheet programs write them.
-    reader = spark.read.option("header", True).option("encoding", charset).option("escape", '"').option("nullValue", "")
-    raw = reader.option("multiLine", joined or not by_lines).csv(paths)
-    names = unique_names(raw.columns)
-    tag = [] if source_file is None else [F.col("_metadata.file_path").alias(source_file)]
+    options = {"escape": '"', "nullValue": ""}
+    reader = spark.read.options(header=True, encoding=charset, multiLine=joined or not by_lines, **options)
+    names = unique_names(reader.csv(paths).columns)
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])  # one more than the header has
     if joined and by_lines:
-        lines = stored_lines(spark, paths, charset)
-        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        parsed = joined_records(lines).select("path", F.from_csv("record", cells.toDDL(), {"escape": '"', "nullValue": ""}).alias("cells"))
-        tag = [] if source_file is None else [F.col("path").alias(source_file)]
-        # Types and cleaning measure the table before they use it; stored, the lines are put together once.
-        return materialize(read_null_tokens(parsed.select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)], *tag)), "records")
-    raw = raw.select(*[col(c).alias(n) for c, n in zip(raw.columns, names)], *tag) if len(set(raw.columns)) == len(names) else raw.toDF(*names)
-    return read_null_tokens(raw)
+        records = joined_records(stored_lines(spark, paths, charset))
+        read = records.select("path", F.from_csv("record", cells.toDDL(), options).alias("cells")).select("path", "cells.*")
+    else:
+        read = reader.schema(cells).csv(paths).select(F.col("_metadata.file_path").alias("path"), "*")
+    tags = [F.col("path").alias(source_file)] if source_file else []
+    tags += [F.col(f"c{len(names)}").isNotNull().alias(ragged)] if ragged else []
+    table = read_null_tokens(read.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *tags))
+    # Types and cleaning measure the table before they use it; stored, the lines are put together once.
+    return materialize(table, "records") if joined and by_lines else table
 
 
 def _line_states(line: Column) -> tuple[Column, Column]:

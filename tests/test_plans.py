@@ -165,6 +165,20 @@ def test_folder_run(spark, tmp_path):
     assert ts.run_folder(spark, str(tmp_path / "none"), str(tmp_path / "out2")).count() == 0
 
 
+def test_one_bad_file_of_a_folder(spark, tmp_path):
+    """Four results and five status rows, all files with one header; short rows are filled up as before."""
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(5):
+        more = ",surplus" if i == 3 else ""
+        (source / f"f{i}.csv").write_text(f"k,amount,note\n{i},₩ 1{i},a\n9{i},₩ 2{i}{',b' + more if i < 4 else ''}\n", encoding="utf-8")
+    report = {r["source_file"].rsplit("/", 1)[1]: r for r in ts.run_folder(spark, str(source), str(tmp_path / "out")).collect()}
+    assert {n: (r["rows"], r["status"]) for n, r in report.items()} == {
+        **{f"f{i}.csv": (2, "ok") for i in (0, 1, 2, 4)}, "f3.csv": (0, "ragged: 1 rows have more cells than the header")}
+    out = spark.read.parquet(str(tmp_path / "out" / "group=0"))
+    assert out.count() == 8 and sorted(r["amount"] for r in out.collect()) == [10.0, 11.0, 12.0, 14.0, 20.0, 21.0, 22.0, 24.0]
+
+
 def test_report_and_log(spark, tmp_path):
     tables = ts.build_report(sales(spark, 2000))
     written = ts.write_report(tables, str(tmp_path / "report"))
