@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bitmap import SLOTS, as_flags, bitmap_of
-from .common import pick, small_batches, stored, table, text_slices, texts
+from .common import pick, plain, small_batches, stored, table, text_slices, texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms that a task counts before it sends them on.
@@ -237,12 +237,14 @@ def general_form(term: str) -> str:
 def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     """``docs`` with identifiers replaced by their kinds and disclosing terms removed or generalised.
 
-    Works on tables whose doc_id is unique; a null text stays null.
+    Every row is cleaned by itself, also those without a doc_id, with one that others share, or that repeat; a null text
+    stays null. The rows are numbered once, in a stored copy.
     """
     small_batches(docs.sparkSession)
     names = docs.columns
-    found = disclosures(docs, **thresholds).filter("size(spans) > 0").selectExpr("doc_id as sanitised_id", "spans as sanitised_spans", "actions as sanitised_actions")
-    joined = docs.join(found, docs["doc_id"] == found["sanitised_id"], "left")
+    numbered = stored(docs.select(*[F.col(plain(n)) for n in names], F.monotonically_increasing_id().alias("sanitised_row")), "sanitise")
+    found = disclosures(numbered.select(F.col("sanitised_row").alias("doc_id"), "text"), **thresholds).filter("size(spans) > 0").selectExpr("doc_id as sanitised_id", "spans as sanitised_spans", "actions as sanitised_actions")
+    joined = numbered.join(found, F.col("sanitised_row") == F.col("sanitised_id"), "left")
 
     def clean(text: str | None, spans: list | None, actions: list | None) -> str | None:
         if text is None or not spans:
@@ -269,8 +271,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosures(table(spark, sf_dir, "documents"))
     text = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
     base = "filter(spans, s -> s.kind <> 'term')"
-    count = [f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}" for k in KINDS]
-    return found.selectExpr("doc_id", *count, f"sha2({text.format(base)}, 256) as base_sha256", f"{text.format('spans')} as spans")
+    count = {k: f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}" for k in KINDS}
+    term = count.pop("term")
+    return found.selectExpr("doc_id", *count.values(), f"sha2({text.format(base)}, 256) as base_sha256", f"{text.format('spans')} as spans", term)
 
 
 QUERIES = {"op5_pii": (op5_pii, None)}

@@ -181,3 +181,18 @@ def test_digests(spark):
     row = QUERIES["op4_secret_scans"][0](spark, "/root/testdata/sf0.001").filter("n_assign + n_hex + n_access > 0").first()
     base = ",".join(s for s in row["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex"))
     assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_sanitise_cleans_every_row_by_itself(spark):
+    """Rows without an id, rows that share one, and rows that repeat: as many come back, and none keeps its data."""
+    rows = [(None, "mail kim@corp.example.com"), (None, "mail kim@corp.example.com"), (1, "call +49 30 1234567 now"), (1, "nothing here"), (2, None), (2, "")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, spans int")
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns
+    expected = [(None, "mail [email]", 7)] * 2 + [(1, "call [phone] now", 7), (1, "nothing here", 7), (2, None, 7), (2, "", 7)]
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, expected))
+
+
+def test_op5_columns(spark):
+    found = pii.op5_pii(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"]
