@@ -254,7 +254,9 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
     ``html`` is null for revisits, whose payload is that of ``refers_to``.
     """
     small_batches(spark)
-    listed = spark.read.parquet(f"{folder}/_manifest").select("file").repartition("file")
+    listed = spark.read.parquet(f"{folder}/_manifest").select("file")
+    # A number of tasks that is asked for stays: the manifest is tiny, the files behind its rows are not.
+    listed = listed.repartition(max(1, listed.count()), "file")
     return listed.mapInArrow(_read(folder, with_payload), _READ)
 
 
