@@ -3,8 +3,9 @@
 Each task packs the documents of its own partition as they come, so nothing is shuffled and a lost task repeats
 itself exactly. Whole windows of a long document are sequences of their own; the rest of a document is one piece.
 ``levels[h]`` counts the open sequences that hold ``h`` tokens; a piece of size ``s`` goes to the level ``h`` (0: a new
-sequence) for which the sum of squares of these counts afterwards is smallest. When a partition ends, its open
-sequences are merged by cutting pieces, so one sequence of a partition at most is not full.
+sequence) for which the sum of squares of these counts afterwards is smallest. When a partition ends, or when its open
+sequences take more memory than a task may hold, they are merged by cutting pieces; the last one, not full, stays open
+for what follows. So one sequence of a partition at most is not full, and no stream of documents fills the memory.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import pick, small_batches, table, texts
 #: Word pattern of the byte-level vocabularies (fixed value).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEQUENCES = 1 << 36  # of one task
+#: Bytes of open pieces that a task holds before it merges them, and what a piece takes beside its ids.
+OPEN_BYTES, _PIECE = 64 << 20, 256
 
 
 def byte_level_encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
@@ -47,10 +50,13 @@ def byte_level_encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
 
 
 class Packer:
-    """Packs pieces (doc, start, ids, tokens of the document) online; :meth:`add` and :meth:`finish` give full sequences."""
+    """Packs pieces (doc, start, ids, tokens of the document) online; :meth:`add` and :meth:`finish` give full sequences.
 
-    def __init__(self, window: int) -> None:
-        self.window = window
+    Open pieces that take more than ``open_bytes`` are merged early, which leaves one open sequence.
+    """
+
+    def __init__(self, window: int, open_bytes: int = OPEN_BYTES) -> None:
+        self.window, self.open_bytes, self.held = window, open_bytes, 0
         self.levels = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
 
@@ -75,12 +81,34 @@ class Packer:
         if level:
             pieces = self.open[level].pop()
             self.levels[level] -= 1
+        self.held += 4 * size + _PIECE
         pieces.append((doc, whole, ids[whole:].copy(), total))
         if level + size == self.window:
+            self.held -= sum(4 * len(p[2]) + _PIECE for p in pieces)
             yield pieces
         else:
             self.open[level + size].append(pieces)
             self.levels[level + size] += 1
+            if self.held > self.open_bytes:
+                yield from self._early()
+
+    def _early(self) -> Iterator[list]:
+        merged = self.finish()
+        rest = next(merged)
+        for pieces in merged:
+            yield rest
+            rest = pieces
+        fill = sum(len(p[2]) for p in rest)
+        if fill == self.window:
+            yield rest
+            rest, fill = [], 0
+        self.levels[:] = 0
+        self.open = [[] for _ in range(self.window)]
+        self.held = sum(4 * len(p[2]) + _PIECE for p in rest)
+        if rest:
+            # Copies, as a cut piece would keep the whole one in memory.
+            self.open[fill].append([(doc, start, ids.copy(), total) for doc, start, ids, total in rest])
+            self.levels[fill] = 1
 
     def finish(self) -> Iterator[list]:
         """Merge the open sequences, fullest first; pieces are cut where a sequence ends."""

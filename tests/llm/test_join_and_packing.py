@@ -139,6 +139,25 @@ def test_sum_of_squares_rule():
     assert all(x == 32 for x in rest[:-1])
 
 
+@pytest.mark.parametrize("size, open_bytes", [(600, 100_000), (1, 5_000), (1023, 100_000), (512, 3_000), (700, 1)])
+def test_open_sequences_are_bounded(size, open_bytes):
+    packer, full, most = Packer(1024, open_bytes), [], 0
+    for doc in range(3_000):
+        full += list(packer.add(doc, np.arange(size, dtype=np.uint32)))
+        held = sum(4 * len(p[2]) + 256 for level in packer.open for pieces in level for p in pieces)
+        assert held == packer.held and [len(level) for level in packer.open] == packer.levels[:-1].tolist()
+        most = max(most, held)
+    # One document may pass the bound, and the last sequence stays open.
+    assert most <= open_bytes + (4 * 1024 + 256 * -(-1024 // size)) * 2
+    rest = list(packer.finish())
+    assert all(sum(len(p[2]) for p in s) == 1024 for s in full + rest[:-1])
+    at = dict.fromkeys(range(3_000), 0)
+    for doc, start, ids, total in sorted((p for s in full + rest for p in s), key=lambda p: p[:2]):
+        assert start == at[doc] and ids.tolist() == list(range(start, start + len(ids))) and total == size
+        at[doc] += len(ids)
+    assert set(at.values()) == {size}
+
+
 def test_encoder_knows_special_tokens():
     with open(default_vocabulary(), encoding="utf-8") as file:
         encode = byte_level_encoder(file.read())
