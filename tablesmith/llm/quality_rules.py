@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import pick, stored, table
+from .common import pick, plain, stored, table
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent short words of the languages that the corpus is expected in (fixed values).
@@ -132,9 +132,9 @@ def fit(counted: DataFrame, rounds: int = 50, tolerance: float = 1e-6) -> LabelM
     return model
 
 
-def counted_votes(measured: DataFrame) -> DataFrame:
-    """The vote patterns of ``features`` and how many documents have each, stored: at most 3 ** rules rows."""
-    patterns = measured.select(votes().alias("votes")).groupBy("votes").agg(F.count("*").cast("double").alias("n"))
+def counted_votes(voted: DataFrame) -> DataFrame:
+    """The patterns of ``votes`` and how many documents have each, stored: at most 3 ** rules rows."""
+    patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     return stored(patterns, "votes").coalesce(1).sortWithinPartitions("votes")
 
 
@@ -152,7 +152,7 @@ def quality_rules(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     measured = stored(features(pick(docs, "doc_id", "text")).drop("text"), "rule-counts")
-    return judged(measured, fit(counted_votes(measured)), keep_at)
+    return judged(measured, fit(counted_votes(measured.select(votes().alias("votes")))), keep_at)
 
 
 def kept_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
@@ -160,13 +160,12 @@ def kept_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
 
     Null and empty texts go; repeated rows are kept or go together; an empty table stays empty.
     """
-    names = [f"`{n}`" for n in docs.columns]
+    names = [F.col(plain(n)) for n in docs.columns]
     inner = docs.select(F.struct(*names).alias("row"), F.col("text"))
-    measured = features(inner)
-    model = fit(counted_votes(measured))
-    # Numbered rows keep the filter above the counts; below them it would repeat each count for every use of it.
-    numbered = measured.withColumn("row_number", F.monotonically_increasing_id())
-    return judged(numbered, model, keep_at).filter("kept and row_number >= 0").select("row.*")
+    # Rows are stored with their votes, as counting is dearer than reading a row again.
+    voted = stored(features(inner).select("row", votes().alias("votes"), base_failed().alias("base_failed")), "voted")
+    model = fit(counted_votes(voted))
+    return voted.withColumn("posterior", model.posterior()).filter(~F.col("base_failed") & (F.col("posterior") >= keep_at)).select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

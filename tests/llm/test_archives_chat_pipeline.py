@@ -129,3 +129,22 @@ def test_pipeline_stages(spark, tmp_path, odd):
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, frame(spark, []), str(tmp_path)).count() == 0
         assert stage(spark, odd, str(tmp_path)).columns == odd.columns
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    question = " ".join(prose(77, 40).replace("\n", " ").split())
+    spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c, d = (prose(i, 120) for i in range(1, 5))
+    # Copies and contaminated rows without ids, repeated rows, and clean rows under the ids of those that go.
+    rows = [(None, a), (7, a), (3, a), (3, a), (7, b), (None, c), (None, c), (9, d + "\n" + question), (9, d), (None, prose(5, 90) + "\n" + question), (None, None), (None, "")]
+    docs = frame(spark, rows).withColumnRenamed("words", "back`tick")
+    stages = dict(corpus_pipeline.STAGES)
+    seen = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    once = stages["near duplicates"](spark, docs, str(tmp_path))
+    assert once.columns == docs.columns
+    assert seen(once) == sorted([(3, a), (7, b), (None, c), (9, d + "\n" + question), (9, d), (None, rows[9][1]), (None, None), (None, "")], key=str)
+    clean = stages["decontamination"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert seen(clean) == sorted([r for r in rows if question not in (r[1] or "")], key=str)
+    kept = stages["quality rules"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r["text"] for r in kept.collect()} >= {a, b, c, d}
