@@ -6,10 +6,10 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesmith.llm import decontamination, ngram_join, packing, quality_rules, secrets
-from tablesmith.llm.common import stored, table
+from tablesmith.llm.common import plain, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,18 +18,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 keep the smallest doc_id.
+    """Of each group of documents linked by five-word shingles at 0.8 keep one row, that of the smallest doc_id.
 
-    Rows without a doc_id can't be named and stay; of rows that repeat the kept doc_id all stay.
+    Rows are told apart by their place: of repeated rows one stays, rows without a doc_id yield to rows with one.
     """
-    groups = ngram_join.similar_groups(docs, k=5, num=80, den=100)
-    return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"), "copies")
+    numbered = _numbered(docs, "near-duplicates")
+    groups = ngram_join.similar_groups(_texts(numbered), k=5, num=80, den=100).selectExpr("doc_id as place", "component_id")
+    named = groups.join(numbered.selectExpr("place", "row.doc_id as doc_id"), "place")
+    keeper = named.groupBy("component_id").agg(F.expr("min(struct(doc_id is null as unnamed, doc_id, place)).place as place"))
+    return _without(numbered, groups.join(keeper, "place", "left_anti"), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, also with other numbers, names or units."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select("doc_id"), "contaminated")
+    """Drop documents that hold a benchmark item, also with other numbers, names or units. Each row is judged by itself."""
+    numbered = _numbered(docs, "decontamination")
+    found = decontamination.contaminated(_texts(numbered), table(spark, sf_dir, "benchmark"))
+    return _without(numbered, found.selectExpr("doc_id as place").distinct(), "contaminated")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +46,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.default_vocabulary())
 
 
-def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
-    """``docs`` but for the named rows. The names are stored first, so their true size decides how to join."""
-    gone = stored(dropped.distinct(), label)
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    """(place, row): all rows, stored with a number of their own, whatever their columns hold or are called."""
+    row = F.struct(*[F.col(plain(n)) for n in docs.columns]).alias("row")
+    return stored(docs.select(F.monotonically_increasing_id().alias("place"), row), label + "-rows")
+
+
+def _texts(numbered: DataFrame) -> DataFrame:
+    """The texts under their rows' numbers, as the operators read them."""
+    return numbered.selectExpr("place as doc_id", "row.text as text")
+
+
+def _without(numbered: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
+    """The rows but for those dropped. Their numbers are stored first, so their true size decides how to join."""
+    gone = stored(dropped.select("place"), label)
+    return numbered.join(gone, "place", "left_anti").select("row.*")
 
 
 STAGES = [
