@@ -1,6 +1,6 @@
 """Tabular data preparation and reporting on Apache Spark."""
 
-from .functions.keywords import load_keyword_map, tag_keywords
+from .functions.keywords import load_keyword_map, tag_by_table, tag_keywords
 from .functions.names import drop_duplicate_columns, name_similarity, resolve, snake, snake_columns, suggest_mapping
 from .operators.align import align_schemas, merge_aligned, schema_compatibility
 from .operators.clean import CleanPlan, apply_clean, drop_empty, infer_clean, level1_clean, standardize

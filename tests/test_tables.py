@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tablesmith as ts
+from tablesmith.functions import keywords
 from tablesmith.functions.names import name_similarity, suggest_mapping
 from tablesmith.operators.profile import column_diagnostics
 from tablesmith.operators.validate import load_spec
@@ -206,6 +207,36 @@ def test_keywords(spark, tmp_path):
     assert [r["rows"] for r in own] == [[], [], [], ["x"], []]
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 25])
+def test_many_keywords_from_a_table(spark, monkeypatch, sent):
+    """Equal to a search for each of 10 000 keywords; the plan does not grow with their number."""
+    monkeypatch.setattr(keywords, "SENT_BYTES", sent)
+    draw = random.Random(3)
+    letters = "abcde월도시😀 "
+    words = [("".join(draw.choice(letters) for _ in range(draw.choice([1, 2, 3, 5, 8]))), f"L{i % 700}") for i in range(10_000)]
+    words += [("ABC", "upper"), ("", "any"), (None, "none"), ("zzz", None), ("absent word", "absent")]
+    texts = ["", None, "  ", "ABCDE", "월", "도시", "a😀b", "ab\ncd", "ab\ncd"]
+    texts += ["".join(draw.choice(letters + "XYZqrs") for _ in range(draw.choice([4, 30, 400]))) for _ in range(60)] + ["b" * 300_000 + "월도시"]
+    df = spark.createDataFrame([(i % 5, t, 1) for i, t in enumerate(texts)], "id int, text string, row int")  # equal ids, a clashing name
+    table = spark.createDataFrame(words, "keyword string, label string")
+    tagged = ts.tag_by_table(df, "text", table)
+    plan = plan_of(tagged)
+    expected = [(i % 5, t, sorted({la for w, la in words if w is not None and la and w.lower() in (t or "").strip(" ").lower()})) for i, t in enumerate(texts)]
+    found = [(r["id"], r["text"], r["tags"]) for r in tagged.collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr) and tagged.columns == ["id", "text", "row", "tags"]
+    assert len(plan) < len(plan_of(ts.tag_by_table(df, "text", table.limit(10)))) + 500
+    assert [r["tags"] for r in ts.tag_by_table(df, "text", table.limit(0)).collect()] == [[]] * len(texts)
+    assert ts.tag_by_table(df.limit(0), "text", table).count() == 0
+
+
+def test_keyword_table_agrees_with_the_map(spark):
+    keyword_map = {"rows": {str(i): [c] for i, c in enumerate("가나다abc")}}
+    df = spark.createDataFrame([("가 A",), ("xyz",), ("bc다",), (None,)], "text string")
+    table = spark.createDataFrame([(k, w) for k, ws in keyword_map["rows"].items() for w in ws], "label string, keyword string")
+    by_map = [sorted(r["rows"]) for r in ts.tag_keywords(df, "text", keyword_map).collect()]
+    assert sorted(by_map) == sorted(r["tags"] for r in ts.tag_by_table(df, "text", table).collect())
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     return spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), (None, "y", 4)], "m string, c string, v int")

@@ -181,6 +181,14 @@ def tag_restricted(spark, sf):
     return tagged.select("doc_id", F.array_join("rows", ",").alias("row_tags"), F.array_join("values", ",").alias("value_tags"))
 
 
+def tag_by_table(spark, sf):
+    """Documents with the benchmark items that share a longer word with them: some hundred keywords and more."""
+    words = F.explode(F.split("text", "[ .,?!\n]+"))
+    keywords = table(spark, sf, "benchmark").select("item_id", words.alias("word")).where("length(word) >= 7")
+    tagged = ts.tag_by_table(table(spark, sf, "documents"), "text", keywords, label="item_id", keyword="word")
+    return tagged.select("doc_id", F.array_join("tags", ",").alias("items"))
+
+
 def csv_round_trip(spark, sf):
     """Orders written as CSV and read back: encoding, cell texts and types come from the files alone."""
     folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
@@ -297,6 +305,11 @@ QUERIES = {
                                   count(*) filter (where "value" < 0 or "value" > 1000000) = 0]) as ok from {G})
         select count(*) as checks, count(*) filter (where ok) as passed, bool_and(ok) as ok, round((count(*) filter (where ok))::double / count(*), 4) as pass_ratio,
                (count(*) filter (where ok))::double / count(*) >= 0.5 as allowed from c"""),
+    "tag_by_table": (tag_by_table, """
+        with k as (select distinct item_id::varchar as item, lower(w) as w from (select item_id, unnest(regexp_split_to_array("text", '[ .,?!\n]+')) as w from benchmark) where length(w) >= 7),
+             t as (select doc_id, lower(trim(coalesce("text", ''))) as t from documents),
+             h as (select doc_id, string_agg(distinct item, ',' order by item) as items from t join k on contains(t, w) group by 1)
+        select doc_id, coalesce(items, '') as items from t left join h using (doc_id)"""),
     "tag_keywords": (tag_keywords, _tag_sql("documents", "doc_id")),
     "tag_restricted": (tag_restricted, f'select doc_id, case when contains(row_tags, \'time\') then \'time\' else \'\' end as row_tags, value_tags from ({_tag_sql("documents", "doc_id")})'),
     "csv_round_trip": (csv_round_trip, """
