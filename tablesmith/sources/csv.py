@@ -17,7 +17,7 @@ from ..session import materialize
 _JAVA_CHARSETS = {"cp949": "MS949", "ms949": "MS949", "euc-kr": "EUC-KR", "euckr": "EUC-KR"}
 #: Charsets in which no byte of another character looks like a line break, a comma or a quote.
 _BYTE_CHARSETS = {"UTF-8", "US-ASCII", "ISO-8859-1", "MS949", "WINDOWS-1252", "LATIN1"}
-_SPARK_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf8": "UTF-8", "ascii": "US-ASCII"}
+_SPARK_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf8": "UTF-8", "ascii": "US-ASCII", "latin-1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
 
 
 def read_null_tokens(df: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def read_csv_table(
     beyond the header's last one; missing cells at the end of a row are null.
     """
     files = inspect_files(spark, path)
-    kind = F.when(F.col("encoding") == "cp949", "cp949").otherwise("utf-8") if encoding is None else F.lit(encoding)
+    kind = F.when(F.col("encoding") == "utf-8-sig", "utf-8").otherwise(F.col("encoding")) if encoding is None else F.lit(encoding)
     found = materialize(files.select("path", kind.alias("kind"), (F.col("open_lines") > 0).alias("joined")), "files")
-    groups = [tuple(r) for r in found.groupBy("kind", "joined").count().orderBy("kind", "joined").select("kind", "joined").collect()]  # four at most
+    groups = [tuple(r) for r in found.groupBy("kind", "joined").count().orderBy("kind", "joined").select("kind", "joined").collect()]  # twelve at most
     if not multiline and any(joined for _, joined in groups):
         raise ValueError(f"quotes that span lines below {path!r}; read with multiline=True")
     parts = []
@@ -195,26 +195,80 @@ def infer_types(df: DataFrame) -> DataFrame:
     ])
 
 
-def inspect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, encoding, open_lines) per file with content: ``utf-8-sig``, ``utf-8`` or ``cp949``; lines that open or close
-    a quoted cell which goes on in another line.
+# The bytes of charsets, each byte read as the character of its number. Pairs of cp949 that running
+# Korean text is made of (syllables and marks of the national standard), then all its other pairs.
+_HIGH = "[\\x80-\\xff]"
+_UTF8 = "[\\xc2-\\xdf][\\x80-\\xbf]|[\\xe0-\\xef][\\x80-\\xbf]{2}|[\\xf0-\\xf4][\\x80-\\xbf]{3}"
+_CP949_USUAL = "[\\xb0-\\xc8\\xa1-\\xac][\\xa1-\\xfe]"
+_CP949_OTHER = "[\\x81-\\xfd][A-Za-z\\x81-\\xfe]"
+_LATIN_LETTER = f"(?<!{_HIGH})[\\xa0-\\xff](?!{_HIGH})"
+_LATIN_PAIR = f"(?<!{_HIGH})[\\xc0-\\xff]{{2}}(?!{_HIGH})"
+#: What a byte of a seldom pair counts against one of a usual pair.
+_SELDOM = 0.4
+
+
+def _removed(text: Column, pattern: str, keep: str = "") -> Column:
+    """Number of characters that go when the matches of a pattern are replaced by ``keep``."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, keep))
+
 
-    One scan, whole files, in parallel. A file with a line that is not valid UTF-8 is cp949. Spark skips a
-    byte-order mark, so an uncompressed file with one has fewer bytes in its lines than in all.
+def inspect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, encoding, score, open_lines) per file with content: ``utf-8-sig``, ``utf-8``, ``cp949``, ``latin-1``,
+    ``utf-16``, ``utf-16-le`` or ``utf-16-be``; lines that open or close a quoted cell which goes on in another line.
+
+    One scan, whole files, in parallel. The bytes beyond ASCII are counted by the pairs and places they stand in, and
+    the score is the share of them that is as usual in the charset; the best charset wins, of equal ones the first
+    of utf-8, cp949, latin-1. A file that is ASCII throughout is utf-8 with score 1, and so is one that is valid
+    UTF-8. Text of two bytes a character is known by its zero bytes, and its byte order by the mark or by the
+    file's first character. Spark skips a byte-order mark of UTF-8, so an uncompressed file with one has fewer bytes in
+    its lines than in all.
     """
     out, in_ = _line_states(F.col("value"))
     lines = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path)).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
-        F.is_valid_utf8("value").alias("valid"), (F.octet_length("value") + 1).alias("bytes"), (out | ~in_).cast("long").alias("open"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        F.is_valid_utf8("value").alias("valid"), (F.octet_length("value") + 1).alias("bytes"), (out | ~in_).cast("long").alias("open"), "value",
+    )
+    # Valid lines are not looked at byte by byte: their bytes beyond ASCII fit UTF-8 and nothing else.
+    single = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    odd = lambda count: F.when(~F.col("valid"), count).otherwise(F.lit(0))
+    beyond = F.when(F.col("valid"), F.octet_length("value") - F.char_length("value"))
+    usual = _removed(single, f"(?:{_CP949_USUAL})|({_CP949_OTHER})", "$1")
+    other = _removed(single, f"({_CP949_USUAL})|(?:{_CP949_OTHER})", "$1")
+    letters, pairs = _removed(single, _LATIN_LETTER), _removed(single, _LATIN_PAIR)
+    zeros = F.contains("value", F.lit("\0"))
+    head = F.substring(F.col("value").cast("binary"), 1, 2)
+    files = lines.groupBy("path").agg(
+        F.bool_and("valid").alias("valid"), (F.sum("bytes") < F.max("size")).alias("mark"), F.sum("open").alias("open_lines"),
+        F.sum(beyond.cast("long")).alias("fits"), F.sum(F.coalesce(beyond, _removed(single, _HIGH)).cast("long")).alias("high"),
+        F.sum(odd(_removed(single, _UTF8)).cast("long")).alias("utf8"),
+        F.sum(odd(usual + other * F.lit(_SELDOM))).alias("cp949"), F.sum(odd(letters + pairs * F.lit(_SELDOM))).alias("latin"),
+        F.avg(zeros.cast("int")).alias("wide"), F.min_by(F.hex(head), "place").alias("head"),
+    )
+    high = F.greatest("high", F.lit(1))
+    share = lambda count: F.round(F.least(count / high, F.lit(1.0)), 4)
+    first, second = F.substring("head", 1, 2), F.substring("head", 3, 2)
+    syllable = lambda byte: byte.between("AC", "D7")
+    wide = (
+        F.when(F.col("head").isin("FFFE", "FEFF"), "utf-16")
+        .when(first == "00", "utf-16-be").when(second == "00", "utf-16-le")
+        .when(syllable(first) & ~syllable(second), "utf-16-be").otherwise("utf-16-le")
     )
-    files = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.sum("bytes") < F.max("size"), F.sum("open")).toDF("path", "valid", "mark", "open_lines")
-    encoding = F.when(~F.col("valid"), "cp949").when(F.col("mark"), "utf-8-sig").otherwise("utf-8")
-    return files.select("path", encoding.alias("encoding"), "open_lines")
+    eight = F.when(F.col("valid"), F.lit(1.0)).otherwise(share(F.coalesce("fits", F.lit(0)) + F.col("utf8")))
+    # Both names of a score are compared in order, so the first of equal ones stays.
+    best = F.array_max(F.array(
+        F.struct(eight.alias("score"), F.lit(3).alias("rank"), F.when(F.col("mark") & F.col("valid"), "utf-8-sig").otherwise("utf-8").alias("name")),
+        F.struct(share(F.col("cp949")).alias("score"), F.lit(2).alias("rank"), F.lit("cp949").alias("name")),
+        F.struct(share(F.col("latin")).alias("score"), F.lit(1).alias("rank"), F.lit("latin-1").alias("name")),
+    ))
+    # In text of two bytes a character every line break brings a zero byte, so nearly all lines have one.
+    found = F.when(F.col("wide") > 0.5, F.struct(F.col("wide").alias("score"), wide.alias("name"))).otherwise(F.struct(best["score"].alias("score"), best["name"].alias("name")))
+    return files.select("path", found["name"].alias("encoding"), F.round(found["score"], 4).alias("score"), "open_lines")
 
 
 def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """Encoding per file below ``path``: ``utf-8-sig``, ``utf-8`` or ``cp949``."""
-    return inspect_files(spark, path).select("path", "encoding")
+    """(path, encoding, score) per file below ``path``, as :func:`inspect_files` finds them; a score near 1 is a sure one."""
+    return inspect_files(spark, path).select("path", "encoding", "score")
 
 
 def output_path(source: str, suffix: str = "_clean") -> str:

@@ -142,6 +142,32 @@ def test_encodings(spark, tmp_path):
         ts.read_csv_table(spark, str(tmp_path / "a.csv"), multiline=False)
 
 
+KOREAN = "번호,도시,메모\n" + "".join(f"{i},{c},{m}\n" for i, (c, m) in enumerate([("서울", "첫 주문"), ("부산", "재고 없음"), ("뷁", "펲시 똠방각하"), ("Seoul", "plain")]))
+WESTERN = "id,city,note\n" + "".join(f"{i},{c},{m}\n" for i, (c, m) in enumerate([("Köln", "große Stücke"), ("Orléans", "déjà vu, naïveté".replace(",", "")), ("Málaga", "año ¿qué?"), ("Bath", "20 £")]))
+
+
+@pytest.mark.parametrize(("text", "encoding", "found"), [
+    (KOREAN, "utf-8", "utf-8"), (KOREAN, "utf-8-sig", "utf-8-sig"), (KOREAN, "cp949", "cp949"), (KOREAN, "utf-16", "utf-16"),
+    (KOREAN, "utf-16-le", "utf-16-le"), (KOREAN, "utf-16-be", "utf-16-be"),
+    (WESTERN, "utf-8", "utf-8"), (WESTERN, "latin-1", "latin-1"), (WESTERN, "utf-16-le", "utf-16-le"), (WESTERN, "utf-16-be", "utf-16-be"),
+    ("a,b\n1,plain\n", "ascii", "utf-8"), ("a,b\n1,Ärger\n", "latin-1", "latin-1"), ("a,b\n1,예\n", "cp949", "cp949"),
+    (WESTERN.replace("\n", "\r\n"), "utf-16-be", "utf-16-be"), (WESTERN.replace("\n", "\r\n"), "utf-16-le", "utf-16-le"),
+])
+def test_statistical_encodings(spark, tmp_path, text, encoding, found):
+    path = tmp_path / "t.csv"
+    path.write_bytes(text.encode(encoding))
+    [row] = ts.detect_encodings(spark, str(path)).collect()
+    assert row["encoding"] == found and 0.7 <= row["score"] <= 1
+    table = ts.read_csv_table(spark, str(tmp_path), typed=False)
+    assert [",".join(r) for r in [table.columns, *table.collect()]] == text.splitlines()
+
+
+def test_damaged_file_keeps_its_encoding(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes((KOREAN * 5).encode() + b"9,\xeb\xb6,cut\n")
+    [row] = ts.detect_encodings(spark, str(tmp_path)).collect()
+    assert row["encoding"] == "utf-8" and 0.9 < row["score"] < 1
+
+
 def test_writing(spark, tmp_path, mixed):
     assert output_path("/x/a.csv") == "/x/a_clean.csv" and output_path("/x/a.dat", "_v") == "/x/a_v.dat.csv"
     ts.write_table(mixed, str(tmp_path / "m"))
