@@ -14,7 +14,7 @@ from tablesmith.plans.recipe import cleaning_recipe, imputation_recipe, outlier_
 from tablesmith.plans.report import preprocess_summary
 from tablesmith.sources.csv import charset_of, output_path, read_null_tokens, stored_lines
 from tablesmith.sources.synthetic import messy_transactions, sales
-from tablesmith.streaming import drops
+from tablesmith.streaming import drops, ledger as ledgers
 
 from .conftest import rows
 
@@ -263,6 +263,49 @@ def test_reports_per_drop_and_restart(spark, dropped, tmp_path):
     assert rows(report("three.csv")) == [("2024-03", "a", 9.0)]
 
 
+def test_changed_files_replace_their_results(spark, dropped, tmp_path, monkeypatch):
+    target, ledger, read_files = str(tmp_path / "results"), str(tmp_path / "ledger"), []
+
+    def read(paths):
+        read_files.append(sorted(p.rsplit("/", 1)[1] for p in paths))
+        return ts.read_csv_table(spark, paths, typed=False, source_file="source_file")
+
+    def work(table):
+        return table.groupBy("source_file", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+    def run():
+        return ledgers.refresh_changed(spark, str(dropped), target, ledger, read, work)
+
+    def results():
+        found = ledgers.current_results(spark, target, ledger).collect()
+        return sorted((r["source_file"].rsplit("/", 1)[1], r["kind"], r["n"]) for r in found)
+
+    old = [("one.csv", "a", 1), ("one.csv", "b", 1), ("two.csv", "a", 1), ("two.csv", "b", 1)]
+    assert run() == 2 and results() == old and run() == 0
+    # The run ends after the results and before the ledger: nothing of it is seen, and it is done again.
+    _drop(dropped, "two.csv", ["1,2024-02-01,c,1", "2,2024-02-01,c,2"])
+    (dropped / "sub").mkdir()
+    _drop(dropped / "sub", "three.csv", ["1,2024-02-01,d,1"])
+    with monkeypatch.context() as patch:
+        patch.setattr(ledgers, "_enter", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run()
+    assert results() == old
+    _drop(dropped, "two.csv", ["1,2024-02-01,e,1"])
+    assert run() == 2 and run() == 0
+    assert results() == [("one.csv", "a", 1), ("one.csv", "b", 1), ("three.csv", "d", 1), ("two.csv", "e", 1)]
+    # A file without rows has no results left; one that is gone keeps them.
+    _drop(dropped, "one.csv", [])
+    (dropped / "two.csv").unlink()
+    assert run() == 1 and results() == [("three.csv", "d", 1), ("two.csv", "e", 1)]
+    assert read_files == [["one.csv", "two.csv"], ["three.csv", "two.csv"], ["three.csv", "two.csv"], ["one.csv"]]
+
+
+def test_ledger_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert ledgers.refresh_changed(spark, str(tmp_path / "none"), str(tmp_path / "t"), str(tmp_path / "l"), None, None) == 0
+
+
 def test_gate_sends_bad_batches_to_quarantine(spark, dropped, tmp_path):
     stream = drops.read_drops(spark, str(dropped), SCHEMA, files_per_batch=1)
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from datetime import timedelta
+from functools import reduce
 
 import tablesmith as ts
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 from tablesmith.session import checkpoint_dir
-from tablesmith.streaming import drops
+from tablesmith.streaming import drops, ledger as ledgers
 
 from .tables import GAPPY_EVENTS_SQL, MESSY_ORDERS_CLEAN_SQL, MONTHLY_SQL, gappy_events, messy_orders, monthly_orders, table
 
@@ -229,6 +230,33 @@ def profile_merged(spark, sf):
     return found.select("column", "n_rows", "nonnull", "nulls", "numbers", F.round("mean", 4).alias("mean"), F.round("min", 4).alias("min"), F.round("max", 4).alias("max"))
 
 
+def refresh_changed(spark, sf):
+    """Events dropped as CSV folders in three rounds, each working on the files it finds new; the counts of all kinds."""
+    folder, target, ledger = _folder(spark, "drops"), _folder(spark, "results"), _folder(spark, "ledger")
+    events = table(spark, sf, "events").select("event_id", "event_type")
+    for i in range(3):
+        ts.write_table(events.where(F.col("event_id") % 3 == i), f"{folder}/part={i}")
+        ledgers.refresh_changed(
+            spark, folder, target, ledger, lambda files: ts.read_csv_table(spark, files, source_file="source_file"),
+            lambda rows: rows.groupBy("source_file", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")),
+        )
+    results = ledgers.current_results(spark, target, ledger)
+    return results.groupBy(F.regexp_extract("source_file", "part=([0-9])", 1).cast("int").alias("part"), "event_type").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+
+
+def detect_encodings(spark, sf):
+    """Documents of two languages written in four encodings: what is found of each folder, and the rows that are read from it."""
+    documents = table(spark, sf, "documents").where("lang in ('fr', 'es')").select("doc_id", "text")
+    parts = []
+    for written, charset in (("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE")):
+        folder = _folder(spark, "texts")
+        documents.write.option("header", True).option("escape", '"').option("encoding", charset).csv(folder)
+        found = ts.detect_encodings(spark, folder).agg(F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encoding"))
+        stored = ts.read_csv_table(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+        parts.append(found.select(F.lit(written).alias("written"), "encoding", F.lit(1).alias("one")).join(stored.withColumn("one", F.lit(1)), "one").drop("one"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stream_gate(spark, sf):
     """Two batches: the gate lets the complete one pass and puts the one with gaps aside."""
     accepted, quarantine, folder = _folder(spark, "accepted"), _folder(spark, "quarantine"), _folder(spark, "batches")
@@ -263,6 +291,10 @@ _GRID = f"""a as (select "월", priority, sum(price) as price from {M} group by
     p as (select "월", priority, coalesce(price, 0) as price from grid left join a using ("월", priority))"""
 
 QUERIES = {
+    "refresh_changed": (refresh_changed, "select (event_id % 3)::integer as part, event_type, count(*) as n, sum(event_id)::bigint as ids from events group by all"),
+    "detect_encodings": (detect_encodings, """
+        select w as written, w as encoding, count(*) as n, sum(doc_id)::bigint as ids
+        from documents, (select unnest(['utf-8', 'latin-1', 'utf-16-le', 'utf-16-be']) as w) where lang in ('fr', 'es') group by all"""),
     "filter_in": (filter_in, "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders where o_orderstatus in ('F', 'P') and o_orderpriority in ('1-URGENT', '2-HIGH')"),
     "month_bucket": (month_bucket, "select o_orderkey, strftime(o_orderdate, '%Y-%m') as \"month\" from orders"),
     "pivot_long": (pivot_long, f"""
