@@ -18,7 +18,7 @@ from .plans.preprocess import preprocess, preprocess_file, run_folder
 from .plans.recipe import Recipe, run_recipe, run_steps
 from .plans.report import build_report, log_run, write_report
 from . import functions, operators, plans, sources, streaming
-from .session import build_session, tune
+from .session import build_session, deal, tune
 from .sources.csv import detect_encodings, infer_types, read_csv_table, read_null_tokens, write_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

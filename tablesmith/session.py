@@ -74,3 +74,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal(df: DataFrame, tasks: int) -> DataFrame:
+    """Deal the rows of a table that fewer than ``tasks`` tasks read over so many, before costly expressions.
+
+    For files that Spark can't split further, such as one with a single row group. A table that has as many parts
+    stays as it is, so nothing large is shuffled for it. Hand in the table as it is read: its parts are looked up in its plan.
+    """
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

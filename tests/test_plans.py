@@ -16,7 +16,7 @@ from tablesmith.sources.csv import charset_of, output_path, read_null_tokens, st
 from tablesmith.sources.synthetic import messy_transactions, sales
 from tablesmith.streaming import drops, ledger as ledgers
 
-from .conftest import rows
+from .conftest import plan_of, rows
 
 # Own rows: every currency, flag and date style once, two orders in two states, gaps in three columns.
 TRANSACTIONS = '''거래ID,주문일,업데이트일,금액,도시,활성,메모
@@ -378,3 +378,10 @@ def test_stream_forgets_each_key_at_its_own_time(spark, tmp_path):
     assert batch(2, ("c", 8, 1, 8), ("d", 9, 1, 9)) == [("c", 8, 1, 8, 8), ("d", 9, 1, 9, 9)]
     # The watermark is day 8: a has been quiet for seven days, b only for three. A row of day 2 is late.
     assert batch(3, ("a", 10, 3, 9), ("b", 11, 45, 9), ("late", 12, 1, 2)) == [("a", 10, 3, 9, 9)]
+
+
+def test_deal_only_tables_of_few_parts(spark):
+    df = spark.range(1000).coalesce(1)
+    assert ts.deal(df, 6).rdd.getNumPartitions() == 6 and ts.deal(df, 6).count() == 1000
+    wide = spark.range(0, 1000, 1, 8)
+    assert "Exchange" in plan_of(ts.deal(df, 6)) and "Exchange" not in plan_of(ts.deal(wide, 6))

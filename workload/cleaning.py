@@ -6,7 +6,7 @@ import tablesmith as ts
 from pyspark.sql import functions as F
 from tablesmith.functions.text import currency_code
 
-from .tables import GAPPY_EVENTS_SQL, MESSY_ORDERS_CLEAN_SQL, amount_text, date_text, gappy_events, messy_orders, table
+from .tables import GAPPY_EVENTS_SQL, MESSY_ORDERS_CLEAN_SQL, amount_text, date_text, dealt, gappy_events, messy_orders, table
 
 
 def snake_columns(spark, sf):
@@ -61,7 +61,7 @@ def clean_number(spark, sf):
 def clean_date(spark, sf):
     layouts = ["yyyy-MM-dd", "yyyy/M/d", "yyyy.MM.dd", "yyyyMMdd", "MM/dd/yyyy", "MMMM d, yyyy", "d MMM yyyy",
                "yyyy-MM-dd HH:mm:ss", "yyyy년 M월 dd일"]
-    return ts.level1_clean(table(spark, sf, "orders").select("o_orderkey", date_text(layouts).alias("order_date")))
+    return ts.level1_clean(dealt(spark, sf, "orders").select("o_orderkey", date_text(layouts).alias("order_date")))
 
 
 def clean_decisions(spark, sf):

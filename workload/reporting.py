@@ -251,9 +251,8 @@ def detect_encodings(spark, sf):
     for written, charset in (("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE")):
         folder = _folder(spark, "texts")
         documents.write.option("header", True).option("escape", '"').option("encoding", charset).csv(folder)
-        found = ts.detect_encodings(spark, folder).agg(F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encoding"))
-        stored = ts.read_csv_table(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
-        parts.append(found.select(F.lit(written).alias("written"), "encoding", F.lit(1).alias("one")).join(stored.withColumn("one", F.lit(1)), "one").drop("one"))
+        stored = ts.read_csv_table(spark, folder, source_file="path").join(ts.detect_encodings(spark, folder), "path")
+        parts.append(stored.groupBy(F.lit(written).alias("written"), "encoding").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tablesmith as ts
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -9,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly expressions, in as many parts as there are cores."""
+    return ts.deal(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
+
+
 def whole_price_text() -> str:
     """Spark SQL text of the whole price with a thousands comma."""
     n = "cast(floor(o_totalprice) as bigint)"
@@ -18,7 +24,7 @@ def whole_price_text() -> str:
 def amount_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with a money text in six styles."""
     nn = whole_price_text()
-    return table(spark, sf_dir, "orders").select(
+    return dealt(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.expr(f"""case o_orderkey % 6 when 0 then concat('₩ ', {nn}) when 1 then concat('KRW ', {nn})
                    when 2 then concat({nn}, '원') when 3 then concat('$', {nn}) when 4 then concat({nn}, ' EUR')
@@ -38,7 +44,7 @@ def date_text(layouts: list[str]) -> "F.Column":
 def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a messy export: odd headers, blanks, mixed dates, money styles, yes/no words, an empty column."""
     nn = whole_price_text()
-    return table(spark, sf_dir, "orders").select(
+    return dealt(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias(" Order ID "),
         F.col("o_custkey").alias("Cust-Key"),
         date_text(["yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "MM/dd/yyyy"]).alias("Order Date"),

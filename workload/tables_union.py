@@ -8,7 +8,7 @@ import tablesmith as ts
 from pyspark.sql import functions as F
 from tablesmith.session import checkpoint_dir
 
-from .tables import GAPPY_EVENTS_SQL, gappy_events, messy_orders, table
+from .tables import GAPPY_EVENTS_SQL, dealt, gappy_events, messy_orders, table
 
 
 def _parties(spark, sf):
@@ -160,7 +160,7 @@ KEYWORDS = {
 
 
 def _tagged(spark, sf, name, keys):
-    tagged = ts.tag_keywords(table(spark, sf, name), "text", KEYWORDS)
+    tagged = ts.tag_keywords(dealt(spark, sf, name), "text", KEYWORDS)
     return tagged.select(
         *keys, F.array_join("rows", ",").alias("row_tags"), F.array_join("values", ",").alias("value_tags"), "chart",
         F.array_join("filter_lang", ",").alias("lang_tags"),
