@@ -10,6 +10,7 @@ from ..functions.dates import parse_timestamp
 from ..functions.names import col
 from .clean import level1_clean, present
 from .dedupe import dedupe
+from .profile import short_key
 
 
 def _missing_cells(df: DataFrame) -> Column:
@@ -18,8 +19,10 @@ def _missing_cells(df: DataFrame) -> Column:
 
 
 def _distinct_rows(df: DataFrame) -> Column:
-    # A struct is never null, so rows with missing values count too.
-    return F.count_distinct(F.struct(*[col(n) for n in df.columns]))
+    # A struct is never null, so rows with missing values count too. Long texts are shuffled as digests.
+    return F.count_distinct(F.struct(*[
+        short_key(col(f.name)) if isinstance(f.dataType, T.StringType) else col(f.name) for f in df.schema.fields
+    ]))
 
 
 def _duplicate_rate() -> Column:

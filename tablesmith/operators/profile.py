@@ -90,7 +90,8 @@ VALUES_IN_ONE_BUFFER = 250_000
 LONG_VALUE = 64
 
 
-def _short(text: Column) -> Column:
+def short_key(text: Column) -> Column:
+    """A text, or the digest of a long one: equal for equal texts and no others."""
     return F.when(F.octet_length(text) > LONG_VALUE, F.concat(F.lit("\x00"), F.md5(text))).otherwise(text)
 
 
@@ -99,7 +100,7 @@ def value_key(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         # Floats keep their shortest exact text here, which tells all values apart; adding zero turns -0.0 into 0.0.
         return F.when(present(df, name), (col(name) + F.lit(0.0)).cast("string"))
-    return _short(as_text(df, name))
+    return short_key(as_text(df, name))
 
 
 def keys_per_place(df: DataFrame, places: list[str]) -> DataFrame:
@@ -128,7 +129,7 @@ def _counted_values(df: DataFrame, places: list[str]) -> DataFrame:
         return F.when(F.col("place").isin(texts), to_number(value)).otherwise(F.when(~F.isnan(plain), plain))
 
     is_long = F.octet_length("value") > LONG_VALUE
-    keyed = stacked.select("place", _short(F.col("value")).alias("key"), F.when(is_long, hits(F.col("value"))).alias("long_hits"), F.when(is_long, number(F.col("value"))).alias("long_number"))
+    keyed = stacked.select("place", short_key(F.col("value")).alias("key"), F.when(is_long, hits(F.col("value"))).alias("long_hits"), F.when(is_long, number(F.col("value"))).alias("long_number"))
     # Plain numbers in the buffers, so that Spark aggregates by hash; equal values have equal ones.
     counted = keyed.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n"), F.max("long_hits").alias("long_hits"), F.max("long_number").alias("long_number"))
     text = F.when(F.col("place").isin(floats), _plain_number(F.col("key").try_cast("double"))).otherwise(F.col("key"))

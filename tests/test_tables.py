@@ -303,6 +303,13 @@ def test_kpis(spark, mixed):
     assert dict(rows(ts.report_kpi(mixed, 1.23456)))["clean_seconds"] == 1.235
 
 
+def test_distinct_rows_of_long_texts(spark):
+    """Long texts that differ in their last character are two; equal ones, missing and empty ones are told apart as rows are."""
+    long = "x" * 100_000
+    df = spark.createDataFrame([(1, long), (1, long), (1, long + "a"), (1, None), (1, None), (1, ""), (2, long)], "id int, text string")
+    assert ts.kpi_metrics(df).first()["dup_rate"] == round(2 / 7, 4)
+
+
 def test_profile_counts_floats_and_approximates(spark):
     df = spark.createDataFrame([(0.0, "x"), (-0.0, "x"), (1e-12, None), (2e-12, "y"), (float("nan"), "y"), (None, "z"), (1e7, "z")], "v double, s string")
     found = {r["column"]: r for r in ts.profile(df).collect()}
