@@ -89,6 +89,36 @@ def test_chat_examples(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_chat_digests_come_from_examples(spark, tmp_path, monkeypatch):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "one <"), (1, 2, "assistant", "<|two|>\\"), (1, 3, "user", "left over"), (2, 0, "user", "alone"), (None, 0, "assistant", None), (3, 0, None, "x")]
+    turns += [(9, i, "assistant" if i % 3 == 1 else "user", f"turn {i} <s>") for i in range(200)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    formatted = chat.format_chats(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    whole = {(r["conv_id"], r["position"]): r for r in chat.expand(formatted).collect()}
+    assert all(r["context_from"] == 0 for r in whole.values()) and len(whole) == 69
+    for limit in (1, 300, 1 << 18):
+        known = {}
+        for r in sorted(chat.expand(formatted, limit).collect(), key=lambda r: (str(r["conv_id"]), r["position"])):
+            known[r["conv_id"]] = known.get(r["conv_id"], "")[: r["context_from"]] + r["context"]
+            if r["reply"] is not None:
+                example = whole.pop((r["conv_id"], r["position"])) if limit > 300 else whole[r["conv_id"], r["position"]]
+                assert known[r["conv_id"]] == example["context"] and r["reply"] == example["reply"]
+                known[r["conv_id"]] += r["reply"]
+        assert {c: len(list(chat.parse_turns(t))) for c, t in known.items()} == {1: 4, 2: 1, None: 1, 3: 1, 9: 200}
+    assert not whole
+    want = None
+    for limit in (1, 300, 1 << 18):
+        monkeypatch.setattr(chat, "CONTEXT_CHARS", limit)
+        got = sorted((tuple(r) for r in chat.op6_chat_formatting(spark, str(tmp_path)).collect()), key=str)
+        want = want or got
+        assert got == want
+    by_id = {r[0]: r for r in want}
+    assert by_id[1][1] == 4 and by_id[1][2] == hashlib.sha256(b"system\ns\nuser\none <\nassistant\n<|two|>\\\nuser\nleft over\n").hexdigest()
+    assert by_id[1][3:5] == (8, hashlib.sha256(b"<|two|>\\").hexdigest()) and by_id[9][6] == 67 and by_id[2][6] == 0
+    monkeypatch.setattr(chat, "_expand", lambda limit: lambda batches: iter(()))
+    assert chat.op6_chat_formatting(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_queries_equal_their_sql(spark, name):
     query, sql = QUERIES[name]
