@@ -38,6 +38,8 @@ BLOCK_SHINGLES = 1_500_000
 SET_SHINGLES = 150
 #: Nodes a task remembers, so that it sends the parts of equal sets only once.
 REMEMBERED_NODES = 200_000
+#: Bits of a part's hash in an index key. Parts that share them by chance only make a list longer; links are exact.
+PART_BITS = 47
 
 
 def size_classes(num: int, den: int, largest: int = 1 << 31) -> np.ndarray:
@@ -66,11 +68,17 @@ def parts_of_class(bounds: np.ndarray, c: int, num: int, den: int) -> tuple[int,
     return differ + equal, -(-equal // 2)
 
 
-def part_keys(shingles: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set, and a tag for each: twice the keys that linking sets have in common in this class, plus 1
-    where the set has the upper of the two size classes that meet."""
+def part_bits(bounds: np.ndarray) -> int:
+    """Bits of a part's hash in a posting: what the size class and the mark leave of 64, ``PART_BITS`` at most."""
+    return min(PART_BITS, 63 - len(bounds).bit_length())
+
+
+def part_postings(shingles: np.ndarray, bounds: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Index keys of a set, each in one number: the size class in which sets meet, bits of the part's hash, and last a 1
+    where the set has the upper of the two size classes that meet. In a shuffle all but the hash bits of one set's keys look alike."""
     own = int(np.searchsorted(bounds, len(shingles), side="right")) - 1
-    keys, tags = [], []
+    bits = np.uint64(part_bits(bounds))
+    postings = []
     for upper, c in ((0, own), (1, own - 1)):
         if c < 0:
             continue
@@ -84,9 +92,22 @@ def part_keys(shingles: np.ndarray, bounds: np.ndarray, num: int, den: int) -> t
         if parts - len(starts) > parts - difference_bound(bounds, c, num, den) - need:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), position)
             position, content = np.r_[position, empty], np.r_[content, np.zeros(len(empty), np.uint64)]
-        keys.append(mix(content + mix(position + np.uint64(c << 40))))
-        tags.append(np.full(len(position), 2 * need + upper, np.int32))
-    return np.concatenate(keys).view(np.int64), np.concatenate(tags)
+        hashes = mix(content + mix(position + np.uint64(c << 40))) >> (np.uint64(64) - bits)
+        postings.append((np.uint64(c) << (bits + np.uint64(1))) | (hashes << np.uint64(1)) | np.uint64(upper))
+    return np.concatenate(postings).view(np.int64)
+
+
+def part_keys(shingles: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and a tag for each: twice the keys that linking sets have in common in this class, plus 1
+    where the set has the upper of the two size classes that meet."""
+    postings = part_postings(shingles, bounds, num, den)
+    return postings >> 1, (2 * needs(postings, bounds, num, den) + (postings & 1)).astype(np.int32)
+
+
+def needs(postings: np.ndarray, bounds: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many keys linking sets have in common in the size classes of postings."""
+    classes, at = np.unique(postings.view(np.uint64) >> np.uint64(part_bits(bounds) + 1), return_inverse=True)
+    return np.array([parts_of_class(bounds, int(c), num, den)[1] for c in classes], np.int64)[at]
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -123,44 +144,50 @@ def _postings(k: int, num: int, den: int):
                     if len(seen) >= REMEMBERED_NODES:
                         seen.clear()
                     seen.add(node)
-                    keys, tags = part_keys(shingles, bounds, num, den)
-                    out.append((keys, tags, np.full(len(keys), node), np.full(len(keys), len(shingles), np.int32)))
+                    postings = part_postings(shingles, bounds, num, den)
+                    out.append((postings, np.full(len(postings), node)))
                 if out:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "tag", "node", "n"])
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["posting", "node"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by (key, tag, node), those in lists of two nodes or more, one of the lower class."""
-    names = ["key", "tag", "node", "n"]
-    held, state = None, (None, None, False, False)  # a lone row; its list's key, last node, lower class?, sent?
-    for batch in batches:
-        if held is not None:
-            batch = pa.concat_batches([held, batch])
-            held = None
-        key, node, tag = (batch.column(c).to_numpy() for c in ("key", "node", "tag"))
-        if not len(key):
-            continue
-        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        if state[3] and key[0] == state[0] and node[0] == state[1]:
-            new[0] = False
-        rows = np.flatnonzero(new)
-        if not len(rows):
-            continue
-        k = key[rows]
-        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        counts = np.diff(np.r_[starts, len(k)])
-        lower = tag[rows][starts] % 2 == 0
-        sent = counts >= 2
-        if state[3] and k[0] == state[0]:
-            lower[0], sent[0] = state[2], True
-        keep = np.repeat(sent & lower, counts)
-        if not sent[-1]:
-            held = batch.slice(int(rows[-1]), 1)
-        state = (k[-1], node[rows[-1]], bool(lower[-1]), bool(sent[-1]))
-        if keep.any():
-            yield batch.take(pa.array(rows[keep])).select(names)
+def _shared(num: int, den: int):
+    """Of postings sorted by (posting, node), those in lists of two nodes or more, one of the lower class."""
+    bounds = size_classes(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, (None, None, False, False)  # a lone row; its list's key, last node, lower class?, sent?
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+                held = None
+            posting, node = (batch.column(c).to_numpy() for c in ("posting", "node"))
+            key = posting >> 1
+            if not len(key):
+                continue
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            if state[3] and key[0] == state[0] and node[0] == state[1]:
+                new[0] = False
+            rows = np.flatnonzero(new)
+            if not len(rows):
+                continue
+            k = key[rows]
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            counts = np.diff(np.r_[starts, len(k)])
+            lower = posting[rows][starts] % 2 == 0
+            sent = counts >= 2
+            if state[3] and k[0] == state[0]:
+                lower[0], sent[0] = state[2], True
+            keep = np.repeat(sent & lower, counts)
+            if not sent[-1]:
+                held = batch.slice(int(rows[-1]), 1)
+            state = (k[-1], node[rows[-1]], bool(lower[-1]), bool(sent[-1]))
+            if keep.any():
+                kept = rows[keep]
+                yield pa.record_batch([pa.array(key[kept]), pa.array(needs(posting[kept], bounds, num, den)), pa.array(node[kept])], ["key", "need", "node"])
+
+    return run
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -277,19 +304,21 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     docs = pick(docs, "doc_id", "text")
     base = stored(docs.mapInArrow(_sets_of(k), "doc_id long, n_shingles long, node long"), "sets")
 
-    postings = docs.mapInArrow(_postings(k, num, den), "key long, tag int, node long, n int")
-    lists = postings.repartition("key").sortWithinPartitions("key", "tag", "node").mapInArrow(_shared, "key long, tag int, node long, n int")
-    lists = stored(lists.selectExpr("key", "tag div 2 as need", "node", "n"), "lists")
+    postings = docs.mapInArrow(_postings(k, num, den), "posting long, node long")
+    dealt = postings.repartition(F.expr("shiftright(posting, 1)")).sortWithinPartitions("posting", "node")
+    lists = stored(dealt.mapInArrow(_shared(num, den), "key long, need long, node long"), "lists")
 
     # A set that shares fewer keys than linking needs, whoever with, links with nothing.
     near = lists.groupBy("node", "need").agg(F.min("key").alias("home"), F.count("*").alias("keys")).filter("keys >= need")
     listed = stored(lists.join(near.select("node", "need", "home"), ["node", "need"]), "listed")
     smallest = listed.groupBy("key").agg(F.min("home").alias("moved"))
-    home = stored(listed.join(smallest, "key").groupBy("node").agg(F.min("moved").alias("home"), F.first("n").alias("n")), "homes")
+    moved = listed.join(smallest, "key").groupBy("node").agg(F.min("moved").alias("home"))
+    sizes = base.groupBy("node").agg(F.first("n_shingles").alias("n"))
+    home = stored(moved.join(sizes, "node"), "homes")
     crowd = home.groupBy("home").agg(F.expr(f"cast(ceil(sum(greatest(n, {SET_SHINGLES})) / {BLOCK_SHINGLES}) as long)").alias("salts"))
     blocks = stored(home.join(crowd, "home").selectExpr("node", "n", "xxhash64(home, pmod(xxhash64(node), salts)) as block"), "blocks")
 
-    headers = listed.join(blocks.select("node", "block"), "node").groupBy("key", "need", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
+    headers = listed.join(blocks, "node").groupBy("key", "need", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
     left, right = headers.alias("l"), headers.alias("r")
     common = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block"))).filter(
         f"(l.block < r.block or l.members > 1) and {den}L * l.high >= {num}L * r.low and {den}L * r.high >= {num}L * l.low"

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tablesmith.llm.ngram_join import links_within, part_keys, similar_groups, size_classes
+from tablesmith.llm.ngram_join import links_within, part_bits, part_keys, part_postings, parts_of_class, similar_groups, size_classes
 from tablesmith.llm.packing import Packer, byte_level_encoder, default_vocabulary, pack
 
 from .conftest import frame, prose
@@ -80,6 +80,23 @@ def test_linking_sets_share_keys():
                 assert any(common.count(need) >= need for need in common)
 
 
+def test_postings_are_small_and_hold_their_class():
+    draw = np.random.default_rng(5)
+    for num, den in ((80, 100), (85, 100), (99, 100)):
+        bounds = size_classes(num, den)
+        for n in (1, 4, 300, 5000):
+            shingles = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+            postings = part_postings(shingles, bounds, num, den)
+            own = int(np.searchsorted(bounds, len(shingles), side="right")) - 1
+            classes = postings.view(np.uint64) >> np.uint64(part_bits(bounds) + 1)
+            assert {(int(c), int(p & 1)) for c, p in zip(classes, postings)} == {(own - u, u) for u in (0, 1) if own >= u}
+            _, tags = part_keys(shingles, bounds, num, den)
+            assert {int(t) // 2 for t in tags} == {parts_of_class(bounds, own - u, num, den)[1] for u in (0, 1) if own >= u}
+    # One set's postings differ in six bytes, where whole hashes differ in eight.
+    postings = part_postings(np.unique(draw.integers(0, 1 << 63, 300, dtype=np.uint64)), size_classes(80, 100), 80, 100)
+    assert len(np.unique(postings >> 48)) == 2
+
+
 def test_derived_overlaps_are_exact():
     draw = np.random.default_rng(5)
     base = draw.integers(0, 1 << 60, 200, dtype=np.uint64)
