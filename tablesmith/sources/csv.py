@@ -212,6 +212,11 @@ def _removed(text: Column, pattern: str, keep: str = "") -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, keep))
 
 
+def short_ascii(text: Column) -> Column:
+    """A text whose ASCII runs are cut to their first character and a blank."""
+    return F.regexp_replace(text, "([\\x00-\\x7f])[\\x00-\\x7f]+", "$1 ")
+
+
 def inspect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(path, encoding, score, open_lines) per file with content: ``utf-8-sig``, ``utf-8``, ``cp949``, ``latin-1``,
     ``utf-16``, ``utf-16-le`` or ``utf-16-be``; lines that open or close a quoted cell which goes on in another line.
@@ -228,9 +233,11 @@ def inspect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
         F.is_valid_utf8("value").alias("valid"), (F.octet_length("value") + 1).alias("bytes"), (out | ~in_).cast("long").alias("open"), "value",
+        F.when(~F.is_valid_utf8("value"), short_ascii(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))).alias("__bytes"),
     )
     # Valid lines are not looked at byte by byte: their bytes beyond ASCII fit UTF-8 and nothing else.
-    single = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    # No pattern takes in more than bytes beyond ASCII and one byte behind them, so of longer ASCII runs two are enough.
+    single = F.col("__bytes")
     odd = lambda count: F.when(~F.col("valid"), count).otherwise(F.lit(0))
     beyond = F.when(F.col("valid"), F.octet_length("value") - F.char_length("value"))
     usual = _removed(single, f"(?:{_CP949_USUAL})|({_CP949_OTHER})", "$1")
