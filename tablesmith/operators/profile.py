@@ -229,11 +229,12 @@ def _is_numeric(row: Row) -> bool:
 
 
 def profile(
-    df: DataFrame, sample_rows: int | None = None, approx_distinct: bool = False, compat: bool = False
+    df: DataFrame, sample_rows: int | None = None, approx_distinct: bool = False, compat: bool = False, in_order: DataFrame | None = None
 ) -> DataFrame:
     """Full profile: counts, five sample values, type candidates and, for numeric columns, statistics.
 
-    The whole table is profiled unless ``sample_rows`` asks for a sample; ``n_rows`` always counts the table.
+    The whole table is profiled unless ``sample_rows`` asks for a sample; ``n_rows`` always counts the table. Sample values
+    are those of the first rows, of ``in_order`` if the table itself is not in order.
     """
     source, total = df, None
     if sample_rows:
@@ -256,7 +257,8 @@ def profile(
             stats = {r["column"]: by_place[r["place"]] for r in numeric}
         finally:
             counted.unpersist()
-    head = source.select(*[as_text(df, n).alias(f"t{i}") for i, n in enumerate(df.columns)]).limit(5).collect()
+    first = source if in_order is None or source is not df else in_order
+    head = first.select(*[as_text(df, n).alias(f"t{i}") for i, n in enumerate(df.columns)]).limit(5).collect()
 
     out = []
     for i, n in enumerate(df.columns):

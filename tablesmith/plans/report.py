@@ -26,15 +26,17 @@ def build_report(
     profile_sample: int | None = None,
     clean_seconds: float | None = None,
     parts: Sequence[str] = PARTS,
+    in_order: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Key figures, first rows, column profile and pivot of a table, or those of them named in ``parts``.
 
-    Each part reads the table anew, so hand in a stored table rather than a long chain of steps.
+    Each part reads the table anew, so hand in a stored table rather than a long chain of steps. ``in_order`` are its rows
+    in the order that the first ones are taken from, where it differs from the table's.
     """
     builders = {
         "kpi": lambda: report_kpi(df, clean_seconds),
-        "sample": lambda: df.limit(sample_rows),
-        "profile": lambda: profile(df, profile_sample),
+        "sample": lambda: (df if in_order is None else in_order).limit(sample_rows),
+        "profile": lambda: profile(df, profile_sample, in_order=in_order),
         "pivot": lambda: pivot_long(df, spec),
     }
     return {name: builders[name]() for name in parts}

@@ -22,8 +22,12 @@ from ..operators.pivot import PivotSpec, group_aggregate
 from ..operators.sketches import profile_sketches
 from ..operators.validate import gate
 from ..plans.report import DEFAULT_PIVOT, build_report, write_report
+from ..session import materialize
 from ..sources.csv import charset_of, read_null_tokens
 
+#: Rows of a stored drop that one file holds; tasks read whole files, so their aggregates stay small.
+ROWS_PER_FILE = 100_000
+
 
 def read_drops(
     spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None, encoding: str = "utf-8"
@@ -63,12 +67,18 @@ def report_drops(
     Files of one name in several folders, or with several extensions, have reports of their own. A restarted batch overwrites its own folders, so a file has one report even after a failure.
     """
     def report_batch(batch: DataFrame, _batch_id: int) -> None:
-        # Every part of a report reads the batch; keep it instead of parsing the files again.
-        batch.persist()
-        for row in batch.select("source_file").distinct().collect():
-            part = batch.where(F.col("source_file") == row["source_file"]).drop("source_file")
-            write_report(build_report(apply_clean(part, plan) if plan else part, spec), report_folder(target, row["source_file"]))
-        batch.unpersist()
+        # Every part of a report reads the batch. One task parses a file as a stream; it is stored in files of few rows, so
+        # that many tasks aggregate it. The rows' places keep the order of the file for its first rows.
+        place = "__place"
+        while place in batch.columns:
+            place += "_"
+        kept = materialize(batch.withColumn(place, F.monotonically_increasing_id()), "drop", ROWS_PER_FILE)
+        for row in kept.select("source_file").distinct().collect():
+            part = kept.where(F.col("source_file") == row["source_file"])
+            part, in_order = (d.drop("source_file", place) for d in (part, part.orderBy(place)))
+            if plan:
+                part, in_order = apply_clean(part, plan), apply_clean(in_order, plan)
+            write_report(build_report(part, spec, in_order=in_order), report_folder(target, row["source_file"]))
 
     return _start(stream, report_batch, checkpoint, trigger)
 

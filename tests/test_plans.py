@@ -2,16 +2,17 @@ from __future__ import annotations
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F, types as T
 
 import tablesmith as ts
 from tablesmith.plans.preprocess import preprocess_file, preview
 from tablesmith.plans.recipe import cleaning_recipe, imputation_recipe, outlier_recipe, step_parts
 from tablesmith.plans.report import preprocess_summary
+from tablesmith.sources import csv
 from tablesmith.sources.csv import charset_of, output_path, read_null_tokens, stored_lines
 from tablesmith.sources.synthetic import messy_transactions, sales
 from tablesmith.streaming import drops, ledger as ledgers
@@ -228,6 +229,18 @@ def test_generator_is_stable(spark):
 SCHEMA = "id long, day string, kind string, amount string"
 
 
+def test_byte_patterns_count_the_same_in_shortened_lines(spark):
+    draw = random.Random(4)
+    pieces = ["a", "é", "ß", "\xb0\xa1", "\x81A", "\xc3\xa9", "\0", "plain words, ", '"', "\xff", "Zz", "\xe0\x80\x80"]
+    texts = spark.createDataFrame([("".join(draw.choices(pieces, k=draw.randrange(30))),) for _ in range(400)], "t string")
+    patterns = (csv._HIGH, csv._UTF8, csv._CP949_USUAL, csv._LATIN_LETTER, csv._LATIN_PAIR, f"(?:{csv._CP949_USUAL})|{csv._CP949_OTHER}")
+    short = csv.short_ascii(F.col("t"))
+    counts = texts.select(F.char_length(short).alias("n"), F.char_length("t").alias("m"), *[
+        (csv._removed(F.col("t"), p) == csv._removed(short, p)).alias(f"same{i}") for i, p in enumerate(patterns)
+    ]).collect()
+    assert all(r[2:] == (True,) * len(patterns) for r in counts) and sum(r["n"] for r in counts) < 0.7 * sum(r["m"] for r in counts)
+
+
 def _drop(folder, name, lines):
     (folder / name).write_text("id,day,kind,amount\n" + "\n".join(lines) + "\n", encoding="utf-8")
 
@@ -263,6 +276,72 @@ def test_reports_per_drop_and_restart(spark, dropped, tmp_path):
     assert rows(report("three.csv")) == [("2024-03", "a", 9.0)]
 
 
+def test_a_large_drop_is_aggregated_in_parts(spark, tmp_path, monkeypatch):
+    (tmp_path / "drops").mkdir()
+    _drop(tmp_path / "drops", "big.csv", [f"{i},2024-01-{i % 28 + 1:02d},k{i % 3},{1000 - i}" for i in range(200)])
+    _drop(tmp_path / "drops", "small.csv", ["7,2024-02-01,a,5"])
+    read, build = [], drops.build_report
+
+    def watched(df, *args, **kwargs):
+        read.append(len(df.inputFiles()))
+        return build(df, *args, **kwargs)
+
+    monkeypatch.setattr(drops, "ROWS_PER_FILE", 20)
+    monkeypatch.setattr(drops, "build_report", watched)
+    stream = drops.read_drops(spark, str(tmp_path / "drops"), "id int, day string, kind string, amount double")
+    spec = ts.PivotSpec(rows=["월", "kind"], values=[("amount", "sum")], date_col="day")
+    drops.report_drops(stream, str(tmp_path / "reports"), str(tmp_path / "state"), spec).awaitTermination()
+    assert min(read) >= 10
+    [folder] = (tmp_path / "reports").glob("big.csv-*")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{folder}/sample").collect()) == list(range(50))
+    profile = {r["column"]: r for r in spark.read.parquet(f"{folder}/profile").collect()}
+    assert set(profile) == {"id", "day", "kind", "amount"} and profile["id"]["n_rows"] == 200 and profile["id"]["sample_values"] == [str(i) for i in range(5)]
+    assert sorted(rows(spark.read.parquet(f"{folder}/pivot"))) == [("2024-01", f"k{k}", float(sum(1000 - i for i in range(200) if i % 3 == k))) for k in range(3)]
+
+
+class _Handle:
+    """State and timers of one key in memory, and how many calls they got."""
+
+    def __init__(self):
+        self.calls, self.timers, self.value = 0, [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_a_key_costs_few_state_calls_and_ends_at_its_own_time():
+    processor, handle = drops._Newest(T.StructType.fromDDL("user_id long, event_id long, ts timestamp"), "ts", "event_id", "ts", 10_000), _Handle()
+    processor.init(handle)
+    row = lambda event, second: Row(user_id=1, event_id=event, ts=datetime(2024, 1, 1, 0, 0, second))
+    start = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
+    clock = lambda at: type("Clock", (), {"getCurrentWatermarkInMs": lambda self: start + at})()
+    found = [[r["event_id"] for r in processor.handleInputRows((1,), iter(batch), clock(0))] for batch in (
+        [row(5, 1), row(4, 3), row(3, 3), row(9, 2)], [row(8, 2)], [row(2, 8), row(1, 5)], [row(7, 8)])]
+    assert found == [[3], [], [2], []] and handle.timers == [start + 13_000]
+    assert handle.calls == 3 + 1 + 2 + 1
+    list(processor.handleExpiredTimer((1,), clock(13_500), None))
+    assert handle.timers == [start + 13_000, start + 18_000] and handle.value is not None
+    list(processor.handleExpiredTimer((1,), clock(18_500), None))
+    assert len(handle.timers) == 2 and handle.value is None
+    assert [r["event_id"] for r in processor.handleInputRows((1,), iter([row(6, 20)]), clock(18_500))] == [6]
+
+
 def test_changed_files_replace_their_results(spark, dropped, tmp_path, monkeypatch):
     target, ledger, read_files = str(tmp_path / "results"), str(tmp_path / "ledger"), []
 
