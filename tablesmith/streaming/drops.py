@@ -156,39 +156,54 @@ class _Newest(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", self.schema)
-        self.until = handle.getValueState("until", "ms long")
+        # Every call to a state or timer is a message to the JVM, so a key has one value: its row, and when it ends.
+        self.state = handle.getValueState("state", T.StructType([T.StructField("row", self.schema), T.StructField("until", T.LongType())]))
 
     def _values(self, row: Iterable) -> tuple:
         """The row's values, instants with their zone: they come without it as input and with it from the state."""
         return tuple(v.replace(tzinfo=timezone.utc) if instant and v is not None and v.tzinfo is None else v for v, instant in zip(row, self.instants))
 
-    def _rank(self, row: tuple) -> tuple:
-        by, tie = row[self.by], row[self.tiebreak]
+    @staticmethod
+    def _rank(by: Any, tie: Any) -> tuple:
         return (by is not None, by if by is not None else 0, tie is not None, -tie if tie is not None else 0)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        old = self._values(self.newest.get()) if self.newest.exists() else None
-        until = self.until.get()[0] if self.until.exists() else None
+        found = self.state.get()
+        old, until = (self._values(found[0]), found[1]) if found is not None else (None, None)
         best, latest = old, until
+        # New rows are compared as they come; only the newest one is turned into values.
+        newest, rank, last, places = None, None, None, None
         for row in rows:
-            values = self._values(row[c] for c in self.columns)
-            if best is None or self._rank(values) > self._rank(best):
+            if places is None:
+                places = [row.__fields__.index(c) for c in self.columns]
+                by, tie, at = (places[i] for i in (self.by, self.tiebreak, self.at))
+            own = self._rank(row[by], row[tie])
+            if newest is None or own > rank:
+                newest, rank = row, own
+            if last is None or row[at] > last:
+                last = row[at]
+        if newest is not None:
+            values = self._values(newest[i] for i in places)
+            if best is None or self._rank(values[self.by], values[self.tiebreak]) > self._rank(best[self.by], best[self.tiebreak]):
                 best = values
-            end = int(values[self.at].timestamp() * 1000) + self.ttl_ms
+            if last.tzinfo is None:
+                last = last.replace(tzinfo=timezone.utc)
+            end = int(last.timestamp() * 1000) + self.ttl_ms
             latest = end if latest is None else max(latest, end)
-        if latest != until:
-            if until is not None:
-                self.handle.deleteTimer(until)
+        if until is None and latest is not None:
             self.handle.registerTimer(latest)
-            self.until.update((latest,))
+        if latest != until or best != old:
+            self.state.update((best, latest))
         if best != old:
-            self.newest.update(best)
             yield Row(**dict(zip(self.columns, best)))
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self.newest.clear()
-        self.until.clear()
+        """A key has one timer. Rows that came since it was set have moved the key's end, not the timer: it is set again."""
+        found = self.state.get()
+        if found is not None and found[1] > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(found[1])
+        else:
+            self.state.clear()
         return iter(())
 
     def close(self) -> None:
